@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, quality_rules, token_counts
+from . import classifier, fingerprints, line_dedup, lm_scoring, mixing, packing, quality_rules, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_quality_rules": quality_rules.op3_quality_rules,
+        "op4_quality_classifier": classifier.op4_quality_classifier,
+        "op5_packing": packing.op5_packing,
+        "op6_fingerprints": fingerprints.op6_fingerprints,
         "op7_mixing": mixing.op7_mixing,
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_token_counts": token_counts.op9_token_counts,
+        "op10_lm_scoring": lm_scoring.op10_lm_scoring,
         "quality_rules_ablations": quality_rules.op3_ablations,
     }
 
