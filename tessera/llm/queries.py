@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, fingerprints, line_dedup, lm_scoring, mixing, packing, quality_rules, token_counts
+from . import classifier, fingerprints, line_dedup, lm_scoring, mixing, packing, quality_rules, substring_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op3_quality_rules": quality_rules.op3_quality_rules,
         "op4_quality_classifier": classifier.op4_quality_classifier,
         "op5_packing": packing.op5_packing,
