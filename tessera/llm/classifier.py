@@ -164,6 +164,20 @@ def score(docs: DataFrame, w: Weights | None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_score(w), "doc_id long, score double")
 
 
+def _accept(w: Weights | None, cut: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.full(len(batch), 0.5) if w is None else scores(binary(batch.column("text")), w)
+            yield batch.filter(pa.array(out >= cut))
+
+    return run
+
+
+def accepted(docs: DataFrame, w: Weights | None, cut: float = CUT) -> DataFrame:
+    """The rows of docs, with all their columns, that score at least `cut`."""
+    return docs.mapInArrow(_accept(w, cut), docs.schema)
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     scored = score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))

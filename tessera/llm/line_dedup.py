@@ -68,26 +68,26 @@ def repeats(docs: DataFrame, run: int = RUN) -> DataFrame:
     return later.groupBy("doc_id", "tag").agg(F.collect_set("pos").alias("starts"))  # of one text: no more than it has lines
 
 
-def line_dedup(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """docs with text (lines of later runs deleted), n_lines and n_deleted; columns keep their order, and the two come last."""
-    gone = repeats(docs, run).select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), F.col("starts").alias("__starts"))
+def line_dedup(docs: DataFrame, run: int = RUN, counts: bool = True) -> DataFrame:
+    """docs with the lines of later runs deleted from text, and (with counts) n_lines and n_deleted after its columns."""
+    gone = repeats(docs, run).select(F.col("doc_id").alias("gone_id"), F.col("tag").alias("gone_tag"), "starts")
     text = F.coalesce("text", F.lit(""))
-    joined = docs.join(gone.hint("shuffle_hash"), (F.col("doc_id") == F.col("__id")) & (F.xxhash64(text) == F.col("__tag")), "left")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text")
+    joined = rows.join(gone.hint("shuffle_hash"), (F.col("doc_id") == F.col("gone_id")) & (F.xxhash64(text) == F.col("gone_tag")), "left")
 
     def kept(lines: Column) -> Column:
-        covered = F.array_distinct(F.flatten(F.transform("__starts", lambda p: F.sequence(p, p + run - 1))))
+        covered = F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p, p + run - 1))))
         out = let(_places(lines), lambda at: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.transform(covered, lambda p: at[p])))
         return F.transform(out, lambda i: lines[i])
 
     lines = _lines(text)
-    done = joined.withColumn("__kept", F.when(F.col("__starts").isNotNull(), let(lines, kept)))
-    new = F.when(F.col("__kept").isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n"))
-    n = F.size(lines).cast("long")
-    return done.select(
-        *(F.when(F.col("__starts").isNull(), F.col("text")).otherwise(new).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns),
-        n.alias("n_lines"),
-        F.when(F.col("__kept").isNull(), F.lit(0)).otherwise(n - F.size("__kept")).cast("long").alias("n_deleted"),
-    )
+    done = joined.withColumn("kept", F.when(F.col("starts").isNotNull(), let(lines, kept)))
+    done = done.withColumn("text", F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n")))
+    out = [F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns]
+    if counts:
+        n = F.size(_lines(F.coalesce("row.text", F.lit("")))).cast("long")
+        out += [n.alias("n_lines"), F.when(F.col("kept").isNull(), F.lit(0)).otherwise(n - F.size("kept")).cast("long").alias("n_deleted")]
+    return done.select(*out)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,9 +27,10 @@ MOST = 3
 CELLS = 4096
 
 
-def sizes(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """doc_id, source, size in words, and u in 0 .. 2**53 - 1, random but fixed by doc_id."""
+def sizes(docs: DataFrame, seed: int = 0, *more: Column) -> DataFrame:
+    """`more`, doc_id, source, size in words, and u in 0 .. 2**53 - 1, random but fixed by doc_id."""
     return docs.select(
+        *more,
         "doc_id",
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -66,21 +67,24 @@ def _same(left: str, right: str) -> Column:
     return F.col(left).eqNullSafe(F.col(right))
 
 
-def sample(sized: DataFrame, shares: DataFrame) -> DataFrame:
-    """sized(doc_id, source, size, u) with source_size, target, copies (whole and sampled) of each document."""
+def sample(sized: DataFrame, shares: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """rows, with source_size, target and copies (whole and sampled) of each.
+
+    sized: doc_id, source, size and u of all documents, stored, as it is read several times. rows: the same rows with more
+    columns, or sized itself.
+    """
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     shares = shares.withColumn("whole", F.floor(ratio + 1e-12)).withColumn("p", F.greatest(ratio - F.col("whole"), F.lit(0.0)))
     shares = shares.withColumn("part", F.col("target") - F.col("whole") * F.col("source_size")).withColumnRenamed("source", "of")
-    docs = sized.join(shares, _same("source", "of")).drop("of")  # a row for each source
     # Pareto's rank: odds of u over odds of p. It grows with u, so in one source intervals of u are intervals of ranks.
     u = (F.col("u") + 0.5) / float(2**53)
-    docs = docs.withColumn("rank", F.when(F.col("p") > 0, (u / (1 - u)) * ((1 - F.col("p")) / F.col("p"))))
-    level = docs
+    rank = (u / (1 - u)) * ((1 - F.col("p")) / F.col("p"))
+    drawn = sized.join(shares.where("p > 0"), _same("source", "of")).drop("of")
     width = 2**53
     cut = shares.select("of", F.lit(0).cast("long").alias("low"), F.col("part").alias("left"))
     for _ in range(2):
         width //= CELLS
-        near = level.where("p > 0").select("source", "size", "u").join(cut, _same("source", "of"))
+        near = drawn.select("source", "size", "u").join(cut, _same("source", "of"))
         near = near.where(F.col("u").between(F.col("low"), F.col("low") + width * CELLS - 1))
         cell = F.floor((F.col("u") - F.col("low")) / width).cast("long")
         sums = near.groupBy("of", "low", "left", cell.alias("cell")).agg(F.sum("size").alias("words"))
@@ -92,18 +96,19 @@ def sample(sized: DataFrame, shares: DataFrame) -> DataFrame:
             "cuts",
         )
     # documents of the last interval, in the order of their ranks: each if that brings the words nearer to the target
-    near = docs.where("p > 0").join(cut, _same("source", "of")).where(F.col("u").between(F.col("low"), F.col("low") + width - 1))
+    near = drawn.withColumn("rank", rank).join(cut, _same("source", "of")).where(F.col("u").between(F.col("low"), F.col("low") + width - 1))
     order = W.partitionBy("of").orderBy("rank", "doc_id", "size")
     near = near.withColumn("upto", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)))
     # the words that lie below this (rank, id, size) are in
     last = near.where(F.col("upto") - F.col("size") / 2 <= F.col("left")).groupBy("of").agg(F.max(F.struct("u", "doc_id", "size")).alias("last"))
     edge = stored(cut.join(last, "of", "left").select("of", "low", "last"), "cuts")
-    docs = docs.join(edge, _same("source", "of"), "left")
+    docs = (sized if rows is None else rows).join(shares, _same("source", "of")).drop("of").join(edge, _same("source", "of"), "left")
     inside = F.struct("u", "doc_id", "size") <= F.col("last")
     # without a cut the ranks don't reach the target (p is then nearly 1, or 0): all are in, or none
     taken = F.when(F.col("p") == 0, False).when(F.col("low").isNull(), True)
     taken = taken.otherwise((F.col("u") < F.col("low")) | F.coalesce(inside, F.lit(False)))
-    return docs.withColumn("copies", F.col("whole") + taken.cast("long")).select("doc_id", "source", "size", "source_size", "target", "copies")
+    docs = docs.withColumn("copies", F.col("whole") + taken.cast("long"))
+    return docs.select(*(sized if rows is None else rows).columns, "source_size", "target", "copies").drop("u")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 0) -> DataFrame:
@@ -112,6 +117,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     return sample(sized, stored(targets(sized, weights, most), "mix-targets"))
 
 
+def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 0) -> DataFrame:
+    """The mix itself: docs' columns, each row as many times as the mix takes it. Texts are not shuffled."""
+    sized = stored(sizes(docs, seed), "mix-sizes")
+    rows = sizes(docs, seed, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    taken = sample(sized, stored(targets(sized, weights, most), "mix-targets"), rows).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = F.col("size") * F.col("copies")
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", taken.alias("taken"), "copies")

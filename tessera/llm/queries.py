@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, fingerprints, line_dedup, lm_scoring, mixing, packing, quality_rules, substring_dedup, token_counts
+from . import classifier, fingerprints, line_dedup, lm_scoring, mixing, ngram_join, packing, quality_rules, substring_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_join": ngram_join.op1_ngram_join,
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op3_quality_rules": quality_rules.op3_quality_rules,
         "op4_quality_classifier": classifier.op4_quality_classifier,
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_ngram_join": ngram_join.OP1_SQL,
         "op3_quality_rules": quality_rules.OP3_SQL,
         "op8_line_dedup": line_dedup.OP8_SQL,
         "quality_rules_ablations": quality_rules.OP3_ABLATIONS_SQL,
