@@ -31,13 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .idfield import id_field, maybe_in
 from .shared import connected_components, documents, parts, stored
 from .words import _PLACE, Words, binary, chunks, mix
 
 _U = np.uint64
 ROWS = 3
 TREE_TOKENS = 4_000_000
-FIELD_BITS = 25
 FANOUT = 4
 
 
@@ -97,28 +97,13 @@ def _sets(words: int, bands: int):
     return run
 
 
-def _field_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at = mix(batch.column("id").to_numpy().view(np.uint64)) >> _U(64 - FIELD_BITS)
-        yield pa.RecordBatch.from_arrays([pa.array((at >> _U(6)).astype(np.int64)), pa.array((_U(1) << (at & _U(63))).view(np.int64))], ["word", "bits"])
-
-
-def id_field(ids: DataFrame) -> np.ndarray:
-    """A bit field of 2**FIELD_BITS bits, some of which each id sets: 2**FIELD_BITS / 64 rows come to the driver at most."""
-    table = ids.mapInArrow(_field_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    field = np.zeros(1 << (FIELD_BITS - 6), np.uint64)
-    field[table.column("word").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
-    return field
-
-
 def _chosen_sets(field, words: int):
     """Sets of the rows whose id may be wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = field.value
         for batch in batches:
-            at = mix(batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) >> _U(64 - FIELD_BITS)
-            batch = batch.filter(pa.array((marked[(at >> _U(6)).astype(np.int64)] >> (at & _U(63)) & _U(1)).astype(bool)))
+            batch = batch.filter(pa.array(maybe_in(marked, batch.column("doc_id"))))
             ids = batch.column("doc_id")
             for begin, own in chunks(binary(batch.column("text"))):
                 sets = shingle_sets(own, words)

@@ -5,13 +5,15 @@ document is located, and the words it covers are removed.
    anchors, and consecutive windows mostly share one. Anchors that two or more documents have are marked in a bit field of
    fixed size (`filter_bits`), which is broadcast. It only lets windows through that cannot recur, never the reverse.
 2. Confirmed passages. Consecutive windows of one anchor are one passage: at most window + (window - ANCHOR) words.
-   Different passages come once, with the smallest and largest id of their documents (an aggregate with map-side
-   combining, so that a frequent passage is one row), to the shard that their anchor belongs to. There all windows of an
-   anchor meet; those of two or more documents are confirmed, each with its first document.
-3. Automata. Each shard, of about `shard_passages` passages, writes its words as single characters and compiles the
-   confirmed windows into one Aho-Corasick automaton, which locates them in each of the shard's passages.
-4. Occurrences. Where each document has a passage is joined to the passage's located windows (a join that adaptive
-   execution may split for frequent passages) and gathered for each document, whose words are removed in one go.
+   A batch's different passages come once, with the smallest and largest id of their documents (so that a frequent
+   passage is one row of a batch), to the shard that their anchor belongs to. There all windows of an anchor meet; those of
+   two or more documents are confirmed, each with its first document.
+3. Automata. Each shard, of about `shard_passages` passages, writes its words as single characters. Confirmed windows that
+   follow each other wherever they occur, and have one first document, are one phrase. The phrases are compiled into one
+   Aho-Corasick automaton, which locates them in each of the shard's passages.
+4. Occurrences. Where each document has a passage is joined to the phrases located in it (a join that adaptive execution
+   may split for frequent passages) and gathered for each document, whose words are removed in one go. Only documents that
+   may have any are shuffled for that; a bit field of their ids, of fixed size, tells.
 
 Windows are judged on the input. Defined cases: a null text has no words. Rows with a null id stay whole and are nobody's
 first document. Rows with the same id are one document: what they share with each other stays. Words are bytes between
@@ -30,13 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .idfield import id_field, maybe_in
 from .shared import documents, parts, stored
 from .words import Words, binary, chunks, mix
 
 WINDOW = 13
-ANCHOR = 5
+ANCHOR = 4
 FILTER_BITS = 27
-SHARD_PASSAGES = 20_000
+SHARD_PASSAGES = 4000
 _U = np.uint64
 
 
@@ -138,13 +141,15 @@ def recurring_anchors(docs: DataFrame, window: int, bits: int) -> np.ndarray:
 
 
 def _passages(field, n_parts: int, window: int, bits: int, with_text: bool):
-    """anchor, key, doc_id and (with_text) the text or (otherwise) the text's tag and the first word's place, of each passage."""
+    """anchor and key of each passage, with (with_text) low and high, the smallest and largest id of a batch's documents that
+    have it, and its text, once, or (otherwise) each document, its text's tag and the place of the first word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = field.value
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             texts = binary(batch.column("text"))
+            found_all: list[list] = [[], [], [], []]
             for begin, own in chunks(texts):
                 found = Words(own)
                 anchor, inside = anchors(found, window)
@@ -163,20 +168,40 @@ def _passages(field, n_parts: int, window: int, bits: int, with_text: bool):
                 np.cumsum(found.hashes * power, out=prefix[1:])
                 key = mix((prefix[first + length] - prefix[first]) * inverse[first] + length.astype(np.uint64))
                 owner = text[first]
-                doc = pa.array(ids[owner + begin].astype(np.int64))
-                columns = [pa.array(anchor[first].view(np.int64)), pa.array(key.view(np.int64)), doc]
+                doc = ids[owner + begin]
                 if with_text:
                     raw = found.buf.tobytes()
-                    spans = zip(found.starts[first].tolist(), found.ends[last + window - 1].tolist(), strict=True)
-                    columns.append(pa.array([b" ".join(raw[a:b].split()) for a, b in spans], pa.binary()))
-                else:
-                    tags = np.array([xxhash.xxh64_intdigest(t) for t in own], np.uint64).view(np.int64)
-                    columns += [pa.array(tags[owner]), pa.array((first - found.first[owner]).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["anchor", "key", "doc_id", *(["passage"] if with_text else ["tag", "start"])])
+                    begins, ends = found.starts[first], found.ends[last + window - 1]
+                    order, group = _grouped(anchor[first], key)
+                    rep = order[group]
+                    spans = zip(begins[rep].tolist(), ends[rep].tolist(), strict=True)
+                    low, high = (f.reduceat(doc[order], group) if len(group) else doc for f in (np.minimum, np.maximum))
+                    for part, new in zip(found_all, (anchor[first][rep], key[rep], np.stack([low, high]), [b" ".join(raw[a:b].split()) for a, b in spans]), strict=True):
+                        part.append(new)
+                    continue
+                tags = np.array([xxhash.xxh64_intdigest(t) for t in own], np.uint64).view(np.int64)
+                start = (first - found.first[owner]).astype(np.int32)
+                columns = [pa.array(x) for x in (anchor[first].view(np.int64), key.view(np.int64), doc, tags[owner], start)]
+                yield pa.RecordBatch.from_arrays(columns, ["anchor", "key", "doc_id", "tag", "start"])
+            if found_all[0]:
+                anchor, key, docs = np.concatenate(found_all[0]), np.concatenate(found_all[1]), np.concatenate(found_all[2], axis=1)
+                passage = [x for part in found_all[3] for x in part]
+                order, group = _grouped(anchor, key)
+                rep = order[group]
+                low, high = (f.reduceat(d[order], group) if len(group) else d for f, d in ((np.minimum, docs[0]), (np.maximum, docs[1])))
+                columns = [pa.array(anchor[rep].view(np.int64)), pa.array(key[rep].view(np.int64)), pa.array(low), pa.array(high), pa.array([passage[k] for k in rep.tolist()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["anchor", "key", "low", "high", "passage"])
 
     return run
 
 
+def _grouped(anchor: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts equal (anchor, key) together, and where each group begins."""
+    order = np.lexsort((key, anchor))
+    a, k = anchor[order], key[order]
+    return order, np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (k[1:] != k[:-1]))) if len(a) else np.zeros(0, np.int64)
+
+
 _powers: list[np.ndarray] = []
 
 
@@ -187,51 +212,79 @@ def _key_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1]
 
 
+def phrases(passages: list[tuple[str, int, int]], window: int) -> ahocorasick.Automaton:
+    """The automaton of the windows, written as characters, that two documents of passages(text, low, high) have.
+
+    A phrase's value is its length and the smallest id that has it.
+    """
+    seen: dict[str, list] = {}
+    for text, low, high in passages:
+        before = ""
+        for i in range(len(text) - window + 1):
+            w, after = text[i : i + window], text[i + window : i + window + 1]
+            own = seen.get(w)
+            if own is None:
+                seen[w] = [low, high, before, after]
+            else:
+                own[0], own[1] = min(own[0], low), max(own[1], high)
+                if own[2] != before:
+                    own[2] = ""
+                if own[3] != after:
+                    own[3] = ""
+            before = text[i]
+    out = ahocorasick.Automaton()
+    for w, (low, high, before, after) in seen.items():
+        if low >= high:
+            continue
+        if before:
+            own = seen[before + w[:-1]]
+            if own[3] == w[-1] and own[0] == low and own[1] > low:
+                continue  # a phrase that begins before goes on here
+        phrase = w
+        while after:
+            own = seen[phrase[1 - window :] + after]
+            if own[0] != low or own[1] <= low or own[2] != phrase[-window]:
+                break
+            phrase, after = phrase + after, own[3]
+        out.add_word(phrase, (len(phrase), low))
+    if len(out):
+        out.make_automaton()
+    return out
+
+
 def _locate(window: int, most: int):
-    """Sorted by anchor: passages in shards of about `most`, to the windows that an earlier document has, of each passage."""
-
-    def shard(rows: list[tuple]) -> Iterator[tuple]:
-        letters: dict[bytes, str] = {}
-        coded = []
-        for *_, passage in rows:
-            # surrogates are no characters, so they are passed over
-            coded.append("".join([letters.setdefault(w, chr(len(letters) + 1 if len(letters) < 0xD000 else len(letters) + 0x1000)) for w in passage.split(b" ")]))
-        first: dict[str, int] = {}
-        last: dict[str, int] = {}
-        for (_, _, low, high, _), text in zip(rows, coded, strict=True):
-            for i in range(len(text) - window + 1):
-                w = text[i : i + window]
-                if w not in first:
-                    first[w], last[w] = low, high
-                else:
-                    first[w], last[w] = min(first[w], low), max(last[w], high)
-        automaton = ahocorasick.Automaton()
-        for w, low in first.items():
-            if low < last[w]:
-                automaton.add_word(w, low)
+    """Sorted by anchor and key: passages in shards of about `most`, to the phrases that an earlier document has, of each."""
+
+    def shard(rows: list[list]) -> Iterator[tuple]:
+        letters: dict[bytes, str] = {}  # surrogates are passed over: they are no characters
+        coded = ["".join([letters.setdefault(w, chr(len(letters) + 1 if len(letters) < 0xD000 else len(letters) + 0x1000)) for w in row[4].split(b" ")]) for row in rows]
+        automaton = phrases([(text, row[2], row[3]) for text, row in zip(coded, rows, strict=True)], window)
         if not len(automaton):
             return
-        automaton.make_automaton()
         for (anchor, key, _, high, _), text in zip(rows, coded, strict=True):
-            found = [(end - window + 1, low) for end, low in automaton.iter(text) if low < high]
-            if found:
-                yield anchor, key, np.array([x for x, _ in found], np.int32).tobytes(), np.array([x for _, x in found], np.int64).tobytes()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
+            for end, (length, low) in automaton.iter(text):
+                if low < high:
+                    yield anchor, key, end - length + 1, length, low
 
-        def out() -> pa.RecordBatch:
-            found = list(zip(*shard(rows), strict=True)) or [[], [], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["anchor", "key", "offsets", "firsts"])
+    def out(rows: list[list]) -> pa.RecordBatch:
+        found = list(zip(*shard(rows), strict=True)) or [[]] * 5
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, kinds, strict=True)], ["anchor", "key", "shift", "length", "first"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[list] = []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "key", "low", "high", "passage")), strict=True):
-                if len(rows) >= most and row[0] != rows[-1][0]:
-                    yield out()
+            for anchor, key, low, high, passage in zip(*(batch.column(c).to_pylist() for c in ("anchor", "key", "low", "high", "passage")), strict=True):
+                last = rows[-1] if rows else None
+                if last and last[0] == anchor and last[1] == key and last[4] == passage:
+                    last[2], last[3] = min(last[2], low), max(last[3], high)
+                    continue
+                if len(rows) >= most and last[0] != anchor:
+                    yield out(rows)
                     rows = []
-                rows.append(row)
+                rows.append([anchor, key, low, high, passage])
         if rows:
-            yield out()
+            yield out(rows)
 
     return run
 
@@ -241,9 +294,8 @@ def _remove(window: int, keep_text: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
             n_words, n_removed, kept_texts, digests = [], [], [], []
-            hits = batch.column("hits")
+            hits = batch.column("hits") if "hits" in batch.schema.names else pa.nulls(len(batch))
             for k, text in enumerate(binary(batch.column("text"))):
                 words = text.split()
                 n = len(words)
@@ -254,9 +306,8 @@ def _remove(window: int, keep_text: bool):
                     edge = np.zeros(n + 1, np.int64)
                     for hit in own:
                         if hit["tag"] == tag:
-                            at = np.frombuffer(hit["offsets"], np.int32)[np.frombuffer(hit["firsts"], np.int64) < ids[k]] + hit["start"]
-                            np.add.at(edge, at, 1)
-                            np.add.at(edge, at + window, -1)
+                            edge[hit["at"]] += 1
+                            edge[hit["at"] + hit["length"]] -= 1
                     gone = np.cumsum(edge)[:n] > 0
                     removed = int(gone.sum())
                     if removed:
@@ -281,17 +332,28 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, filter_bits: int = FI
     named = docs.where("doc_id IS NOT NULL")
     n = parts(spark)
     field = spark.sparkContext.broadcast(recurring_anchors(named, window, filter_bits))
-    passages = named.mapInArrow(_passages(field, n, window, filter_bits, True), "anchor long, key long, doc_id long, passage binary")
-    passages = passages.groupBy("anchor", "key", "passage").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    passages = passages.repartition(n, "anchor").sortWithinPartitions("anchor", "key").select("anchor", "key", "low", "high", "passage")
-    located = stored(passages.mapInArrow(_locate(window, shard_passages), "anchor long, key long, offsets binary, firsts binary"), "located")
+    passages = named.mapInArrow(_passages(field, n, window, filter_bits, True), "anchor long, key long, low long, high long, passage binary")
+    passages = passages.repartition(n, "anchor").sortWithinPartitions("anchor", "key", "passage")
+    located = stored(passages.mapInArrow(_locate(window, shard_passages), "anchor long, key long, shift int, length int, first long"), "located")
     places = named.mapInArrow(_passages(field, n, window, filter_bits, False), "anchor long, key long, doc_id long, tag long, start int")
-    hits = places.join(located, ["anchor", "key"]).groupBy("doc_id").agg(F.collect_list(F.struct("tag", "start", "offsets", "firsts")).alias("hits"))
-    hits = hits.withColumnRenamed("doc_id", "hit_id")  # of one document: about as large as its text
-    joined = docs.join(hits.hint("shuffle_hash"), F.col("doc_id") == F.col("hit_id"), "left").select("doc_id", "text", "hits")
-    out = joined.mapInArrow(_remove(window, keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, text string")
+    hits = places.join(located, ["anchor", "key"]).where("first < doc_id")
+    hits = hits.select("doc_id", F.struct("tag", (F.col("start") + F.col("shift")).alias("at"), "length").alias("hit"))
+    hits = stored(hits.groupBy(F.col("doc_id").alias("hit_id")).agg(F.collect_list("hit").alias("hits")), "hits")  # of one document: in all less than its text
+    marked = spark.sparkContext.broadcast(id_field(hits.select("hit_id")))
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, text string"
+    whole = docs.mapInArrow(_only(marked, False), docs.schema).mapInArrow(_remove(window, keep_text), schema)
+    joined = docs.mapInArrow(_only(marked, True), docs.schema).join(hits.hint("shuffle_hash"), F.col("doc_id") == F.col("hit_id"), "left")
+    out = whole.union(joined.select("doc_id", "text", "hits").mapInArrow(_remove(window, keep_text), schema))
     return out if keep_text else out.drop("text")
 
 
+def _only(marked, there: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(maybe_in(marked.value, batch.column("doc_id")) == there))
+
+    return run
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir), keep_text=False)
