@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import dataclasses
 import uuid
 from collections.abc import Iterable
 from decimal import Decimal
@@ -31,21 +30,19 @@ def expand_maps(df: DataFrame, *families: str) -> DataFrame:
     return df.select(*out)
 
 
-def _packed(value: object) -> object:
-    """UUIDs are their 16 bytes; a list of them is packed from last to first."""
+def _stored(value: object, kind: str) -> object:
+    """UUIDs are their 16 bytes; a list of them is packed from last to first. uint64 is a decimal."""
     if isinstance(value, uuid.UUID):
         return value.bytes
-    if isinstance(value, list) and value and all(isinstance(x, uuid.UUID) for x in value):
+    if isinstance(value, list) and kind == "binary":
         return b"".join(x.bytes for x in reversed(value))
-    return value
+    return Decimal(value) if kind == "uint64" and isinstance(value, int) else value
 
 
 def rows_to_frame(spark: SparkSession, rows: Iterable, schema: TableSchema) -> DataFrame:
     """Dataclass instances to a frame with the schema's columns; dicts become columns of their family."""
-    values = [{f.name: _packed(getattr(r, f.name)) for f in dataclasses.fields(r)} for r in rows]
     fields = [T.StructField(c.name, T.MapType(T.StringType(), type_of(c.type)) if c.dynamic else type_of(c.type)) for c in schema.columns]
-    wide = {c.name for c in schema.columns if c.type == "uint64"}
-    data = [tuple(Decimal(v[c.name]) if c.name in wide and v[c.name] is not None else v[c.name] for c in schema.columns) for v in values]
+    data = [tuple(_stored(getattr(r, c.name), c.type) for c in schema.columns) for r in rows]
     df = spark.createDataFrame(data, T.StructType(fields))
     return expand_maps(df, *(c.name for c in schema.columns if c.dynamic))
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import uuid
 from collections import Counter
 from dataclasses import dataclass, field
 from decimal import Decimal
@@ -187,18 +188,17 @@ def test_random_order_of_inserts_and_compactions_loses_nothing(spark, tmp_path):
     assert Counter(r.v for r in t.read().select("v").collect()) == expected
 
 
-def test_dataclasses(spark, tmp_path):
-    import uuid
+@dataclass
+class Sample:
+    example_type: str = sortable(asc=0)
+    labels: dict[str, str] = sortable(asc=1, null_first=True)
+    stacktrace: list[uuid.UUID] = sortable()
+    timestamp: int = sortable(desc=2)
+    values: list[int] = field(default_factory=list)
+    weight: float = 0.0
 
-    @dataclass
-    class Sample:
-        example_type: str = sortable(asc=0)
-        labels: dict[str, str] = sortable(asc=1, null_first=True)
-        stacktrace: list[uuid.UUID] = field(default_factory=list)
-        timestamp: int = sortable(desc=2)
-        values: list[int] = field(default_factory=list)
-        weight: float = 0.0
 
+def test_dataclasses(spark, tmp_path):
     schema = TableSchema.from_dataclass(Sample)
     assert [k.name for k in schema.sort_keys] == ["example_type", "labels", "timestamp"] and not schema.sort_keys[2].ascending
     assert schema.definition("labels.a").dynamic and schema.definition("values").type == "list<int64>"
