@@ -17,7 +17,6 @@ id are ordered by text; a table with one row has itself as next document.
 
 from __future__ import annotations
 
-import base64
 import hashlib
 from collections.abc import Iterator
 
@@ -33,7 +32,7 @@ from .words import _PLACE, Words, chunks, mix
 _U = np.uint64
 #: Cells of each of the three parts of a stored fingerprint.
 CELLS = 8
-_CELL = np.dtype([("count", "<i4"), ("digest", "<u8"), ("check", "<u4")])
+_CELL = np.dtype([("count", "<i2"), ("digest", "<u8"), ("check", "<u4")])
 
 
 def digests(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -101,12 +100,12 @@ class Tables:
         left = (self.count != 0) | (self.digest != 0) | (self.check != 0)
         return more, less, ~left.reshape(self.texts, -1).any(axis=1)
 
-    def strings(self, sizes: np.ndarray) -> list[str]:
-        """Base64 of each text's number of digests (4 bytes) and cells."""
+    def raw(self, sizes: np.ndarray) -> list[bytes]:
+        """Each text's number of digests (4 bytes) and cells, counts modulo 65,536."""
         out = np.zeros(len(self.count), _CELL)
-        out["count"], out["digest"], out["check"] = self.count, self.digest, self.check.astype(np.uint32)
+        out["count"], out["digest"], out["check"] = self.count.astype(np.int16), self.digest, self.check.astype(np.uint32)
         raw, step = out.tobytes(), 3 * self.cells * _CELL.itemsize
-        return [base64.b64encode(int(n).to_bytes(4, "little") + raw[k * step : k * step + step]).decode() for k, n in enumerate(sizes)]
+        return [int(n).to_bytes(4, "little") + raw[k * step : k * step + step] for k, n in enumerate(sizes)]
 
 
 def checks(keys: np.ndarray) -> np.ndarray:
@@ -160,8 +159,8 @@ def fingerprint_rows(ids: list, texts: list[str], following: list[str]) -> Itera
                 pa.array(ids[span], pa.int64()),
                 pa.array([len(x) for x in texts[span]], pa.int64()),
                 pa.array([hashlib.sha256(x).hexdigest() for x in new]),
-                pa.array(Tables(*a, n, CELLS).strings(size_a)),
-                pa.array(Tables(*b, n, CELLS).strings(size_b)),
+                pa.array(Tables(*a, n, CELLS).raw(size_a), pa.binary()),
+                pa.array(Tables(*b, n, CELLS).raw(size_b), pa.binary()),
                 pa.array(likeness(a, b, n)),
                 pa.array(likeness(a, c, n)),
             ],
@@ -169,7 +168,7 @@ def fingerprint_rows(ids: list, texts: list[str], following: list[str]) -> Itera
         )
 
 
-_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def _sorted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +189,7 @@ def _sorted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield out(rows)
             ids, texts = ids[-1:], texts[-1:]
     if texts:
-        empty = [pa.nulls(1, x) for x in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())]
+        empty = [pa.nulls(1, x) for x in (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64())]
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *empty, pa.array([head]), pa.array(texts)], names)
 
 
@@ -200,7 +199,7 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of docs(doc_id, text)."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint (in base64), near_edited and near_next of docs(doc_id, text)."""
     spark = docs.sparkSession
     by = [F.desc_nulls_last("doc_id"), F.desc("text")]
     rows = docs.select("doc_id", "text").repartitionByRange(parts(spark), by[0]).sortWithinPartitions(*by)
@@ -211,7 +210,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     order = W.orderBy("part")
     first = F.first("head").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     edges = edges.withColumn("following", F.coalesce(F.lead("head").over(order), first)).select("doc_id", "tail", "following")
-    return done.where("tail IS NULL").drop("head", "tail", "part").unionByName(edges.mapInArrow(_edges, _SCHEMA))
+    out = done.where("tail IS NULL").drop("head", "tail", "part").unionByName(edges.mapInArrow(_edges, _SCHEMA))
+    return out.withColumns({c: F.translate(F.base64(c), "\r\n", "") for c in ("fingerprint", "edited_fingerprint")})
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
