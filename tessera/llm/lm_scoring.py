@@ -13,7 +13,8 @@ start empty and grow along one text.
 
 Words of the baseline are known by 64-bit hashes. Training texts' counts of the most frequent words, at most `frequent`,
 are broadcast; other words go, as blocks of hashes and counts for each batch, to the partition that holds their part of
-the vocabulary. So frequent words aren't shuffled and no partition grows with a word's frequency.
+the vocabulary. So frequent words aren't shuffled and no partition grows with a word's frequency. A block's sums come back
+as a block, to where its batch is put together.
 
 Defined cases: a null text counts as an empty one: an end token only. Rows with the same id each get a row. A null id is
 not held out. Without training texts every byte has probability 1/256.
@@ -35,7 +36,7 @@ from .shared import documents, parts, stored
 from .words import Words, binary, chunks
 
 ORDER = 5
-NODES = 1 << 21
+NODES = 1 << 20
 FREQUENT = 1 << 17
 _U = np.uint64
 _STEP = 1 << 20
@@ -76,11 +77,13 @@ def _merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return tallied(np.concatenate([x for x, _ in found]), np.concatenate([n for _, n in found]))
 
 
+_built: dict[str, tuple] = {}
 END_HASH = np.uint64(0x9B97_5CE1_0000_0001)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """kind (0: byte string, 1: word), key and n of each batch's training texts."""
+    _built.clear()  # of a query before
     for batch in batches:
         found: list[list] = [[], []]
         texts = binary(batch.column("text"))
@@ -88,6 +91,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = [canon(t) for t in own]
             found[0].append(tallied(grams(own)[0]))
             found[1].append(tallied(Words(own).hashes))
+            for kind in (0, 1):
+                if len(found[kind]) > 8:
+                    found[kind] = [_merged(found[kind])]
         found[1].append((np.array([END_HASH]), np.array([len(texts)])))
         for kind in (0, 1):
             if found[kind]:
@@ -147,8 +153,8 @@ class Trie:
                 total = np.add.reduceat(n, start) if len(start) else n
                 kinds = np.diff(np.append(start, len(code))).astype(np.float64)
                 own = np.repeat(np.arange(len(start)), kinds.astype(np.int64))
-                self.first.append((np.log10(n) - np.log10(total + kinds)[own]).astype(np.float64))
-                self.log_n.append(np.log10(n))
+                self.first.append((np.log10(n) - np.log10(total + kinds)[own]).astype(np.float32))
+                self.log_n.append(np.log10(n).astype(np.float32))
                 self.escape.append(np.log10(kinds) - np.log10(total + kinds))
                 if k:
                     # what the shorter context has besides this context's symbols
@@ -219,10 +225,8 @@ def adaptive_bits(text: bytes) -> float:
     return float(bits)
 
 
-_SCORED = "kind int, part long, row long, doc_id long, n_tokens long, n_known long, words double, score double, hashes binary, rows binary, counts binary"
-
-
-_built: dict[str, tuple[Trie, Lookup, np.ndarray]] = {}
+#: kind 0: a part's vocabulary; 1: a batch's rows; 2: a batch's words of one part; 3: sums of these. `batch` numbers batches.
+_BLOCK = "kind int, part long, batch long, ids array<long>, hashes binary, rows binary, counts binary, sums binary, scores binary"
 
 
 def _model(name: str, trie_levels, frequent) -> tuple[Trie, Lookup, np.ndarray]:
@@ -235,7 +239,7 @@ def _model(name: str, trie_levels, frequent) -> tuple[Trie, Lookup, np.ndarray]:
 
 
 def _score(trie_levels, frequent, n_parts: int):
-    """For each row what frequent words and bytes give (kind 1), and other words in blocks for each part (kind 2)."""
+    """What frequent words and bytes give for each row of a batch (kind 1), and other words in blocks for each part (kind 2)."""
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +247,7 @@ def _score(trie_levels, frequent, n_parts: int):
         end_log = float(common_log[lookup(np.array([END_HASH]))[0]]) if lookup(np.array([END_HASH]))[0] >= 0 else float(np.log10(0.5))
         end_known = int(lookup(np.array([END_HASH]))[0] >= 0)
         context = TaskContext.get()
-        row0 = (context.partitionId() if context else 0) << 36
+        number = (context.partitionId() if context else 0) << 32
         for batch in batches:
             texts = binary(batch.column("text"))
             n = len(texts)
@@ -266,7 +270,7 @@ def _score(trie_levels, frequent, n_parts: int):
                 h, t = h[order], t[order]
                 new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (t[1:] != t[:-1]))) if len(h) else np.zeros(0, np.int64)
                 rare.append((h[new], t[new], np.diff(np.append(new, len(h)))))
-            yield _rows(1, n, row=pa.array(row0 + np.arange(n)), doc_id=batch.column("doc_id"), n_tokens=pa.array(n_tokens), n_known=pa.array(n_known.astype(np.int64)), words=pa.array(words), score=pa.array(score))
+            yield _rows(1, 1, batch=pa.array([number]), ids=pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())), rows=_bytes(n_tokens), counts=_bytes(n_known.astype(np.int64)), sums=_bytes(words), scores=_bytes(score))
             h, t, c = (np.concatenate([x[k] for x in rare]) for k in range(3)) if rare else (np.zeros(0, np.uint64),) * 3
             part = (h % _U(n_parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
@@ -274,15 +278,16 @@ def _score(trie_levels, frequent, n_parts: int):
             spans = [order[a:b] for a, b in zip(start, np.append(start[1:], len(order)), strict=True)]
             blobs = {k: pa.array([x[s].astype(kind).tobytes() for s in spans], pa.binary()) for k, x, kind in (("hashes", h, "<u8"), ("rows", t, "<u4"), ("counts", c, "<u4"))}
             if len(used):
-                yield _rows(2, len(used), part=pa.array(used), row=pa.array(np.full(len(used), row0)), **blobs)
-            row0 += n
+                yield _rows(2, len(used), part=pa.array(used), batch=pa.array(np.full(len(used), number)), **blobs)
+            number += 1
 
     return run
 
 
 def _rows(kind: int, n: int, **columns: pa.Array) -> pa.RecordBatch:
-    types = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
-    fields = [x.split() for x in _SCORED.split(", ")]
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    types["array<long>"] = pa.list_(pa.int64())
+    fields = [x.split() for x in _BLOCK.split(", ")]
     arrays = [pa.array(np.full(n, kind, np.int32)) if name == "kind" else columns.get(name, pa.nulls(n, types[t])) for name, t in fields]
     return pa.RecordBatch.from_arrays(arrays, [name for name, _ in fields])
 
@@ -298,11 +303,15 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows(0, len(used), part=pa.array(used), hashes=pa.array([key[s].tobytes() for s in spans], pa.binary()), counts=pa.array([n[s].tobytes() for s in spans], pa.binary()))
 
 
+def _bytes(x: np.ndarray) -> pa.Array:
+    return pa.array([x.tobytes()], pa.binary())
+
+
 def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by part and kind: a part's vocabulary, then blocks of texts' words, each giving its rows' sums."""
+    """Sorted by part and kind: a part's vocabulary, then blocks of batches' words, each giving its rows' sums (kind 3)."""
     part, held, lookup, log = None, [], None, None
     for batch in batches:
-        for p, kind, row0, hashes, rows, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "row", "hashes", "rows", "counts")), strict=True):
+        for p, kind, number, hashes, rows, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "batch", "hashes", "rows", "counts")), strict=True):
             if p != part:
                 part, held, lookup = p, [], None
             if kind == 0:
@@ -316,7 +325,29 @@ def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row, n = np.frombuffer(rows, "<u4"), np.frombuffer(counts, "<u4")
             used, own = np.unique(row, return_inverse=True)
             known = np.bincount(own, n * (at >= 0), len(used)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(row0 + used.astype(np.int64)), pa.array(known), pa.array(np.bincount(own, n * log[at], len(used)))], ["row", "n_known", "words"])
+            yield _rows(3, 1, batch=pa.array([number]), rows=_bytes(used), counts=_bytes(known), sums=_bytes(np.bincount(own, n * log[at], len(used))))
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted by batch and kind: a batch's rows, then sums of its other words."""
+    now: list | None = None
+
+    def out() -> pa.RecordBatch:
+        ids, n_tokens, n_known, words, score = now
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *map(pa.array, (n_tokens, n_known, words, score))], ["doc_id", "n_tokens", "n_known", "words", "score"])
+
+    for batch in batches:
+        for kind, ids, rows, counts, sums, scores in zip(*(batch.column(c).to_pylist() for c in ("kind", "ids", "rows", "counts", "sums", "scores")), strict=True):
+            if kind == 1:
+                if now:
+                    yield out()
+                now = [ids, np.frombuffer(rows, "<i8"), np.frombuffer(counts, "<i8").copy(), np.frombuffer(sums, "<f8").copy(), np.frombuffer(scores, "<f8")]
+            else:
+                at = np.frombuffer(rows, "<u4")
+                now[2][at] += np.frombuffer(counts, "<i8")
+                now[3][at] += np.frombuffer(sums, "<f8")
+    if now:
+        yield out()
 
 
 def _collected(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -361,18 +392,17 @@ def lm_scores(docs: DataFrame, train: DataFrame | None = None, nodes: int = NODE
     trie, top = spark.sparkContext.broadcast(levels), spark.sparkContext.broadcast(common)
 
     n_parts = max(parts(spark), int(distinct) // 500_000 + 1)
-    scored = stored(docs.select("doc_id", "text").mapInArrow(_score(trie, top, n_parts), _SCORED), "lm-scores")
+    scored = stored(docs.select("doc_id", "text").mapInArrow(_score(trie, top, n_parts), _BLOCK), "lm-scores")
     part = F.pmod(F.col("key"), F.lit(n_parts))
     # the hash as an unsigned number modulo n_parts
     part = F.when(F.col("key") >= 0, part).otherwise(F.pmod(F.pmod(F.col("key"), F.lit(n_parts)) + F.lit(2**64 % n_parts), F.lit(n_parts)))
-    blocks = vocabulary.where(~often).select(part.alias("part"), "key", "n").mapInArrow(_blocks, _SCORED)
-    both = blocks.union(scored.where("kind = 2")).select("part", "kind", "row", "hashes", "rows", "counts")
-    sums = both.repartition(n_parts, "part").sortWithinPartitions("part", "kind").mapInArrow(_join, "row long, n_known long, words double")
-    own = scored.where("kind = 1")
-    total = own.select("row", "n_known", "words").union(sums).groupBy("row").agg(F.sum("n_known").alias("known"), F.sum("words").alias("sum"))
-    out = own.select("row", "doc_id", "n_tokens", "score").join(total, "row")
-    base = F.col("sum") - F.col("n_tokens") * F.log10(F.lit(train_tokens + 0.5 * (distinct + 1)))
-    return out.select("doc_id", "n_tokens", F.col("known").alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    blocks = vocabulary.where(~often).select(part.alias("part"), "key", "n").mapInArrow(_blocks, _BLOCK)
+    both = blocks.union(scored.where("kind = 2"))
+    sums = both.repartition(n_parts, "part").sortWithinPartitions("part", "kind").mapInArrow(_join, _BLOCK)
+    own = scored.where("kind = 1").union(sums).repartition(parts(spark), "batch").sortWithinPartitions("batch", "kind", "part")
+    out = own.mapInArrow(_together, "doc_id long, n_tokens long, n_known long, words double, score double")
+    base = F.col("words") - F.col("n_tokens") * F.log10(F.lit(train_tokens + 0.5 * (distinct + 1)))
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
