@@ -32,7 +32,7 @@ from .words import _PLACE, Words, chunks, mix
 _U = np.uint64
 #: Cells of each of the three parts of a stored fingerprint.
 CELLS = 8
-_CELL = np.dtype([("count", "<i2"), ("digest", "<u8"), ("check", "<u4")])
+_CELL = np.dtype([("count", "<i2"), ("digest", "<u8"), ("check", "<u2")])
 
 
 def digests(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -101,9 +101,9 @@ class Tables:
         return more, less, ~left.reshape(self.texts, -1).any(axis=1)
 
     def raw(self, sizes: np.ndarray) -> list[bytes]:
-        """Each text's number of digests (4 bytes) and cells, counts modulo 65,536."""
+        """Each text's number of digests (4 bytes) and cells, counts and checks modulo 65,536."""
         out = np.zeros(len(self.count), _CELL)
-        out["count"], out["digest"], out["check"] = self.count.astype(np.int16), self.digest, self.check.astype(np.uint32)
+        out["count"], out["digest"], out["check"] = self.count.astype(np.int16), self.digest, self.check.astype(np.uint16)
         raw, step = out.tobytes(), 3 * self.cells * _CELL.itemsize
         return [int(n).to_bytes(4, "little") + raw[k * step : k * step + step] for k, n in enumerate(sizes)]
 
@@ -158,7 +158,7 @@ def fingerprint_rows(ids: list, texts: list[str], following: list[str]) -> Itera
             [
                 pa.array(ids[span], pa.int64()),
                 pa.array([len(x) for x in texts[span]], pa.int64()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in new]),
+                pa.array([hashlib.sha256(x).digest() for x in new], pa.binary()),
                 pa.array(Tables(*a, n, CELLS).raw(size_a), pa.binary()),
                 pa.array(Tables(*b, n, CELLS).raw(size_b), pa.binary()),
                 pa.array(likeness(a, b, n)),
@@ -168,7 +168,7 @@ def fingerprint_rows(ids: list, texts: list[str], following: list[str]) -> Itera
         )
 
 
-_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+_SCHEMA = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def _sorted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +189,7 @@ def _sorted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield out(rows)
             ids, texts = ids[-1:], texts[-1:]
     if texts:
-        empty = [pa.nulls(1, x) for x in (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64())]
+        empty = [pa.nulls(1, x) for x in (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64())]
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *empty, pa.array([head]), pa.array(texts)], names)
 
 
@@ -211,7 +211,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     first = F.first("head").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     edges = edges.withColumn("following", F.coalesce(F.lead("head").over(order), first)).select("doc_id", "tail", "following")
     out = done.where("tail IS NULL").drop("head", "tail", "part").unionByName(edges.mapInArrow(_edges, _SCHEMA))
-    return out.withColumns({c: F.translate(F.base64(c), "\r\n", "") for c in ("fingerprint", "edited_fingerprint")})
+    coded = {c: F.translate(F.base64(c), "\r\n", "") for c in ("fingerprint", "edited_fingerprint")}
+    return out.withColumns(coded | {"edited_sha256": F.lower(F.hex("edited_sha256"))})
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
