@@ -253,7 +253,7 @@ def _score(trie_levels, frequent, n_parts: int):
             n = len(texts)
             n_tokens, n_known, words, score = np.ones(n, np.int64), np.full(n, end_known), np.full(n, end_log), np.zeros(n)
             rare: list[tuple] = []
-            for begin, own in chunks(texts, _STEP):
+            for begin, own in chunks(texts, _STEP // 4):
                 own = [canon(t) for t in own]
                 code, first = grams(own)
                 at = slice(begin, begin + len(own))
@@ -274,8 +274,7 @@ def _score(trie_levels, frequent, n_parts: int):
             h, t, c = (np.concatenate([x[k] for x in rare]) for k in range(3)) if rare else (np.zeros(0, np.uint64),) * 3
             part = (h % _U(n_parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            used, start = np.unique(part[order], return_index=True)
-            spans = [order[a:b] for a, b in zip(start, np.append(start[1:], len(order)), strict=True)]
+            used, spans = _spans(part, order)
             blobs = {k: pa.array([x[s].astype(kind).tobytes() for s in spans], pa.binary()) for k, x, kind in (("hashes", h, "<u8"), ("rows", t, "<u4"), ("counts", c, "<u4"))}
             if len(used):
                 yield _rows(2, len(used), part=pa.array(used), batch=pa.array(np.full(len(used), number)), **blobs)
@@ -284,6 +283,12 @@ def _score(trie_levels, frequent, n_parts: int):
     return run
 
 
+def _spans(part: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Different parts, and which rows, in this order, are each part's."""
+    used, start = np.unique(part[order], return_index=True)
+    return used, np.split(order, start[1:]) if len(used) else []
+
+
 def _rows(kind: int, n: int, **columns: pa.Array) -> pa.RecordBatch:
     types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     types["array<long>"] = pa.list_(pa.int64())
@@ -297,8 +302,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         part, key, n = (batch.column(c).to_numpy() for c in ("part", "key", "n"))
         order = np.argsort(part, kind="stable")
-        used, start = np.unique(part[order], return_index=True)
-        spans = [order[a:b] for a, b in zip(start, np.append(start[1:], len(order)), strict=True)]
+        used, spans = _spans(part, order)
         if len(used):
             yield _rows(0, len(used), part=pa.array(used), hashes=pa.array([key[s].tobytes() for s in spans], pa.binary()), counts=pa.array([n[s].tobytes() for s in spans], pa.binary()))
 
