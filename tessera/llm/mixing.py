@@ -100,8 +100,8 @@ def sample(sized: DataFrame, shares: DataFrame, rows: DataFrame | None = None) -
     order = W.partitionBy("of").orderBy("rank", "doc_id", "size")
     near = near.withColumn("upto", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)))
     # the words that lie below this (rank, id, size) are in
-    last = near.where(F.col("upto") - F.col("size") / 2 <= F.col("left")).groupBy("of").agg(F.max(F.struct("u", "doc_id", "size")).alias("last"))
-    edge = stored(cut.join(last, "of", "left").select("of", "low", "last"), "cuts")
+    last = near.where(F.col("upto") - F.col("size") / 2 <= F.col("left")).groupBy(F.col("of").alias("last_of")).agg(F.max(F.struct("u", "doc_id", "size")).alias("last"))
+    edge = stored(cut.join(last, _same("of", "last_of"), "left").select("of", "low", "last"), "cuts")
     docs = (sized if rows is None else rows).join(shares, _same("source", "of")).drop("of").join(edge, _same("source", "of"), "left")
     inside = F.struct("u", "doc_id", "size") <= F.col("last")
     # without a cut the ranks don't reach the target (p is then nearly 1, or 0): all are in, or none

@@ -274,7 +274,11 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, miss: f
     pairs = members.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     pairs = pairs.join(tokens.select(F.col("id").alias("a"), F.col("tokens").alias("left")), "a")
     pairs = pairs.join(tokens.select(F.col("id").alias("b"), F.col("tokens").alias("right")), "b").select("a", "b", "left", "right")
-    near = stored(pairs.mapInArrow(_linked(percent), "a long, b long").distinct(), "hub-links")
+    near = pairs.mapInArrow(_linked(percent), "a long, b long")
+    # several texts with one id are one document: each text's first id is linked with it
+    texts = full.groupBy("doc_id").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).where("low <> high").select("doc_id")
+    same = full.join(texts, "doc_id").join(copies, ["d1", "d2"]).where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    near = stored(near.union(same).distinct(), "hub-links")
 
     label = connected_components(near)
     placed = stored(members.join(label, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("label", "id").alias("component")), "placed")
