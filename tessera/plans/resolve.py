@@ -38,16 +38,28 @@ class Resolver:
     def data_type(self, e: Expr) -> T.DataType | None:
         if isinstance(e, Alias):
             return self.data_type(e.inner)
-        if isinstance(e, Col):
-            return self.types.get(e.column)
+        if isinstance(e, Col) and e.column in self.types:
+            return self.types[e.column]
         column = self.scalar(e)
         return None if column is None else self.df.select(column).schema[0].dataType
 
+    def column(self, name: str) -> Column | None:
+        """A column of this name, or else a field of a struct column."""
+        if name in self.types:
+            return quoted(name)
+        top, _, rest = name.partition(".")
+        kind, out = self.types.get(top), quoted(top)
+        for part in rest.split("."):
+            if not isinstance(kind, T.StructType) or part not in kind.names:
+                return None
+            kind, out = kind[part].dataType, out.getField(part)
+        return out
+
     def scalar(self, e: Expr) -> Column | None:
         """One column, not named yet."""
         match e:
             case Col(name):
-                return quoted(name) if name in self.types else None
+                return self.column(name)
             case Lit(value):
                 return F.lit(value)
             case Alias(inner, _):

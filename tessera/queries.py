@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -186,7 +187,7 @@ _NATION = TableSchema("nation", (ColumnDef("n_nationkey", "int32"), ColumnDef("n
 def _root(spark: SparkSession) -> str:
     """A new folder: in the cluster's shared one, where there is one."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{shared}/stores/{spark.sparkContext.applicationId}-{id(object())}-{tempfile.mktemp(dir='')[1:]}" if shared else "file://" + tempfile.mkdtemp(prefix="tessera-store-")
+    return f"{shared}/stores/{uuid.uuid4().hex}" if shared else "file://" + tempfile.mkdtemp(prefix="tessera-store-")
 
 
 @query("insert_append", "SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT n_nationkey + 100, n_name, n_regionkey FROM nation")
@@ -270,8 +271,6 @@ over("lineitem", "bench_filter", lambda q: q.filter(_MERGE), f"SELECT * FROM lin
 @query("stream_rollup", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS bucket, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of one file, run to its end; the table that it leaves."""
-    import uuid
-
     schema = read(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
     name = f"rollup_{uuid.uuid4().hex}"

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import dataclasses
+import typing
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,3 +52,20 @@ def rows_to_frame(spark: SparkSession, rows: Iterable, schema: TableSchema) -> D
 def unpacked_uuids(value: bytes) -> list[uuid.UUID]:
     """The reverse of how a list of UUIDs is packed."""
     return [uuid.UUID(bytes=value[k : k + 16]) for k in range(0, len(value), 16)][::-1]
+
+
+def rows_from_frame(df: DataFrame, kind: type) -> Iterator:
+    """Dataclass instances of a frame's rows, one partition at a time; a family's columns that aren't null are its dict."""
+    hints = typing.get_type_hints(kind)
+    families = {f.name for f in dataclasses.fields(kind) if typing.get_origin(hints[f.name]) is dict}
+    for row in df.toLocalIterator():
+        values = row.asDict()
+        own = {}
+        for f in dataclasses.fields(kind):
+            if f.name in families:
+                own[f.name] = {c[len(f.name) + 1 :]: v for c, v in values.items() if c.startswith(f.name + ".") and v is not None}
+            elif f.name in values:
+                value = values[f.name]
+                uuids = typing.get_args(hints[f.name]) == (uuid.UUID,)
+                own[f.name] = unpacked_uuids(bytes(value or b"")) if uuids else value
+        yield kind(**own)

@@ -21,9 +21,10 @@ HASHED = "hashed."
 
 
 def type_of(name: str) -> T.DataType:
+    """A declared type: one of TYPES, a list<> of one, or any nested type in Spark's own words."""
     if name.startswith("list<"):
         return T.ArrayType(type_of(name[5:-1]))
-    return TYPES[name]
+    return TYPES[name] if name in TYPES else T.DataType.fromDDL(name)
 
 
 @dataclass(frozen=True)
@@ -99,7 +100,9 @@ class TableSchema:
         names = {v.simpleString(): k for k, v in TYPES.items()}
 
         def spell(kind: T.DataType) -> str:
-            return f"list<{spell(kind.elementType)}>" if isinstance(kind, T.ArrayType) else names[kind.simpleString()]
+            if isinstance(kind, T.ArrayType):
+                return f"list<{spell(kind.elementType)}>"
+            return names.get(kind.simpleString(), kind.simpleString())
 
         out = []
         for family in families:

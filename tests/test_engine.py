@@ -18,7 +18,7 @@ from tessera.plans.plan_io import from_plan, to_plan
 from tessera.plans.query import Query
 from tessera.sources import ColumnDef, SortKey, Store, TableSchema, expand_maps
 from tessera.sources.connectors import BlockFolder, IcebergTable
-from tessera.sources.ingest import unpacked_uuids
+from tessera.sources.ingest import rows_from_frame, unpacked_uuids
 from tessera.sources.schema import sortable
 
 
@@ -82,6 +82,12 @@ def test_duration_is_a_floor(spark):
     assert rows(q.aggregate([sum_(col("v"))], [Duration(1)]).frame()) == [(-1000, 1), (0, 2), (1000, 3)]
 
 
+def test_struct_fields(spark):
+    q = on(spark, [((1, "x"), 2), ((5, None), 3)], "s struct<a:long,b:string>, v long")
+    assert rows(q.filter(col("s.a").gt(2)).project(col("s.a"), col("s.b"), col("s.nobody")).frame()) == [(5, None)]
+    assert rows(q.aggregate([sum_(col("v"))], [col("s.b")]).frame()) == [("x", 2), (None, 3)]
+
+
 def test_division(spark):
     q = on(spark, [(-7, 2, 1.0, 0.0), (7, 0, 1.0, 4.0)], "a long, b long, x double, y double")
     assert rows(q.project(div(col("a"), col("b")), div(col("x"), col("y"))).frame()) == [(-3, None), (None, 0.25)]
@@ -208,9 +214,18 @@ def test_dataclasses(spark, tmp_path):
     out = {r.example_type: r for r in t.read().collect()}
     assert out["a"]["labels.x"] == "1" and out["a"]["labels.y"] is None and unpacked_uuids(bytes(out["a"].stacktrace)) == ids
     assert out["a"]["values"] == [1, 2]
+    assert sorted(rows_from_frame(t.read(), Sample), key=lambda r: r.example_type) == [Sample("a", {"x": "1"}, ids, 5, [1, 2]), Sample("b", {"y": "2"}, [], 6, [])]
     assert TableSchema.from_frame("sample", t.read(), ("labels",)).definition("labels").type == "string"
 
 
+def test_nested_types(spark, tmp_path):
+    schema = TableSchema("nested", (ColumnDef("labels", "struct<a:string,b:string>", True), ColumnDef("values", "list<int64>", True)))
+    t = Store(spark, f"file://{tmp_path}").table("db", schema)
+    t.insert(spark.createDataFrame([(("x", None), [1, 2])], "labels struct<a:string,b:string>, values array<long>"))
+    assert rows(t.query().filter(col("labels.a").eq("x")).project(col("labels.a"), col("values")).frame()) == [("x", [1, 2])]
+    assert TableSchema.from_frame("nested", t.read()).definition("labels").type == "struct<a:string,b:string>"
+
+
 def test_expand_maps(spark):
     df = spark.createDataFrame([(1, {"b": 1, "a": 2}), (2, None)], "id long, m map<string,long>")
     assert expand_maps(df, "m").columns == ["id", "m.a", "m.b"] and rows(expand_maps(df, "m")) == [(1, 2, 1), (2, None, None)]
