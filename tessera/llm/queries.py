@@ -28,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_join": ngram_join.OP1_SQL,
+        "op2_substring_dedup": substring_dedup.OP2_SQL,
         "op3_quality_rules": quality_rules.OP3_SQL,
         "op8_line_dedup": line_dedup.OP8_SQL,
         "quality_rules_ablations": quality_rules.OP3_ABLATIONS_SQL,

@@ -7,7 +7,9 @@ document is located, and the words it covers are removed.
 2. Confirmed passages. Consecutive windows of one anchor are one passage: at most window + (window - ANCHOR) words.
    A batch's different passages come once, with the smallest and largest id of their documents (so that a frequent
    passage is one row of a batch), to the shard that their anchor belongs to. There all windows of an anchor meet; those of
-   two or more documents are confirmed, each with its first document.
+   two or more documents are confirmed, each with its first document. Windows whose anchor `hot` or more documents have,
+   as a common turn of words does, are passages of their own and meet by the hash of all their words instead, so that no
+   shard grows with an anchor; these anchors are marked in a second bit field.
 3. Automata. Each shard, of about `shard_passages` passages, writes its words as single characters. Confirmed windows that
    follow each other wherever they occur, and have one first document, are one phrase. The phrases are compiled into one
    Aho-Corasick automaton, which locates them in each of the shard's passages.
@@ -22,6 +24,7 @@ ASCII white space; kept words are joined by one space.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -33,13 +36,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .idfield import id_field, maybe_in
-from .shared import documents, parts, stored
+from .shared import WORD, documents, parts, stored
 from .words import Words, binary, chunks, mix
 
 WINDOW = 13
 ANCHOR = 4
 FILTER_BITS = 27
 SHARD_PASSAGES = 4000
+HOT = 10_000
+HOT_BITS = 22
 _U = np.uint64
 
 
@@ -60,7 +65,8 @@ def anchors(found: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _spread(window: int, n_parts: int):
-    """A batch's different anchors as a block for each part: 32 bits of each, and whether two documents of the batch have it."""
+    """A batch's different anchors as a block for each part: 32 bits of each, how many of the batch's documents have it, and
+    whether two of these have different ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,15 +84,16 @@ def _spread(window: int, n_parts: int):
             key, doc = key[order], doc[order]
             first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
             several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first) if len(first) else np.zeros(0, bool)
+            times = np.minimum(np.diff(np.append(first, len(key))), 2**16 - 1).astype(np.uint16)
             key = key[first]
             part = (key >> _U(32)) % _U(n_parts)
             order = np.argsort(part, kind="stable")
             used, start = np.unique(part[order], return_index=True)
-            spans = [order[a:b] for a, b in zip(start, np.append(start[1:], len(order)), strict=True)]
+            spans = np.split(order, start[1:]) if len(used) else []
             short = key.astype(np.uint32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(used.astype(np.int64)), pa.array([short[s].tobytes() for s in spans], pa.binary()), pa.array([np.packbits(several[s]).tobytes() for s in spans], pa.binary())],
-                ["part", "anchors", "several"],
+                [pa.array(used.astype(np.int64)), *(pa.array([x.tobytes() for x in blocks], pa.binary()) for blocks in ([short[s] for s in spans], [times[s] for s in spans], [np.packbits(several[s]) for s in spans]))],
+                ["part", "anchors", "times", "several"],
             )
 
     return run
@@ -96,46 +103,55 @@ def _bit(low: np.ndarray, part: np.ndarray | int, bits: int) -> np.ndarray:
     return mix(low.astype(np.uint64) + (np.asarray(part).astype(np.uint64) << _U(32))) >> _U(64 - bits)
 
 
-def _recurring(bits: int):
-    """Sorted by part: the words of the bit field that a part's recurring anchors set."""
+def _marks(at: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words of a bit field, from `base` on, that these bits set."""
+    word, mask = (at >> _U(6)).astype(np.int64) + base, _U(1) << (at & _U(63))
+    order = np.argsort(word, kind="stable")
+    word, mask = word[order], mask[order]
+    first = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.zeros(0, np.int64)
+    return word[first], np.bitwise_or.reduceat(mask, first) if len(first) else mask
 
-    def of(part: int, blocks: list[np.ndarray], several: list[np.ndarray]) -> pa.RecordBatch:
-        low = np.concatenate([*blocks, *several])
-        low.sort()  # one of `several` is there twice
-        again = np.unique(low[1:][low[1:] == low[:-1]])
-        at = _bit(again, part, bits)
-        word, mask = (at >> _U(6)).astype(np.int64), _U(1) << (at & _U(63))
-        order = np.argsort(word, kind="stable")
-        word, mask = word[order], mask[order]
-        first = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.zeros(0, np.int64)
-        value = np.bitwise_or.reduceat(mask, first) if len(first) else mask
-        return pa.RecordBatch.from_arrays([pa.array(word[first]), pa.array(value.view(np.int64))], ["word", "bits"])
+
+def _recurring(bits: int, hot: int):
+    """Sorted by part: the words of the bit fields that a part's recurring and hot anchors set."""
+
+    def of(part: int, blocks: list[tuple]) -> pa.RecordBatch:
+        low, times, several = (np.concatenate([b[k] for b in blocks]) for k in range(3))
+        order = np.argsort(low, kind="stable")
+        low, times, several = low[order], times[order].astype(np.int64), several[order]
+        first = np.flatnonzero(np.append(True, low[1:] != low[:-1])) if len(low) else np.zeros(0, np.int64)
+        if not len(first):
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["word", "bits"])
+        again = (np.diff(np.append(first, len(low))) > 1) | np.logical_or.reduceat(several, first)
+        many = np.add.reduceat(times, first) >= hot
+        marks = [_marks(_bit(low[first[again]], part, bits), 0), _marks(_bit(low[first[many]], part, HOT_BITS), 1 << (bits - 6))]
+        word, value = (np.concatenate([m[k] for m in marks]) for k in range(2))
+        return pa.RecordBatch.from_arrays([pa.array(word), pa.array(value.view(np.int64))], ["word", "bits"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, blocks, several = None, [], []
+        part, blocks = None, []
         for batch in batches:
-            for p, raw, flags in zip(*(batch.column(c).to_pylist() for c in ("part", "anchors", "several")), strict=True):
+            for p, raw, times, flags in zip(*(batch.column(c).to_pylist() for c in ("part", "anchors", "times", "several")), strict=True):
                 if p != part and blocks:
-                    yield of(part, blocks, several)
-                    blocks, several = [], []
+                    yield of(part, blocks)
+                    blocks = []
                 part = p
                 low = np.frombuffer(raw, np.uint32)
-                blocks.append(low)
-                several.append(low[np.unpackbits(np.frombuffer(flags, np.uint8), count=len(low)).astype(bool)])
+                blocks.append((low, np.frombuffer(times, np.uint16), np.unpackbits(np.frombuffer(flags, np.uint8), count=len(low)).astype(bool)))
         if blocks:
-            yield of(part, blocks, several)
+            yield of(part, blocks)
 
     return run
 
 
-def recurring_anchors(docs: DataFrame, window: int, bits: int) -> np.ndarray:
-    """The bit field of anchors that two or more documents have."""
+def recurring_anchors(docs: DataFrame, window: int, bits: int, hot: int) -> np.ndarray:
+    """The bit field of anchors that two or more documents have, and after it that of hot anchors."""
     n = parts(docs.sparkSession)
-    spread = docs.mapInArrow(_spread(window, n), "part long, anchors binary, several binary")
-    found = spread.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_recurring(bits), "word long, bits long")
-    # at most 2**bits / 64 rows come to the driver
+    spread = docs.mapInArrow(_spread(window, n), "part long, anchors binary, times binary, several binary")
+    found = spread.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_recurring(bits, hot), "word long, bits long")
+    # at most (2**bits + 2**HOT_BITS) / 64 rows come to the driver
     table = found.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    field = np.zeros(1 << (bits - 6), np.uint64)
+    field = np.zeros((1 << (bits - 6)) + (1 << (HOT_BITS - 6)), np.uint64)
     field[table.column("word").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
     return field
 
@@ -155,10 +171,13 @@ def _passages(field, n_parts: int, window: int, bits: int, with_text: bool):
                 anchor, inside = anchors(found, window)
                 if not len(anchor):
                     continue
-                at = _bit(anchor.astype(np.uint32), (anchor >> _U(32)) % _U(n_parts), bits)
+                low, part = anchor.astype(np.uint32), (anchor >> _U(32)) % _U(n_parts)
+                at = _bit(low, part, bits)
                 inside &= (marked[(at >> _U(6)).astype(np.int64)] >> (at & _U(63)) & _U(1)).astype(bool)
+                at = _bit(low, part, HOT_BITS)
+                hot = (marked[(at >> _U(6)).astype(np.int64) + (1 << (bits - 6))] >> (at & _U(63)) & _U(1)).astype(bool)
                 text = np.repeat(np.arange(found.size), np.diff(found.first))
-                joined = inside[1:] & inside[:-1] & (anchor[1:] == anchor[:-1]) & (text[1 : len(anchor)] == text[: len(anchor) - 1])
+                joined = inside[1:] & inside[:-1] & ~hot[1:] & (anchor[1:] == anchor[:-1]) & (text[1 : len(anchor)] == text[: len(anchor) - 1])
                 first = np.flatnonzero(inside & ~np.append(False, joined))
                 last = np.flatnonzero(inside & ~np.append(joined, False))
                 # the key hashes all words of the passage: sums over prefixes of each word's hash by its place in the text
@@ -169,19 +188,20 @@ def _passages(field, n_parts: int, window: int, bits: int, with_text: bool):
                 key = mix((prefix[first + length] - prefix[first]) * inverse[first] + length.astype(np.uint64))
                 owner = text[first]
                 doc = ids[owner + begin]
+                meets = np.where(hot[first], key, anchor[first])
                 if with_text:
                     raw = found.buf.tobytes()
                     begins, ends = found.starts[first], found.ends[last + window - 1]
-                    order, group = _grouped(anchor[first], key)
+                    order, group = _grouped(meets, key)
                     rep = order[group]
                     spans = zip(begins[rep].tolist(), ends[rep].tolist(), strict=True)
                     low, high = (f.reduceat(doc[order], group) if len(group) else doc for f in (np.minimum, np.maximum))
-                    for part, new in zip(found_all, (anchor[first][rep], key[rep], np.stack([low, high]), [b" ".join(raw[a:b].split()) for a, b in spans]), strict=True):
+                    for part, new in zip(found_all, (meets[rep], key[rep], np.stack([low, high]), [b" ".join(raw[a:b].split()) for a, b in spans]), strict=True):
                         part.append(new)
                     continue
                 tags = np.array([xxhash.xxh64_intdigest(t) for t in own], np.uint64).view(np.int64)
                 start = (first - found.first[owner]).astype(np.int32)
-                columns = [pa.array(x) for x in (anchor[first].view(np.int64), key.view(np.int64), doc, tags[owner], start)]
+                columns = [pa.array(x) for x in (meets.view(np.int64), key.view(np.int64), doc, tags[owner], start)]
                 yield pa.RecordBatch.from_arrays(columns, ["anchor", "key", "doc_id", "tag", "start"])
             if found_all[0]:
                 anchor, key, docs = np.concatenate(found_all[0]), np.concatenate(found_all[1]), np.concatenate(found_all[2], axis=1)
@@ -285,15 +305,19 @@ def _locate(window: int, most: int):
                 rows.append([anchor, key, low, high, passage])
         if rows:
             yield out(rows)
+        del rows
+        gc.collect()
 
     return run
 
 
-def _remove(window: int, keep_text: bool):
-    """Words that stay, from the windows located in each text."""
+def _remove(window: int, keep_text: bool, marked=None):
+    """Words that stay, from the phrases located in each text; with `marked`, of rows whose id surely has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if marked is not None:
+                batch = batch.filter(pa.array(~maybe_in(marked.value, batch.column("doc_id"))))
             n_words, n_removed, kept_texts, digests = [], [], [], []
             hits = batch.column("hits") if "hits" in batch.schema.names else pa.nulls(len(batch))
             for k, text in enumerate(binary(batch.column("text"))):
@@ -325,13 +349,13 @@ def _remove(window: int, keep_text: bool):
     return run
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, filter_bits: int = FILTER_BITS, shard_passages: int = SHARD_PASSAGES, keep_text: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, filter_bits: int = FILTER_BITS, shard_passages: int = SHARD_PASSAGES, hot: int = HOT, keep_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and (with keep_text) the kept text of each row of docs(doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     named = docs.where("doc_id IS NOT NULL")
     n = parts(spark)
-    field = spark.sparkContext.broadcast(recurring_anchors(named, window, filter_bits))
+    field = spark.sparkContext.broadcast(recurring_anchors(named, window, filter_bits, hot))
     passages = named.mapInArrow(_passages(field, n, window, filter_bits, True), "anchor long, key long, low long, high long, passage binary")
     passages = passages.repartition(n, "anchor").sortWithinPartitions("anchor", "key", "passage")
     located = stored(passages.mapInArrow(_locate(window, shard_passages), "anchor long, key long, shift int, length int, first long"), "located")
@@ -341,19 +365,30 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, filter_bits: int = FI
     hits = stored(hits.groupBy(F.col("doc_id").alias("hit_id")).agg(F.collect_list("hit").alias("hits")), "hits")  # of one document: in all less than its text
     marked = spark.sparkContext.broadcast(id_field(hits.select("hit_id")))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, text string"
-    whole = docs.mapInArrow(_only(marked, False), docs.schema).mapInArrow(_remove(window, keep_text), schema)
-    joined = docs.mapInArrow(_only(marked, True), docs.schema).join(hits.hint("shuffle_hash"), F.col("doc_id") == F.col("hit_id"), "left")
+    whole = docs.mapInArrow(_remove(window, keep_text, marked), schema)
+    joined = docs.mapInArrow(_marked(marked), docs.schema).join(hits.hint("shuffle_hash"), F.col("doc_id") == F.col("hit_id"), "left")
     out = whole.union(joined.select("doc_id", "text", "hits").mapInArrow(_remove(window, keep_text), schema))
     return out if keep_text else out.drop("text")
 
 
-def _only(marked, there: bool):
+def _marked(marked):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(maybe_in(marked.value, batch.column("doc_id")) == there))
+            yield batch.filter(pa.array(maybe_in(marked.value, batch.column("doc_id"))))
 
     return run
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir), keep_text=False)
+
+
+OP2_SQL = rf"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM words)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first FROM windows) WHERE first < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {WINDOW})) AS p FROM later),
+single AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM words),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS t FROM single ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)"""
