@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import documents, stored
+from .tidying import tidied
 from .words import binary, chunks
 
 CHUNK, HOP, STRIDE, WIDTH, DIM, FILTERS = 512, 448, 4, 8, 8, 48
@@ -119,6 +120,7 @@ def scores(texts: list[bytes], w: Weights) -> np.ndarray:
 
 
 def _some_chunks(each: int):
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -151,6 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, chunks_e
 
 
 def _score(w: Weights | None):
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.full(len(batch), 0.5) if w is None else scores(binary(batch.column(batch.num_columns - 1)), w)
@@ -165,6 +168,7 @@ def score(docs: DataFrame, w: Weights | None) -> DataFrame:
 
 
 def _accept(w: Weights | None, cut: float):
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.full(len(batch), 0.5) if w is None else scores(binary(batch.column("text")), w)

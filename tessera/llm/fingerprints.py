@@ -27,6 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import documents, parts, stored
+from .tidying import tidied
 from .words import _PLACE, Words, chunks, mix
 
 _U = np.uint64
@@ -171,6 +172,7 @@ def fingerprint_rows(ids: list, texts: list[str], following: list[str]) -> Itera
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
+@tidied
 def _sorted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of one partition in order, each with the next. The first and the last row's texts come as rows of their own."""
     names = [*(x.split()[0] for x in _SCHEMA.split(", ")), "head", "tail"]
@@ -193,6 +195,7 @@ def _sorted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *empty, pa.array([head]), pa.array(texts)], names)
 
 
+@tidied
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield from fingerprint_rows(*(batch.column(c).to_pylist() for c in ("doc_id", "tail", "following")))

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tidying import tidied
 from .words import mix
 
 BITS = 25
@@ -19,6 +20,7 @@ def _bit(ids: pa.Array) -> np.ndarray:
     return mix(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) >> _U(64 - BITS)
 
 
+@tidied
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = _bit(batch.column(0))

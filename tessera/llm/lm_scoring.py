@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from .classifier import remainder
 from .shared import documents, parts, stored
+from .tidying import tidied
 from .words import Words, binary, chunks
 
 ORDER = 5
@@ -81,6 +82,7 @@ _built: dict[str, tuple] = {}
 END_HASH = np.uint64(0x9B97_5CE1_0000_0001)
 
 
+@tidied
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """kind (0: byte string, 1: word), key and n of each batch's training texts."""
     _built.clear()  # of a query before
@@ -242,6 +244,7 @@ def _score(trie_levels, frequent, n_parts: int):
     """What frequent words and bytes give for each row of a batch (kind 1), and other words in blocks for each part (kind 2)."""
     name = uuid.uuid4().hex
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, lookup, common_log = _model(name, trie_levels, frequent)
         end_log = float(common_log[lookup(np.array([END_HASH]))[0]]) if lookup(np.array([END_HASH]))[0] >= 0 else float(np.log10(0.5))
@@ -297,6 +300,7 @@ def _rows(kind: int, n: int, **columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, [name for name, _ in fields])
 
 
+@tidied
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Vocabulary rows (part, key, n) of one batch as a block for each part, kind 0."""
     for batch in batches:
@@ -311,6 +315,7 @@ def _bytes(x: np.ndarray) -> pa.Array:
     return pa.array([x.tobytes()], pa.binary())
 
 
+@tidied
 def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted by part and kind: a part's vocabulary, then blocks of batches' words, each giving its rows' sums (kind 3)."""
     part, held, lookup, log = None, [], None, None
@@ -332,6 +337,7 @@ def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows(3, 1, batch=pa.array([number]), rows=_bytes(used), counts=_bytes(known), sums=_bytes(np.bincount(own, n * log[at], len(used))))
 
 
+@tidied
 def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted by batch and kind: a batch's rows, then sums of its other words."""
     now: list | None = None

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from .idfield import id_field, maybe_in
 from .shared import connected_components, documents, parts, stored
+from .tidying import tidied
 from .words import _PLACE, Words, binary, chunks, mix
 
 _U = np.uint64
@@ -77,6 +78,7 @@ def band_keys(sets: list[np.ndarray], bands: int) -> np.ndarray:
 
 
 def _sets(words: int, bands: int):
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, left, right, keys = [], [], [], []
@@ -100,6 +102,7 @@ def _sets(words: int, bands: int):
 def _chosen_sets(field, words: int):
     """Sets of the rows whose id may be wanted."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = field.value
         for batch in batches:
@@ -122,6 +125,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _linked(percent: int):
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = (batch.column(c) for c in ("left", "right"))
@@ -233,6 +237,7 @@ def _trees(percent: int):
         cut = len(sides[0])
         return [(rows[k][4], rows[l][4]) for k, l in tree_links(sets[:cut], sets[cut:] if len(sides) > 1 else None, groups, percent)]
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for batch in batches:

@@ -13,6 +13,7 @@ same id each get their pieces. A null id is an id like others.
 
 from __future__ import annotations
 
+import functools
 import json
 import math
 import os
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import documents, parts
+from .tidying import tidied
 from .token_counts import _PLAIN, tokenizer_path
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -45,19 +47,24 @@ class Encoder:
     def __init__(self, path: str):
         import tiktoken
         from public_tokenizers import PATTERN
-        from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.slow = Tokenizer.from_file(path)
+        self.path = path
         with open(path) as f:
-            vocab = json.load(f)["model"]["vocab"]
+            data = json.load(f)
         # byte-level files write a byte as a printable character: itself, or else the next code point from 256
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(printable))}
-        special = {x.content for x in self.slow.get_added_tokens_decoder().values()}
-        ranks = {bytes(byte_of[c] for c in token): rank for token, rank in vocab.items() if token not in special}
+        special = {x["content"] for x in data["added_tokens"]}
+        ranks = {bytes(byte_of[c] for c in token): rank for token, rank in data["model"]["vocab"].items() if token not in special}
         self.fast = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @functools.cached_property
+    def slow(self):
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        return Tokenizer.from_file(self.path)
+
     def __call__(self, text: str) -> list[int]:
         if "<|" not in text and _PLAIN.fullmatch(text):
             return self.fast.encode_ordinary(text)
@@ -159,6 +166,7 @@ def pack_shard(shard: int, doc_ids: list, ids: list[np.ndarray], window: int = W
 
 
 def _tokens(path: str):
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for batch in batches:
@@ -170,6 +178,7 @@ def _tokens(path: str):
 
 
 def _pack(window: int):
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, doc_ids, ids = None, [], []
         for batch in batches:

@@ -24,7 +24,6 @@ ASCII white space; kept words are joined by one space.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -37,6 +36,7 @@ from pyspark.sql import functions as F
 
 from .idfield import id_field, maybe_in
 from .shared import WORD, documents, parts, stored
+from .tidying import tidied
 from .words import Words, binary, chunks, mix
 
 WINDOW = 13
@@ -68,6 +68,7 @@ def _spread(window: int, n_parts: int):
     """A batch's different anchors as a block for each part: 32 bits of each, how many of the batch's documents have it, and
     whether two of these have different ids."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
@@ -128,6 +129,7 @@ def _recurring(bits: int, hot: int):
         word, value = (np.concatenate([m[k] for m in marks]) for k in range(2))
         return pa.RecordBatch.from_arrays([pa.array(word), pa.array(value.view(np.int64))], ["word", "bits"])
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, blocks = None, []
         for batch in batches:
@@ -160,6 +162,7 @@ def _passages(field, n_parts: int, window: int, bits: int, with_text: bool):
     """anchor and key of each passage, with (with_text) low and high, the smallest and largest id of a batch's documents that
     have it, and its text, once, or (otherwise) each document, its text's tag and the place of the first word."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = field.value
         for batch in batches:
@@ -291,6 +294,7 @@ def _locate(window: int, most: int):
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, kinds, strict=True)], ["anchor", "key", "shift", "length", "first"])
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[list] = []
         for batch in batches:
@@ -305,8 +309,6 @@ def _locate(window: int, most: int):
                 rows.append([anchor, key, low, high, passage])
         if rows:
             yield out(rows)
-        del rows
-        gc.collect()
 
     return run
 
@@ -314,6 +316,7 @@ def _locate(window: int, most: int):
 def _remove(window: int, keep_text: bool, marked=None):
     """Words that stay, from the phrases located in each text; with `marked`, of rows whose id surely has none."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if marked is not None:
@@ -372,6 +375,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, filter_bits: int = FI
 
 
 def _marked(marked):
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(maybe_in(marked.value, batch.column("doc_id"))))

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import SPACE, documents, shared_dir, stored
+from .tidying import tidied
 
 WORD_BPE = "word_bpe_49k.json"
 CACHE_SCHEMA = "digest string, tokenizer string, n_tokens long"
@@ -75,6 +76,7 @@ class Counter:
 
 
 def _encode(path: str, pieces: bool):
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = Counter(path, pieces)
         for batch in batches:
