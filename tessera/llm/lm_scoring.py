@@ -6,10 +6,14 @@ are their sums, so counts at every depth are exact. A byte that the deepest know
 escape, of probability D / (N + D) for D different symbols among N (method C), and the next shorter context predicts it
 with the longer one's symbols excluded. Below the empty context all bytes not seen are equally likely.
 
-The trie holds the strings that occur at least `t` times, with the smallest t that leaves no more than `nodes` of them: a
-bound on what is broadcast, and not on what is counted. A string's suffix occurs no less often, so that each node's
-shorter context is in the trie, as exclusion needs. adaptive_bits() is the same model with counts that
-start empty and grow along one text.
+All counted strings are kept. They are dealt to parts by the last two bytes of their context, so that a part's trie has
+all longer contexts that end in these bytes and answers alone for each string that has such a context; the strings of one
+and two bytes, at most 2^16 + 2^8, are broadcast to all parts. A byte's probability depends on its string only: a unit of
+texts of about `_UNIT` bytes sends its different strings, once each, as blocks to the parts that hold them, and gets their
+log probabilities back as blocks (of 32 bits each), to where its texts are scored. Only where a caller gives `nodes`, strings that occur less
+than `t` times are left out, with the smallest t that leaves no more than `nodes` of them; a string's suffix occurs no
+less often, so that each node's shorter context stays, as exclusion needs. adaptive_bits() is the same model with counts
+that start empty and grow along one text.
 
 Words of the baseline are known by 64-bit hashes. Training texts' counts of the most frequent words, at most `frequent`,
 are broadcast; other words go, as blocks of hashes and counts for each batch, to the partition that holds their part of
@@ -37,10 +41,11 @@ from .tidying import tidied
 from .words import Words, binary, chunks
 
 ORDER = 5
-NODES = 1 << 20
 FREQUENT = 1 << 17
 _U = np.uint64
 _STEP = 1 << 20
+_UNIT = 1 << 24
+_SHARED = 2
 
 
 def canon(text: bytes) -> bytes:
@@ -227,61 +232,99 @@ def adaptive_bits(text: bytes) -> float:
     return float(bits)
 
 
-#: kind 0: a part's vocabulary; 1: a batch's rows; 2: a batch's words of one part; 3: sums of these. `batch` numbers batches.
-_BLOCK = "kind int, part long, batch long, ids array<long>, hashes binary, rows binary, counts binary, sums binary, scores binary"
+#: kind 0: a part's vocabulary or strings; 1: a unit's rows; 2: a unit's words of one part; 3: sums of these; 4: a unit's
+#: strings of one part; 5: log probabilities of these. `batch` numbers units.
+_BLOCK = "kind int, part long, batch long, ids array<long>, hashes binary, rows binary, counts binary, sums binary, scores binary, texts binary"
 
 
-def _model(name: str, trie_levels, frequent) -> tuple[Trie, Lookup, np.ndarray]:
+def _model(name: str, frequent) -> tuple[Lookup, np.ndarray]:
     """Built once in each Python worker."""
     if name not in _built:
         _built.clear()
         common, common_n = frequent.value
-        _built[name] = Trie(trie_levels.value), Lookup(common), np.log10(common_n + 0.5)
+        _built[name] = Lookup(common), np.log10(common_n + 0.5)
     return _built[name]
 
 
-def _score(trie_levels, frequent, n_parts: int):
-    """What frequent words and bytes give for each row of a batch (kind 1), and other words in blocks for each part (kind 2)."""
+def _squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _whole(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _planes(code: np.ndarray) -> bytes:
+    """Sorted strings byte by byte: the first bytes of all, then the second ones, and so on."""
+    return _squeezed(code.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : ORDER + 1].T.tobytes())
+
+
+def _of_planes(data: bytes) -> np.ndarray:
+    own = np.frombuffer(_whole(data), np.uint8).reshape(ORDER + 1, -1)
+    code = np.zeros((own.shape[1], 8), np.uint8)
+    code[:, : ORDER + 1] = own.T
+    return code.view("<u8").ravel()
+
+
+def _part_of(code: np.ndarray, n_parts: int) -> np.ndarray:
+    """By the last bytes of the context; lm_scores() has the same in Spark."""
+    return ((((code >> _U(8) & _low(_SHARED)) * _U(2654435761) & _low(4)) >> _U(8)) % _U(n_parts)).astype(np.int64)
+
+
+def _score(frequent, n_parts: int, code_parts: int):
+    """What frequent words give for each row of a unit, and its texts (kind 1), and other words (kind 2) and byte strings
+    (kind 4) in blocks for each part; no byte strings without code_parts."""
     name = uuid.uuid4().hex
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, lookup, common_log = _model(name, trie_levels, frequent)
+        lookup, common_log = _model(name, frequent)
         end_log = float(common_log[lookup(np.array([END_HASH]))[0]]) if lookup(np.array([END_HASH]))[0] >= 0 else float(np.log10(0.5))
         end_known = int(lookup(np.array([END_HASH]))[0] >= 0)
         context = TaskContext.get()
         number = (context.partitionId() if context else 0) << 32
         for batch in batches:
-            texts = binary(batch.column("text"))
-            n = len(texts)
-            n_tokens, n_known, words, score = np.ones(n, np.int64), np.full(n, end_known), np.full(n, end_log), np.zeros(n)
-            rare: list[tuple] = []
-            for begin, own in chunks(texts, _STEP // 4):
-                own = [canon(t) for t in own]
-                code, first = grams(own)
-                at = slice(begin, begin + len(own))
-                score[at] = np.add.reduceat(trie.log10(code), first)
-                found = Words(own)
-                text = np.repeat(np.arange(len(own)), np.diff(found.first)) + begin
-                place = lookup(found.hashes)
-                hit = place >= 0
-                n_tokens[at] += np.diff(found.first)
-                n_known += np.bincount(text[hit], minlength=n)
-                words += np.bincount(text[hit], common_log[place[hit]], minlength=n)
-                h, t = found.hashes[~hit], text[~hit]
-                order = np.lexsort((t, h))
-                h, t = h[order], t[order]
-                new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (t[1:] != t[:-1]))) if len(h) else np.zeros(0, np.int64)
-                rare.append((h[new], t[new], np.diff(np.append(new, len(h)))))
-            yield _rows(1, 1, batch=pa.array([number]), ids=pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())), rows=_bytes(n_tokens), counts=_bytes(n_known.astype(np.int64)), sums=_bytes(words), scores=_bytes(score))
-            h, t, c = (np.concatenate([x[k] for x in rare]) for k in range(3)) if rare else (np.zeros(0, np.uint64),) * 3
-            part = (h % _U(n_parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            used, spans = _spans(part, order)
-            blobs = {k: pa.array([x[s].astype(kind).tobytes() for s in spans], pa.binary()) for k, x, kind in (("hashes", h, "<u8"), ("rows", t, "<u4"), ("counts", c, "<u4"))}
-            if len(used):
-                yield _rows(2, len(used), part=pa.array(used), batch=pa.array(np.full(len(used), number)), **blobs)
-            number += 1
+            ids = batch.column("doc_id").to_pylist()
+            for at_unit, texts in chunks(binary(batch.column("text")), _UNIT):
+                n = len(texts)
+                n_tokens, n_known, words = np.ones(n, np.int64), np.full(n, end_known), np.full(n, end_log)
+                rare: list[tuple] = []
+                codes: list[np.ndarray] = []
+                canons: list[bytes] = []
+                for begin, own in chunks(texts, _STEP // 4):
+                    own = [canon(t) for t in own]
+                    canons += own
+                    codes.append(tallied(grams(own)[0])[0])
+                    if len(codes) > 16:
+                        codes = [tallied(np.concatenate(codes))[0]]
+                    at = slice(begin, begin + len(own))
+                    found = Words(own)
+                    text = np.repeat(np.arange(len(own)), np.diff(found.first)) + begin
+                    place = lookup(found.hashes)
+                    hit = place >= 0
+                    n_tokens[at] += np.diff(found.first)
+                    n_known += np.bincount(text[hit], minlength=n)
+                    words += np.bincount(text[hit], common_log[place[hit]], minlength=n)
+                    h, t = found.hashes[~hit], text[~hit]
+                    order = np.lexsort((t, h))
+                    h, t = h[order], t[order]
+                    new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (t[1:] != t[:-1]))) if len(h) else np.zeros(0, np.int64)
+                    rare.append((h[new], t[new], np.diff(np.append(new, len(h)))))
+                # canonical texts have no newline
+                yield _rows(1, 1, batch=pa.array([number]), ids=pa.array([ids[at_unit : at_unit + n]], pa.list_(pa.int64())), rows=_bytes(n_tokens), counts=_bytes(n_known.astype(np.int64)), sums=_bytes(words), texts=pa.array([_squeezed(b"\n".join(canons))], pa.binary()))
+                h, t, c = (np.concatenate([x[k] for x in rare]) for k in range(3))
+                part = (h % _U(n_parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                used, spans = _spans(part, order)
+                blobs = {k: pa.array([x[s].astype(kind).tobytes() for s in spans], pa.binary()) for k, x, kind in (("hashes", h, "<u8"), ("rows", t, "<u4"), ("counts", c, "<u4"))}
+                if len(used):
+                    yield _rows(2, len(used), part=pa.array(used), batch=pa.array(np.full(len(used), number)), **blobs)
+                if code_parts:
+                    code = tallied(np.concatenate(codes))[0]
+                    part = _part_of(code, code_parts)
+                    used, spans = _spans(part, np.argsort(part, kind="stable"))
+                    yield _rows(4, len(used), part=pa.array(used), batch=pa.array(np.full(len(used), number)), hashes=pa.array([_planes(code[s]) for s in spans], pa.binary()))
+                number += 1
 
     return run
 
@@ -337,25 +380,65 @@ def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows(3, 1, batch=pa.array([number]), rows=_bytes(used), counts=_bytes(known), sums=_bytes(np.bincount(own, n * log[at], len(used))))
 
 
+def _answer(shared, least: int):
+    """Sorted by part and kind: a part's strings, then blocks of units' strings, each giving their log probabilities (kind 5)."""
+
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, trie = None, [], None
+        for batch in batches:
+            for p, kind, number, hashes, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "batch", "hashes", "counts")), strict=True):
+                if p != part:
+                    part, held, trie = p, [], None
+                if kind == 0:
+                    held.append((np.frombuffer(hashes, "<u8"), np.frombuffer(counts, "<i8")))
+                    continue
+                if trie is None:
+                    trie, held = Trie(_levels(shared.value, held, least)), []
+                yield _rows(5, 1, batch=pa.array([number]), hashes=pa.array([hashes], pa.binary()), scores=pa.array([_squeezed(trie.log10(_of_planes(hashes)).astype("<f4").tobytes())], pa.binary()))
+
+    return run
+
+
+def _levels(shared: tuple[np.ndarray, np.ndarray], held: list[tuple], least: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """A part's strings of each length: the shortest, which all parts have, and sums of its longest ones."""
+    code, n = _merged(held) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    own = [tallied(shared[0] & _low(k), shared[1]) if k <= _SHARED else tallied(code & _low(k), n) for k in range(1, ORDER + 2)]
+    return [(code[n >= least], n[n >= least]) for code, n in own]
+
+
 @tidied
 def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by batch and kind: a batch's rows, then sums of its other words."""
+    """Sorted by batch and kind: a unit's rows, then sums of its other words and log probabilities of its strings."""
     now: list | None = None
 
     def out() -> pa.RecordBatch:
-        ids, n_tokens, n_known, words, score = now
+        ids, n_tokens, n_known, words, blob, codes, logs = now
+        texts = _whole(blob).split(b"\n")
+        if not codes:  # nothing to learn from
+            score = -np.log10(256.0) * np.array([len(t) + 1 for t in texts])
+        else:
+            lookup, log, score = Lookup(np.concatenate(codes)), np.concatenate(logs).astype(np.float64), np.zeros(len(ids))
+            for begin, own in chunks(texts, _STEP // 4):
+                code, first = grams(own)
+                score[begin : begin + len(own)] = np.add.reduceat(log[lookup(code)], first)
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *map(pa.array, (n_tokens, n_known, words, score))], ["doc_id", "n_tokens", "n_known", "words", "score"])
 
     for batch in batches:
-        for kind, ids, rows, counts, sums, scores in zip(*(batch.column(c).to_pylist() for c in ("kind", "ids", "rows", "counts", "sums", "scores")), strict=True):
+        columns = [batch.column(c) for c in ("kind", "ids", "rows", "counts", "sums", "scores", "hashes", "texts")]
+        for row in zip(*columns, strict=True):
+            kind, ids, rows, counts, sums, scores, hashes, blob = (x.as_py() for x in row)
             if kind == 1:
                 if now:
                     yield out()
-                now = [ids, np.frombuffer(rows, "<i8"), np.frombuffer(counts, "<i8").copy(), np.frombuffer(sums, "<f8").copy(), np.frombuffer(scores, "<f8")]
-            else:
+                now = [ids, np.frombuffer(rows, "<i8"), np.frombuffer(counts, "<i8").copy(), np.frombuffer(sums, "<f8").copy(), blob, [], []]
+            elif kind == 3:
                 at = np.frombuffer(rows, "<u4")
                 now[2][at] += np.frombuffer(counts, "<i8")
                 now[3][at] += np.frombuffer(sums, "<f8")
+            else:
+                now[5].append(_of_planes(hashes))
+                now[6].append(np.frombuffer(_whole(scores), "<f4"))
     if now:
         yield out()
 
@@ -382,7 +465,7 @@ def _at_least(counted: DataFrame, most: int) -> int:
     return max(chosen, at) if at is not None else int(biggest) + 1
 
 
-def lm_scores(docs: DataFrame, train: DataFrame | None = None, nodes: int = NODES, frequent: int = FREQUENT) -> DataFrame:
+def lm_scores(docs: DataFrame, train: DataFrame | None = None, nodes: int | None = None, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of each row of docs(doc_id, text), learning from `train`."""
     spark = docs.sparkSession
     train = docs if train is None else train
@@ -390,26 +473,34 @@ def lm_scores(docs: DataFrame, train: DataFrame | None = None, nodes: int = NODE
     vocabulary = counted.where("kind = 1").select("key", "n")
     train_tokens, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
 
-    strings = counted.where("kind = 0")
-    level = F.explode(F.sequence(F.lit(1), F.lit(ORDER + 1))).alias("k")
-    strings = strings.select(level, "key", "n").select("k", F.col("key").bitwiseAND(F.element_at(F.array(*(F.lit((1 << 8 * k) - 1) for k in range(1, ORDER + 2))), F.col("k"))).alias("key"), "n")
-    strings = stored(strings.groupBy("k", "key").agg(F.sum("n").alias("n")), "lm-strings")
-    kept = strings.where(F.col("n") >= _at_least(strings, nodes))
-    levels = [_collected(kept.where(F.col("k") == k).select("key", "n")) for k in range(1, ORDER + 2)]
+    strings = counted.where("kind = 0").select("key", "n")
+    least = 1
+    if nodes is not None:
+        low = F.array(*(F.lit((1 << 8 * k) - 1) for k in range(1, ORDER + 2)))
+        every = strings.select(F.explode(F.sequence(F.lit(1), F.lit(ORDER + 1))).alias("k"), "key", "n")
+        every = every.select("k", F.col("key").bitwiseAND(F.element_at(low, F.col("k"))).alias("key"), "n")
+        least = _at_least(stored(every.groupBy("k", "key").agg(F.sum("n").alias("n")), "lm-strings"), nodes)
+    shortest = strings.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * _SHARED) - 1)).alias("key")).agg(F.sum("n").alias("n"))
     often = F.col("n") >= _at_least(vocabulary, frequent)
-    common = _collected(vocabulary.where(often))
-    # both bounded: `nodes` and `frequent` rows at most
-    trie, top = spark.sparkContext.broadcast(levels), spark.sparkContext.broadcast(common)
+    # both bounded: 2^16 and `frequent` rows at most
+    known, common = _collected(shortest), _collected(vocabulary.where(often))
+    shared, top = spark.sparkContext.broadcast(known), spark.sparkContext.broadcast(common)
 
     n_parts = max(parts(spark), int(distinct) // 500_000 + 1)
-    scored = stored(docs.select("doc_id", "text").mapInArrow(_score(trie, top, n_parts), _BLOCK), "lm-scores")
+    code_parts = max(parts(spark), strings.count() // 250_000 + 1)
+    scored = stored(docs.select("doc_id", "text").mapInArrow(_score(top, n_parts, code_parts if len(known[0]) else 0), _BLOCK), "lm-scores")
+    lean = scored.withColumn("texts", F.lit(None).cast("binary"))
+    ends = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * _SHARED) - 1))
+    ends = F.pmod(F.shiftright((ends * F.lit(2654435761)).bitwiseAND(F.lit((1 << 32) - 1)), 8), F.lit(code_parts)).cast("long")
+    asked = strings.select(ends.alias("part"), "key", "n").mapInArrow(_blocks, _BLOCK).union(lean.where("kind = 4"))
+    answers = asked.repartition(code_parts, "part").sortWithinPartitions("part", "kind").mapInArrow(_answer(shared, least), _BLOCK)
     part = F.pmod(F.col("key"), F.lit(n_parts))
     # the hash as an unsigned number modulo n_parts
     part = F.when(F.col("key") >= 0, part).otherwise(F.pmod(F.pmod(F.col("key"), F.lit(n_parts)) + F.lit(2**64 % n_parts), F.lit(n_parts)))
     blocks = vocabulary.where(~often).select(part.alias("part"), "key", "n").mapInArrow(_blocks, _BLOCK)
-    both = blocks.union(scored.where("kind = 2"))
+    both = blocks.union(lean.where("kind = 2"))
     sums = both.repartition(n_parts, "part").sortWithinPartitions("part", "kind").mapInArrow(_join, _BLOCK)
-    own = scored.where("kind = 1").union(sums).repartition(parts(spark), "batch").sortWithinPartitions("batch", "kind", "part")
+    own = scored.where("kind = 1").union(sums).union(answers).repartition(parts(spark), "batch").sortWithinPartitions("batch", "kind", "part")
     out = own.mapInArrow(_together, "doc_id long, n_tokens long, n_known long, words double, score double")
     base = F.col("words") - F.col("n_tokens") * F.log10(F.lit(train_tokens + 0.5 * (distinct + 1)))
     return out.select("doc_id", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

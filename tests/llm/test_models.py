@@ -266,6 +266,26 @@ def test_scores_by_hand(spark, nodes):
         assert a[:4] == b[:4] and abs(a[4] - b[4]) < 1e-3 and abs(a[5] - b[5]) < 0.02 + 1e-5 * abs(b[5])
 
 
+def test_no_string_is_left_out(spark):
+    """More than 2^20 different strings, most of which occur once, score as all of them together say."""
+    rng = random.Random(5)
+    rows = [(k, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(1, 9))) for _ in range(250))) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm_scoring.lm_scores(docs, docs.where("doc_id >= 3")).collect()}
+    order, pad = lm_scoring.ORDER, b"\n" * lm_scoring.ORDER
+    counts: list[dict] = [{} for _ in range(order + 1)]
+    for _, t in rows[3:]:
+        data = pad + t.encode() + b"\n"
+        for i in range(order, len(data)):
+            for k in range(order + 1):
+                own = counts[k].setdefault(data[i - k : i], {})
+                own[data[i]] = own.get(data[i], 0) + 1
+    assert sum(len(own) for level in counts for own in level.values()) > 1 << 20
+    for i, t in rows[:6]:
+        want = naive_log10(counts, pad + t.encode() + b"\n")
+        assert abs(got[i] - want) < 1e-5 * abs(want)
+
+
 def test_probabilities_sum_to_one():
     texts = [b"the cat sat on the mat", b"the dog sat", b"a cat and a dog"]
     top = lm_scoring.tallied(lm_scoring.grams(texts)[0])
