@@ -1,8 +1,11 @@
 """Lexical retrieval packing: documents fill windows of tokens with their nearest neighbours by BM25.
 
-Documents are dealt by a hash of their id to shards of about `shard_docs`. A shard holds one inverted index over its
-documents' token ids. A seed starts a window; the unused documents that BM25 ranks highest for the seed's weightiest
-terms follow until the window is full. The document that crosses a window's end is cut there; its rest starts the next
+Numbers of documents by term, of all documents, and their mean length are those of the whole corpus. Documents are dealt by
+content to shards of about `shard_docs`: by the term that weighs most in them, terms in turn until a shard is full. A term of
+more documents has several shards, by the term that weighs second, and a pair of terms of more documents has several by a
+hash of the id. A shard holds one inverted index over its documents' token ids; neighbours in other shards aren't found. A
+seed starts a window; the unused documents that BM25 ranks highest for all the seed's terms follow until the window is full
+or none of them is left. The document that crosses a window's end is cut there; its rest starts the next
 window, as its seed. What a shard has left at its end, less than a window, is cut at powers of two, the largest first:
 no sequence is padded.
 
@@ -25,14 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, parts
+from .shared import documents, parts, stored
 from .tidying import tidied
 from .token_counts import _PLAIN, tokenizer_path
+from .words import chunks
 
 BYTE_BPE = "byte_bpe_50k.json"
 END = 1
 WINDOW = 2048
 SHARD_DOCS = 2048
+VOCABULARY = 1 << 16
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _encoders: dict = {}
 
@@ -77,36 +82,97 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+class Corpus:
+    """What BM25 takes from all documents: how many there are, how many have each term, and their mean length."""
+
+    def __init__(self, df: np.ndarray, docs: int, tokens: int):
+        self.df, self.docs, self.mean = df, docs, max(tokens / max(docs, 1), 1.0)
+        self.idf = np.log1p((docs - df + 0.5) / (df + 0.5))
+
+    @staticmethod
+    def of(ids: list[np.ndarray]) -> Corpus:
+        return Corpus(np.bincount(occurrences(ids)[1], minlength=VOCABULARY), len(ids), sum(map(len, ids)))
+
+    def weight(self, term: np.ndarray, tf: np.ndarray, length: np.ndarray, k1: float = 1.2, b: float = 0.75) -> np.ndarray:
+        return self.idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / self.mean))
+
+    def keys(self, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The two terms that weigh most in each document, of those that others have."""
+        doc, term, tf = occurrences(ids)
+        weight = self.weight(term, tf, np.fromiter(map(len, ids), np.int64, len(ids))[doc]) * (self.df[term] > 1)
+        order = np.lexsort((term, -weight, doc))
+        term, n = term[order], np.bincount(doc, minlength=len(ids))
+        first = np.cumsum(n) - n
+        return term[first], term[first + (n > 1)]
+
+
+def occurrences(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, term and count of each term of a document, in this order."""
+    doc = np.repeat(np.arange(len(ids)), np.fromiter(map(len, ids), np.int64, len(ids)))
+    key, tf = np.unique(doc << 16 | np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.int64), return_counts=True)
+    return key >> 16, key & 0xFFFF, tf
+
+
+class Deal:
+    """Shards by content from the numbers of documents by first term, and of pairs of terms that fill a shard alone."""
+
+    def __init__(self, terms: dict[int, int], pairs: dict[tuple[int, int], int], shard_docs: int):
+        rest = dict(terms)
+        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
+        self.base, self.width = np.zeros(VOCABULARY, np.int64), np.ones(VOCABULARY, np.int64)
+        shard = filled = 0
+        for (first, second), n in sorted(pairs.items()):
+            rest[first] -= n
+            self.pairs[first, second] = shard, math.ceil(n / shard_docs)
+            shard += math.ceil(n / shard_docs)
+        for term, n in sorted(rest.items()):
+            if filled and filled + n > shard_docs:
+                shard, filled = shard + 1, 0
+            self.base[term], self.width[term] = shard, max(1, math.ceil(n / shard_docs))
+            filled += n
+            if n > shard_docs:
+                shard, filled = shard + int(self.width[term]), 0
+        self.shards = shard + 1
+
+    def __call__(self, first: np.ndarray, second: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+        out = self.base[first] + (second * 2654435761 >> 8) % self.width[first]
+        for k, pair in enumerate(zip(first.tolist(), second.tolist(), strict=True) if self.pairs else ()):
+            if pair in self.pairs:
+                base, width = self.pairs[pair]
+                out[k] = base + int(hashed[k]) % width
+        return out
+
+
 class Index:
     """BM25 over one shard: postings by term, with each posting's weight."""
 
-    def __init__(self, ids: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
+    def __init__(self, ids: list[np.ndarray], corpus: Corpus | None = None):
         n = len(ids)
+        corpus = corpus or Corpus.of(ids)
         length = np.fromiter(map(len, ids), np.int64, n)
         doc = np.repeat(np.arange(n), length)
         key, tf = np.unique(np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.int64) * n + doc, return_counts=True)
         term, self.doc = key // n, key % n
         self.terms, first, df = np.unique(term, return_index=True, return_counts=True)
         self.first = np.append(first, len(term))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = k1 * (1 - b + b * length / max(length.mean(), 1.0))
-        self.weight = np.repeat(idf, df) * tf * (k1 + 1) / (tf + norm[self.doc])
-        # a document's own terms by weight; a term of one document only finds nobody
-        self.row = np.repeat(np.arange(len(df)), df)
+        self.weight = corpus.weight(term, tf, length[self.doc])
+        # a document's own terms; a term of one document only finds nobody
+        row = np.repeat(np.arange(len(df)), df)
         useful = np.flatnonzero(np.repeat(df, df) > 1)
-        order = useful[np.lexsort((self.row[useful], -self.weight[useful], self.doc[useful]))]
-        self.by_doc, self.at = self.row[order], np.searchsorted(self.doc[order], np.arange(n + 1))
+        order = useful[np.argsort(self.doc[useful], kind="stable")]
+        self.by_doc, self.at = row[order], np.searchsorted(self.doc[order], np.arange(n + 1))
         self.n = n
 
-    def scores(self, seed: int, terms: int) -> np.ndarray:
-        rows = self.by_doc[self.at[seed] : min(self.at[seed + 1], self.at[seed] + terms)]
-        where = np.concatenate([np.arange(self.first[r], self.first[r + 1]) for r in rows]) if len(rows) else np.zeros(0, np.int64)
+    def scores(self, seed: int) -> np.ndarray:
+        rows = self.by_doc[self.at[seed] : self.at[seed + 1]]
+        size = self.first[rows + 1] - self.first[rows]
+        where = np.repeat(self.first[rows] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
         return np.bincount(self.doc[where], self.weight[where], self.n)
 
 
-def order_of(ids: list[np.ndarray], window: int = WINDOW, terms: int = 12, near: int = 32) -> list[int]:
-    """The order in which a shard's documents are laid one after another."""
-    index, n = Index(ids), len(ids)
+def order_of(ids: list[np.ndarray], window: int = WINDOW, near: int = 32, corpus: Corpus | None = None) -> list[int]:
+    """The order in which a shard's documents are laid one after another. near: how many are ranked at a time."""
+    index, n = Index(ids, corpus), len(ids)
     free = np.ones(n, bool)
     out: list[int] = []
     filled, oldest = 0, 0
@@ -117,10 +183,12 @@ def order_of(ids: list[np.ndarray], window: int = WINDOW, terms: int = 12, near:
         out.append(seed)
         free[seed] = False
         filled += len(ids[seed])
-        ranked: list[int] | None = None
+        score: np.ndarray | None = None
+        ranked: list[int] = []
         while filled % window and len(out) < n:
-            if ranked is None:
-                score = index.scores(seed, terms)
+            if score is None:
+                score, ranked = index.scores(seed), []
+            if not ranked:
                 score[~free] = 0.0
                 best = np.argpartition(score, -near)[-near:] if n > near else np.arange(n)
                 best = best[np.lexsort((best, -score[best]))]
@@ -136,7 +204,7 @@ def order_of(ids: list[np.ndarray], window: int = WINDOW, terms: int = 12, near:
             before = filled // window
             filled += len(ids[chosen])
             if filled // window > before:  # its rest starts a window
-                seed, ranked = chosen, None
+                seed, score = chosen, None
     return out
 
 
@@ -149,11 +217,11 @@ def cuts(total: int, window: int = WINDOW) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def pack_shard(shard: int, doc_ids: list, ids: list[np.ndarray], window: int = WINDOW) -> pa.RecordBatch:
+def pack_shard(shard: int, doc_ids: list, ids: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = None) -> pa.RecordBatch:
     rows: list[tuple] = []
     edges = cuts(sum(map(len, ids)), window)
     at = 0
-    for k in order_of(ids, window):
+    for k in order_of(ids, window, corpus=corpus):
         n, start = len(ids[k]), 0
         sequence = int(np.searchsorted(edges, at, "right")) - 1
         while start < n:
@@ -172,25 +240,65 @@ def _tokens(path: str):
         for batch in batches:
             # 16 bits hold an id of this vocabulary
             ids = [np.array([*encode(x or ""), END], "<u2").tobytes() for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("doc_id"), pa.array(ids, pa.binary())], ["shard", "doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+
+    return run
+
+
+def _held(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """A batch's token ids, those of some documents at a time, and the place of the first."""
+    for begin, own in chunks(batch.column("ids").to_pylist()):
+        yield begin, [np.frombuffer(x, "<u2").astype(np.uint32) for x in own]
+
+
+@tidied
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents by term; at VOCABULARY the number of documents, after it that of tokens."""
+    n = np.zeros(VOCABULARY + 2, np.int64)
+    for batch in batches:
+        for _, ids in _held(batch):
+            n[:-2] += np.bincount(occurrences(ids)[1], minlength=VOCABULARY)
+            n[-2:] += len(ids), sum(map(len, ids))
+    used = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used])], ["term", "n"])
+
+
+def _keys(corpus):
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, ids in _held(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in corpus.value.keys(ids)], ["a", "b"])
+
+    return run
+
+
+def _dealt(corpus, deal):
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashed = batch.column("hashed").to_numpy()
+            shard = [deal.value(*corpus.value.keys(ids), hashed[k : k + len(ids)]) for k, ids in _held(batch)]
+            if shard:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shard)), batch.column("doc_id"), batch.column("ids")], ["shard", "doc_id", "ids"])
 
     return run
 
 
-def _pack(window: int):
+def _pack(window: int, corpus):
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, doc_ids, ids = None, [], []
         for batch in batches:
             for shard, doc_id, own in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "ids")), strict=True):
                 if shard != now and ids:
-                    yield pack_shard(now, doc_ids, ids, window)
+                    yield pack_shard(now, doc_ids, ids, window, corpus.value)
                     doc_ids, ids = [], []
                 now = shard
                 doc_ids.append(doc_id)
                 ids.append(np.frombuffer(own, "<u2").astype(np.uint32))
         if ids:
-            yield pack_shard(now, doc_ids, ids, window)
+            yield pack_shard(now, doc_ids, ids, window, corpus.value)
 
     return run
 
@@ -202,11 +310,19 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, sh
     """
     spark = docs.sparkSession
     path = tokenizer or tokenizer_path(BYTE_BPE)
-    shards = max(1, math.ceil(docs.count() / shard_docs))
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"), "doc_id", "text")
-    coded = dealt.mapInArrow(_tokens(path), "shard long, doc_id long, ids binary")
-    dealt = coded.repartition(min(shards, max(parts(spark), 1)), "shard").sortWithinPartitions("shard", "doc_id", "ids")
-    return dealt.mapInArrow(_pack(window), SCHEMA)
+    coded = stored(docs.select("doc_id", "text").mapInArrow(_tokens(path), "doc_id long, ids binary"), "pack-tokens")
+    counted = dict(coded.select("ids").mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n")).collect())
+    df = np.array([counted.get(k, 0) for k in range(VOCABULARY)])
+    corpus = spark.sparkContext.broadcast(Corpus(df, counted.get(VOCABULARY, 0), counted.get(VOCABULARY + 1, 0)))
+    pairs = stored(coded.select("ids").mapInArrow(_keys(corpus), "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "pack-keys")
+    # both bounded: a row for each id of the vocabulary, and one for each shard at most
+    terms = dict(pairs.groupBy("a").agg(F.sum("n")).collect())
+    large = {(r.a, r.b): r.n for r in pairs.where(F.col("n") > shard_docs).collect()}
+    deal = Deal(terms, large, shard_docs)
+    named = coded.withColumn("hashed", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
+    dealt = named.mapInArrow(_dealt(corpus, spark.sparkContext.broadcast(deal)), "shard long, doc_id long, ids binary")
+    dealt = dealt.repartition(min(deal.shards, max(parts(spark), 1)), "shard").sortWithinPartitions("shard", "doc_id", "ids")
+    return dealt.mapInArrow(_pack(window, corpus), SCHEMA)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

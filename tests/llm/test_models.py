@@ -113,6 +113,31 @@ def test_neighbours_are_the_most_alike():
     assert same >= 30
 
 
+def test_copies_meet_whatever_their_ids(spark):
+    """Near copies far apart in ids lie in one window, however many shards there are."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(60):
+        own = [f"{x:x}" for x in rng.sample(range(16**5, 16**6), 40)]
+        rows += [(k, " ".join(own), "s"), (k + 5000, " ".join([*own[:39], "changed"]), "s")]
+    windows = defaultdict(set)
+    for r in packing.pack(odd(spark, rows), shard_docs=16).collect():
+        windows[r.doc_id].add(r.sequence_id)
+    together = sum(bool(windows[k] & windows[k + 5000]) for k in range(60))
+    assert together > 45
+
+
+def test_all_neighbours_come_before_others():
+    """More neighbours than are ranked at a time, which share only the seed's lightest term."""
+    seed = np.repeat(np.arange(100, 130), 3)
+    others = [np.full(2, 7) if k % 2 else np.full(2, 1000 + k % 40) for k in range(160)]
+    marked = [np.repeat(np.arange(100, 130), 3) for _ in range(3)]
+    ids = [np.append(seed, 7).astype(np.uint32), *(x.astype(np.uint32) for x in others + marked)]
+    order = packing.order_of(ids, window=1 << 20, near=8)
+    near = [k for k in range(1, len(ids)) if set(ids[k].tolist()) & set(ids[0].tolist())]
+    assert sorted(order) == list(range(len(ids))) and set(order[1 : len(near) + 1]) == set(near)
+
+
 def test_empty_packing(spark):
     assert packing.pack(odd(spark, [])).count() == 0
 
