@@ -2,9 +2,9 @@
 
 A text's lines are its \\n-split pieces without white space at their ends; lines without a word are passed over. Of each
 window of `run` consecutive lines the smallest line hash is selected as the window's fingerprint: equal windows select
-equal fingerprints, so every repeat of `run` lines or more has one in common (Schleimer et al., 2003). Fingerprints
-selected at two or more positions are joined back to their positions; a match extends both ways over the windows around
-them that are equal as wholes. Of each set of equal windows the first by (doc_id, position) stays and the lines of
+equal fingerprints, so every repeat of `run` lines or more has one in common (Schleimer et al., 2003). This is a
+prefilter: windows whose fingerprint is selected at one position only are dropped. The others are grouped by a 128-bit
+digest of the whole window, which decides; no match is extended from a fingerprint. Of each set of equal windows the first by (doc_id, position) stays and the lines of
 the others go; windows that overlap merge to runs. Thus a line goes exactly if it lies in a run of `run` or more lines
 that also starts at an earlier position.
 
