@@ -4,13 +4,15 @@ A text's bytes are cut into chunks of CHUNK bytes that overlap by CHUNK - HOP an
 with zero bytes. Bytes are embedded, filters of WIDTH bytes slide over each chunk by STRIDE bytes, and a filter's
 largest response in a chunk is kept. The mean and the maximum of these over all chunks give one probability.
 
-Training sees only texts and labels of a bounded sample: the `per_class` rows labelled 0 and the 2 * `per_class` rows
-labelled 1 with the smallest hash of their id whose crc32(doc_id as text) mod 5 is not 0, and of each text at most `chunks_each` chunks spread evenly
-over the whole of it. Scoring covers whole texts, one task's rows at a time; the weights are a few kilobytes.
+Training sees only a bounded sample of labelled rows, and of these rows whole texts, all chunks: of the rows whose
+crc32(doc_id as text) mod 5 is not 0, those with the smallest hash of their id, `per_class` labelled 0 and 2 * `per_class`
+labelled 1, until the texts of a label have `sample_bytes` bytes. They are sorted by id, so that reruns learn the same
+weights. Scoring covers whole texts, one task's rows at a time; the weights are a few kilobytes. Chunks are worked through
+in blocks, in training too, so that a very long text takes little memory.
 
 Defined cases: a null text counts as an empty one, which is scored as one chunk of padding. Rows with the same id each
 get a row. A null id is not held out. Without labels of both classes every score is 0.5. Labels other than 0 and 1 are
-passed over; of contradicting labels of one id the smaller counts.
+passed over; of contradicting labels of one id the smaller counts, and of several texts of one id the one with the smallest hash.
 """
 
 from __future__ import annotations
@@ -21,15 +23,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .shared import documents, stored
 from .tidying import tidied
 from .words import binary, chunks
 
 CHUNK, HOP, STRIDE, WIDTH, DIM, FILTERS = 512, 448, 4, 8, 8, 48
-PER_CLASS, CHUNKS_EACH = 1600, 8
+PER_CLASS, SAMPLE_BYTES = 1600, 1 << 24
 CUT = 0.3
 POSITIONS = CHUNK // STRIDE - 1
+#: Chunks worked through at a time.
+BLOCK = 512
 Weights = dict[str, np.ndarray]
 
 
@@ -47,8 +52,35 @@ def _responses(x: np.ndarray, w: Weights) -> tuple[np.ndarray, np.ndarray]:
     return blocks, blocks[:, :-1] @ w["left"] + blocks[:, 1:] @ w["right"]
 
 
-def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 4e-3, seed: int = 1) -> Weights:
-    """Adam on the log loss of documents given as their chunks."""
+def _tops(x: np.ndarray, w: Weights) -> tuple[np.ndarray, np.ndarray]:
+    """Every filter's largest response in each chunk, and where."""
+    top, where = np.zeros((len(x), FILTERS), np.float32), np.zeros((len(x), FILTERS), np.int64)
+    for at in range(0, len(x), BLOCK):
+        _, response = _responses(x[at : at + BLOCK], w)
+        own = response.argmax(1)
+        where[at : at + BLOCK] = own
+        top[at : at + BLOCK] = np.take_along_axis(response, own[:, None], 1)[:, 0]
+    return top, where
+
+
+def _gradients(x: np.ndarray, where: np.ndarray, dh: np.ndarray, w: Weights) -> Weights:
+    """Of embedding and filters, from those of the largest responses."""
+    g = {k: np.zeros_like(w[k]) for k in ("embed", "left", "right")}
+    for begin in range(0, len(x), BLOCK):
+        own, at, d = x[begin : begin + BLOCK], where[begin : begin + BLOCK], dh[begin : begin + BLOCK]
+        row = np.arange(len(own))[:, None]
+        blocks = w["embed"][own].reshape(len(own), CHUNK // STRIDE, STRIDE * DIM)
+        for part, shift in (("left", 0), ("right", 1)):
+            g[part] += np.einsum("nfs,nf->sf", blocks[row, at + shift], d)
+            back = (d[:, :, None] * w[part].T).reshape(-1, DIM)
+            symbol = own[row[:, :, None], (at + shift)[:, :, None] * STRIDE + np.arange(STRIDE)].ravel()
+            for j in range(DIM):
+                g["embed"][:, j] += np.bincount(symbol, back[:, j], 256)
+    return g
+
+
+def train(texts: list[bytes], labels: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 4e-3, seed: int = 1) -> Weights:
+    """Adam on the log loss of whole texts."""
     rng = np.random.default_rng(seed)
     size = STRIDE * DIM
     w: Weights = {
@@ -61,13 +93,12 @@ def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 8, batch: i
         order = rng.permutation(len(texts))
         for begin in range(0, len(order), batch):
             own = order[begin : begin + batch]
-            x = np.concatenate([texts[k] for k in own])
-            count = np.array([len(texts[k]) for k in own])
+            cut = [cut_up(texts[k]) for k in own]
+            x, count = np.concatenate(cut), np.array([len(c) for c in cut])
             first = np.cumsum(count) - count
             doc = np.repeat(np.arange(len(own)), count)
-            blocks, response = _responses(x, w)
-            where = response.argmax(1)
-            top = np.take_along_axis(response, where[:, None], 1)[:, 0] + w["bias"]
+            top, where = _tops(x, w)
+            top += w["bias"]
             h = np.maximum(top, 0)
             most = np.maximum.reduceat(h, first)
             u = np.concatenate([np.add.reduceat(h, first) / count[:, None], most], 1)
@@ -78,16 +109,7 @@ def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 8, batch: i
             dh = (du[:, :FILTERS] / count[:, None])[doc] + du[:, FILTERS:][doc] * (h == most[doc])
             dh = (dh * (top > 0)).astype(np.float32)
             g["bias"] = dh.sum(0)
-            row = np.arange(len(x))[:, None]
-            near, next_ = blocks[row, where], blocks[row, where + 1]
-            g["left"], g["right"] = np.einsum("nfs,nf->sf", near, dh), np.einsum("nfs,nf->sf", next_, dh)
-            g["embed"] = np.zeros_like(w["embed"])
-            for part, shift in (("left", 0), ("right", 1)):
-                back = (dh[:, :, None] * w[part].T).reshape(-1, DIM)
-                at = (where + shift)[:, :, None] * STRIDE + np.arange(STRIDE)
-                symbol = x[row[:, :, None], at].ravel()
-                for j in range(DIM):
-                    g["embed"][:, j] += np.bincount(symbol, back[:, j], 256)
+            g |= _gradients(x, where, dh, w)
             step += 1
             now = rate * (1 - epoch / epochs) + 1e-4
             for k in w:
@@ -119,37 +141,28 @@ def scores(texts: list[bytes], w: Weights) -> np.ndarray:
     return out
 
 
-def _some_chunks(each: int):
-    @tidied
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text in binary(batch.column("text")):
-                x = cut_up(text)
-                out.append(x[np.unique(np.linspace(0, len(x) - 1, min(each, len(x))).astype(int))].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(out, pa.binary())], ["doc_id", "quality", "x"])
-
-    return run
-
-
 def remainder(doc_id: str = "doc_id"):
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, chunks_each: int = CHUNKS_EACH) -> Weights | None:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> Weights | None:
     """Weights learned from docs(doc_id, text) and labels(doc_id, quality)."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (remainder() != 0)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     hashed = known.withColumn("u", F.xxhash64("doc_id"))
     sample = hashed.where("quality = 0").orderBy("u", "doc_id").limit(per_class).union(hashed.where("quality = 1").orderBy("u", "doc_id").limit(2 * per_class))
-    sample = stored(sample.select("doc_id", "quality"), "label-sample")
-    # at most 3 * per_class rows are broadcast, and come to the driver
-    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text")
-    rows = found.mapInArrow(_some_chunks(chunks_each), "doc_id long, quality int, x binary").dropDuplicates(["doc_id", "x"])
-    rows = rows.limit(6 * per_class).toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")]).to_pydict()
+    sample = stored(sample.select("doc_id", F.col("quality").cast("int").alias("quality"), "u"), "label-sample")
+    # at most 3 * per_class rows are broadcast, and half as many texts of 2 * sample_bytes in all come to the driver
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    found = docs.select("doc_id", text.alias("text")).join(F.broadcast(sample), "doc_id")
+    found = found.groupBy("doc_id", "quality", "u").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "quality", "u", "t.text")
+    found = stored(found, "label-texts")
+    upto = F.sum(F.octet_length("text")).over(W.partitionBy("quality").orderBy("u", "doc_id"))  # at most 2 * per_class rows
+    chosen = found.select("doc_id", "quality", upto.alias("upto"), "u", "text").where(F.col("upto") <= sample_bytes)
+    rows = chosen.select("doc_id", "quality", "text").toArrow().sort_by("doc_id").to_pydict()
     y = np.array(rows["quality"], np.float32)
     if not len(y) or y.min() == y.max():
         return None
-    return train([np.frombuffer(x, np.uint8).reshape(-1, CHUNK) for x in rows["x"]], y)
+    return train(rows["text"], y)
 
 
 def _score(w: Weights | None):

@@ -1,22 +1,26 @@
 """Quality rules as a bitmask ledger, in DataFrame expressions of one row only: no shuffle, no Python.
 
-ledger() evaluates every rule once and stores its measurements with one bit for each rule that the document fails. A
-policy is a mask of bits with a version; decide() applies one to a stored ledger and ablations() tells, by aggregates of
-bitwise tests, what each rule of a policy rejects, alone or with others, without seeing a text again.
+ledger() evaluates every rule once: the measurements of a document with one bit for each rule that it fails. Ledger stores
+these rows as a table with the version of its rules, and opens a table that another session has stored. A policy is a mask
+of bits with a version; decide() applies one to stored rows and ablations() tells, by aggregates of bitwise tests, what each
+rule of a policy rejects, alone or with others, without seeing a text again. Rows of a ledger of other rules are refused.
 
 Defined cases: a null text counts as an empty one, which has no words and fails "few_words". Rows with the same id each
-get a row. Repeated words are found by sorting a text's own window hashes, so a very long text takes n log n steps.
+get a row. Repeated words are found by sorting a text's own window hashes (of 64 bits, taken for the windows) with their
+places, so a very long text takes n log n steps.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SPACE, WORD, documents
+from .shared import SPACE, WORD, documents, stored
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -33,27 +37,16 @@ def _repeat_words(found: Column) -> Column:
 
     def of(x: Column) -> Column:
         n = F.size(x)
-        hashes = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(x[i], x[i + 1], x[i + 2]))
-        return F.when(n < 4, F.lit(0)).otherwise(let(hashes, repeated))
+        placed = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(x[i], x[i + 1], x[i + 2]).alias("h"), i.alias("i")))
+        return F.when(n < 4, F.lit(0)).otherwise(let(F.sort_array(placed), repeated))
 
-    def repeated(h: Column) -> Column:
-        # each hash's low bits give way to its place, so that primitive numbers are sorted; whole hashes are compared after
-        low = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(F.size(h).cast("long")))) - 1
+    def repeated(s: Column) -> Column:
+        def twice(a: Column, b: Column) -> Column:
+            p, q = a["i"], b["i"]
+            return F.when(b.isNotNull() & (a["h"] == b["h"]), F.array(p, p + 1, p + 2, q, q + 1, q + 2))
 
-        def of_mask(mask: Column) -> Column:
-            placed = F.sort_array(F.transform(h, lambda v, i: v.bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long"))))
-            return let(placed, lambda s: pairs(s, mask))
-
-        def pairs(s: Column, mask: Column) -> Column:
-            def twice(a: Column, b: Column) -> Column:
-                p, q = a.bitwiseAND(mask).cast("int"), b.bitwiseAND(mask).cast("int")
-                same = b.isNotNull() & (h[p] == h[F.coalesce(q, p)])
-                return F.when(same, F.array(p, p + 1, p + 2, q, q + 1, q + 2))
-
-            both = F.zip_with(s, F.slice(s, 2, F.size(s)), twice)
-            return F.size(F.array_distinct(F.flatten(F.filter(both, lambda t: t.isNotNull()))))
-
-        return let(low, of_mask)
+        both = F.zip_with(s, F.slice(s, 2, F.size(s)), twice)
+        return F.size(F.array_distinct(F.flatten(F.filter(both, lambda t: t.isNotNull()))))
 
     return let(found, of)
 
@@ -114,6 +107,40 @@ def ledger(docs: DataFrame) -> DataFrame:
     return measured.withColumn("fail_bits", total)
 
 
+#: Of the rules and their order; a stored ledger carries it in each row.
+RULES_VERSION = hashlib.sha256(json.dumps([(rule.name, rule.fails) for rule in RULES]).encode()).hexdigest()[:16]
+
+
+class Ledger:
+    """A stored ledger: a Parquet table of ledger() rows with the version of their rules."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+
+    @classmethod
+    def write(cls, docs: DataFrame, path: str | None = None) -> Ledger:
+        """Evaluates all rules once over docs(doc_id, text). path: where the table stays; without it, it goes with the session."""
+        rows = ledger(docs).withColumn("rules", F.lit(RULES_VERSION))
+        if path is None:
+            return cls(stored(rows, "rule-ledger"))
+        rows.write.parquet(path)
+        return cls.open(docs.sparkSession, path)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> Ledger:
+        rows = spark.read.parquet(path)
+        other = rows.where(F.col("rules") != RULES_VERSION).select("rules").first()
+        if other:
+            raise ValueError(f"the ledger is one of rules {other.rules}, not of {RULES_VERSION}")
+        return cls(rows)
+
+    def decide(self, policy: str | None = None) -> DataFrame:
+        return decide(self.rows, policy or CURRENT).drop("rules")
+
+    def ablations(self, policies: tuple[str, ...] | None = None) -> DataFrame:
+        return ablations(self.rows, policies or tuple(POLICIES))
+
+
 def decide(rows: DataFrame, policy: str = CURRENT) -> DataFrame:
     """A ledger with policy and kept."""
     return rows.withColumns({"policy": F.lit(policy), "kept": F.col("fail_bits").bitwiseAND(F.lit(POLICIES[policy])) == 0})
@@ -133,13 +160,13 @@ def ablations(rows: DataFrame, policies: tuple[str, ...] = tuple(POLICIES)) -> D
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = decide(ledger(documents(spark, sf_dir)))
+    rows = Ledger.write(documents(spark, sf_dir)).decide()
     base = F.col("fail_bits").bitwiseAND(F.lit(POLICIES["base"])) != 0
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & F.col("kept")).alias("kept"), "fail_bits")
 
 
 def op3_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ablations(ledger(documents(spark, sf_dir)))
+    return Ledger.write(documents(spark, sf_dir)).ablations()
 
 
 _LEDGER_SQL = rf"""

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but space, tab, newline, vertical tab, form feed and carriage return.
@@ -23,32 +23,59 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; only where it is unset, as in tests, a folder of this machine."""
+    """The folder that spark.checkpoint.dir names; where it is unset, a folder of this machine, which only a local master has in common."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     return _own_dir.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="tessera-"))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table of the shared folder and returns the table: lineage ends here, and a lost executor costs nothing.
-
-    The table goes when the driver's JVM ends.
-    """
-    spark = df.sparkSession
+def temporary(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder; it goes when the driver's JVM ends."""
     place = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(place)
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(place)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(place)
+    return place
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes df as a table of the shared folder and returns the table: lineage ends here, and a lost executor costs nothing."""
+    place = temporary(df.sparkSession, name)
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _salt(spark: SparkSession, by: Column) -> Column:
+    return F.pmod(by, F.lit(parts(spark))).cast("int")
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], by: Column) -> DataFrame:
+    """rows joined with table(keys, ...), which has a row for each key at most, without a task for all rows of one key.
+
+    Rows get a salt from `by`; each pair of key and salt, at most as many for a key as there are partitions, fetches the
+    table's row, and rows join these by key and salt.
+    """
+    salted = rows.withColumn("salt", _salt(rows.sparkSession, by))
+    pairs = salted.select(*keys, "salt").distinct().join(table.hint("shuffle_hash"), keys)
+    return salted.join(pairs, [*keys, "salt"]).drop("salt")
+
+
+def repeated(rows: DataFrame, keys: list[str], order: Column, by: Column) -> DataFrame:
+    """rows whose key others have too, with `first`, the least `order` of the key's rows; spread as in spread_join()."""
+    salted = rows.withColumn("salt", _salt(rows.sparkSession, by))
+    some = salted.groupBy(*keys, "salt").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("n"))
+    every = some.groupBy(*keys).agg(F.min("least").alias("first"), F.sum("n").alias("n")).where("n > 1").drop("n")
+    pairs = some.select(*keys, "salt").join(every, keys)
+    return salted.join(pairs, [*keys, "salt"]).drop("salt")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges(a, b) to labels(node, label), label being the smallest node that can be reached.
 

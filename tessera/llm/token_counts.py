@@ -1,8 +1,10 @@
 """Token counts by a digest cache: a text is encoded once for each tokenizer version, whoever asks again reads the count.
 
 The key is the SHA-256 of the normalised text (runs of ASCII white space become one space, which the tokenizer does
-itself) with the SHA-256 of the tokenizer's file. Texts whose key the cache lacks are encoded once for each distinct
-key, by the document with the smallest id, and appended.
+itself) with the SHA-256 of the tokenizer's file. Texts whose key the cache lacks are grouped by key, with map-side
+combining, encoded once for each distinct key, and appended. A lasting cache is a folder that the caller names, or the
+session's setting `tessera.token.cache`; where neither is there, the cache is of one call. Counts come back to the rows by
+a join whose keys are salted, so that a text that a third of all rows have is spread over all tasks.
 
 A null text counts as an empty one, with 0 tokens. Rows with the same id or text each get a row. A null id stays.
 """
@@ -12,18 +14,18 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SPACE, documents, shared_dir, stored
+from .shared import SPACE, documents, spread_join, stored, temporary
 from .tidying import tidied
 
 WORD_BPE = "word_bpe_49k.json"
-CACHE_SCHEMA = "digest string, tokenizer string, n_tokens long"
+CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
+CACHE_SETTING = "tessera.token.cache"
 
 #: Latin letters, digits and common punctuation, where Python's classes and the tokenizer's split alike.
 _PLAIN = re.compile("[\x09-\x0d\x20-\x7e\xa0-įı-ɏ–—‘-„•…€]*")
@@ -86,40 +88,40 @@ def _encode(path: str, pieces: bool):
     return run
 
 
-def keys(docs: DataFrame) -> DataFrame:
-    """doc_id, digest and n_bytes of each row."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(
-        "doc_id", F.sha2(F.regexp_replace(text, SPACE, " "), 256).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes")
-    )
+def digest(text: Column) -> Column:
+    return F.unhex(F.sha2(F.regexp_replace(text, SPACE, " "), 256))
+
+
+def _cached(spark: SparkSession, cache: str, version: str) -> DataFrame:
+    """digest and n_tokens, a row for each; several where tables were appended at the same time count once."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache)
+    if not there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
+        return spark.createDataFrame([], CACHE_SCHEMA).select("digest", "n_tokens")
+    known = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version)
+    return known.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
 def token_counts(docs: DataFrame, tokenizer: str | None = None, cache: str | None = None, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every row of docs(doc_id, text).
 
-    tokenizer: a file for the tokenizers library; word_bpe_49k.json unless given. cache: a folder of Parquet tables,
-    read before and appended to after; a new one in the shared folder unless given.
+    tokenizer: a file for the tokenizers library; word_bpe_49k.json unless given. cache: a folder of Parquet tables, read
+    before and appended to after.
     """
     spark = docs.sparkSession
     path = tokenizer or tokenizer_path(WORD_BPE)
     with open(path, "rb") as f:  # a file of the installed package, on every machine
         version = hashlib.sha256(f.read()).hexdigest()
-    cache = cache or f"{shared_dir(spark)}/tessera/token-cache-{uuid.uuid4().hex}"
-    keyed = stored(keys(docs), "token-keys")
+    cache = cache or spark.conf.get(CACHE_SETTING, None) or temporary(spark, "token-cache")
+    text = F.coalesce("text", F.lit(""))
+    keyed = stored(docs.select("doc_id", digest(text).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes")), "token-keys")
 
-    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache)
-    known = spark.read.schema(CACHE_SCHEMA).parquet(cache) if there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there) else spark.createDataFrame([], CACHE_SCHEMA)
-    known = known.where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    missing = keyed.groupBy("digest").agg(F.min("doc_id").alias("first_id")).join(known, "digest", "left_anti")
-    own = docs.select(F.col("doc_id").alias("own_id"), F.coalesce("text", F.lit("")).alias("text"))
-    fresh = own.join(missing.hint("shuffle_hash"), F.col("own_id").eqNullSafe(F.col("first_id")))
-    fresh = fresh.where(F.sha2(F.regexp_replace("text", SPACE, " "), 256) == F.col("digest")).select("digest", "text")
-    counted = fresh.mapInArrow(_encode(path, os.path.basename(path) == WORD_BPE), "digest string, n_tokens long")
-    counted.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")).select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
-
-    # map-side combining is no use here: a digest has one row, and few where tables were appended at the same time
-    counts = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return keyed.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    own = docs.select(digest(text).alias("digest"), text.alias("text")).groupBy("digest").agg(F.first("text").alias("text"))
+    missing = own.join(_cached(spark, cache, version).hint("shuffle_hash"), "digest", "left_anti")
+    counted = missing.mapInArrow(_encode(path, os.path.basename(path) == WORD_BPE), "digest binary, n_tokens long")
+    counted.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
+
+    counted_rows = spread_join(keyed, _cached(spark, cache, version), ["digest"], F.xxhash64("doc_id", F.monotonically_increasing_id()))
+    return counted_rows.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
