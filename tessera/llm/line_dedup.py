@@ -12,7 +12,7 @@ one in common (Schleimer et al., 2003), and about every second line is selected.
 3. Matches that overlap or continue each other on either side merge to runs, and the lines of all but the first go.
 
 Thus a line goes exactly if it lies in a run of `run` lines or more, or of `min_words` words or more, that also starts at an
-earlier position. Groups of a common line or passage are spread over all tasks by a salt.
+earlier position. Rows of a common line or passage are spread over all tasks: what they are joined with is broadcast.
 
 Defined cases: a null text counts as an empty one. Rows with a null id stay as they are. Rows with the same id and text
 are one document: both stay, or lose the same lines. Lines that go take their \\n with them.
@@ -70,7 +70,7 @@ def positions(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> Da
     def selected(x: Column, w: Column) -> Column:
         def position(line: Column, p: Column) -> Column:
             near = [F.get(w[f"w{k}"], p - j) for k in range(1, run + 1) for j in range(k)]
-            return F.struct(line["h"].alias("print"), p.alias("pos"), F.filter(F.array(*near), lambda v: v["p"] == p).alias("windows"))
+            return F.struct(line["h"].alias("print"), p.alias("pos"), F.transform(F.filter(F.array(*near), lambda v: v["p"] == p), lambda v: v.dropFields("p")).alias("windows"))
 
         return F.filter(F.transform(x, position), lambda r: F.size(r["windows"]) > 0)
 
@@ -80,9 +80,9 @@ def positions(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> Da
 def repeats(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, tag and the windows (first line and number of lines) that repeat earlier ones."""
     found = stored(positions(docs, run, min_words), "line-prints")
-    met = repeated(found, ["print"], F.struct("doc_id", "pos"), F.xxhash64("doc_id", "pos"))
-    extended = met.select("doc_id", "tag", F.inline("windows"))
-    extended = repeated(extended, ["d1", "d2"], F.struct("doc_id", "start"), F.xxhash64("doc_id", "start"))
+    met = repeated(found, ["print"], F.col("doc_id"))
+    extended = stored(met.select("doc_id", "tag", F.inline("windows")), "line-windows")
+    extended = repeated(extended, ["d1", "d2"], F.struct("doc_id", "start"))
     later = extended.where(F.struct("doc_id", "start") > F.col("first"))
     return later.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "length")).alias("gone"))  # of one text: a few for each of its lines
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 _own_dir: dict[str, str] = {}
+_places: dict[int, tuple] = {}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,35 +47,48 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table of the shared folder and returns the table: lineage ends here, and a lost executor costs nothing."""
     place = temporary(df.sparkSession, name)
     df.write.parquet(place)
-    return df.sparkSession.read.schema(df.schema).parquet(place)
+    table = df.sparkSession.read.schema(df.schema).parquet(place)
+    _places[id(table)] = (weakref.ref(table), place)
+    return table
 
 
-def parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that stored() has made, of which nobody will read again."""
+    for table in tables:
+        known, place = _places.pop(id(table))
+        assert known() is table
+        path = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _salt(spark: SparkSession, by: Column) -> Column:
-    return F.pmod(by, F.lit(parts(spark))).cast("int")
+def parts(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], by: Column) -> DataFrame:
-    """rows joined with table(keys, ...), which has a row for each key at most, without a task for all rows of one key.
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """rows, which are stored, joined with table(keys, ...), which has a row for each key at most and may have the number n of
+    its rows, without a task for all rows of one key.
 
-    Rows get a salt from `by`; each pair of key and salt, at most as many for a key as there are partitions, fetches the
-    table's row, and rows join these by key and salt.
+    Keys of more than 1 in 4 * partitions of all rows, so at most 4 * partitions keys, are joined by a broadcast; the rows
+    of the others are dealt by key, and no task gets much more than the others.
     """
-    salted = rows.withColumn("salt", _salt(rows.sparkSession, by))
-    pairs = salted.select(*keys, "salt").distinct().join(table.hint("shuffle_hash"), keys)
-    return salted.join(pairs, [*keys, "salt"]).drop("salt")
-
-
-def repeated(rows: DataFrame, keys: list[str], order: Column, by: Column) -> DataFrame:
-    """rows whose key others have too, with `first`, the least `order` of the key's rows; spread as in spread_join()."""
-    salted = rows.withColumn("salt", _salt(rows.sparkSession, by))
-    some = salted.groupBy(*keys, "salt").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("n"))
-    every = some.groupBy(*keys).agg(F.min("least").alias("first"), F.sum("n").alias("n")).where("n > 1").drop("n")
-    pairs = some.select(*keys, "salt").join(every, keys)
-    return salted.join(pairs, [*keys, "salt"]).drop("salt")
+    spark = rows.sparkSession
+    least = rows.count() // (4 * parts(spark)) + 1
+    if "n" in table.columns:
+        hot = table.where(F.col("n") >= least)
+    else:
+        hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("hot_rows")).where(F.col("hot_rows") >= least).drop("hot_rows")
+        hot = hot.join(table.hint("shuffle_hash"), keys)
+    hot = stored(hot, "hot-keys")
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table, keys)
+    return cold.unionByName(rows.join(F.broadcast(hot), keys).select(*cold.columns))
+
+
+def repeated(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
+    """Stored rows whose key others have too, with `first`, the least `order` of the key's rows; spread as in spread_join()."""
+    every = rows.groupBy(*keys).agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    every = stored(every, "repeated-keys")
+    return spread_join(rows, every, keys).drop("n")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

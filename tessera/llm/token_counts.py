@@ -4,7 +4,7 @@ The key is the SHA-256 of the normalised text (runs of ASCII white space become
 itself) with the SHA-256 of the tokenizer's file. Texts whose key the cache lacks are grouped by key, with map-side
 combining, encoded once for each distinct key, and appended. A lasting cache is a folder that the caller names, or the
 session's setting `tessera.token.cache`; where neither is there, the cache is of one call. Counts come back to the rows by
-a join whose keys are salted, so that a text that a third of all rows have is spread over all tasks.
+a join that broadcasts the few keys of many rows, so that a text that a third of all rows have is spread over all tasks.
 
 A null text counts as an empty one, with 0 tokens. Rows with the same id or text each get a row. A null id stays.
 """
@@ -120,8 +120,7 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, cache: str | Non
     counted = missing.mapInArrow(_encode(path, os.path.basename(path) == WORD_BPE), "digest binary, n_tokens long")
     counted.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
 
-    counted_rows = spread_join(keyed, _cached(spark, cache, version), ["digest"], F.xxhash64("doc_id", F.monotonically_increasing_id()))
-    return counted_rows.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return spread_join(keyed, _cached(spark, cache, version), ["digest"]).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
