@@ -46,7 +46,7 @@ class Counter:
     control characters, the file's special strings) go through encode() whole.
     """
 
-    def __init__(self, path: str, pieces: bool, remembered: int = 1_000_000):
+    def __init__(self, path: str, pieces: bool, remembered: int = 1 << 18):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -77,10 +77,20 @@ class Counter:
         return [len(x) for x in self.encode(texts, add_special_tokens=False)]
 
 
-def _encode(path: str, pieces: bool):
+_counters: dict[str, Counter] = {}
+
+
+def _counter(path: str) -> Counter:
+    """One for each Python worker, which serves many partitions."""
+    if path not in _counters:
+        _counters[path] = Counter(path, os.path.basename(path) == WORD_BPE)
+    return _counters[path]
+
+
+def _encode(path: str):
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = Counter(path, pieces)
+        count = _counter(path)
         for batch in batches:
             texts = [x or "" for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(count(texts), pa.int64())], ["digest", "n_tokens"])
@@ -117,7 +127,7 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, cache: str | Non
 
     own = docs.select(digest(text).alias("digest"), text.alias("text")).groupBy("digest").agg(F.first("text").alias("text"))
     missing = own.join(_cached(spark, cache, version).hint("shuffle_hash"), "digest", "left_anti")
-    counted = missing.mapInArrow(_encode(path, os.path.basename(path) == WORD_BPE), "digest binary, n_tokens long")
+    counted = missing.mapInArrow(_encode(path), "digest binary, n_tokens long")
     counted.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
 
     return spread_join(keyed, _cached(spark, cache, version), ["digest"]).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
