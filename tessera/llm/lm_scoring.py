@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .classifier import remainder
 from .shared import documents, parts, stored
-from .tidying import tidied
+from .tidying import squeezed, tidied, unsqueezed
 from .words import Words, binary, chunks
 
 ORDER = 5
@@ -246,21 +246,13 @@ def _model(name: str, frequent) -> tuple[Lookup, np.ndarray]:
     return _built[name]
 
 
-def _squeezed(data: bytes) -> bytes:
-    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
-
-
-def _whole(data: bytes) -> bytes:
-    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
-
-
 def _planes(code: np.ndarray) -> bytes:
     """Sorted strings byte by byte: the first bytes of all, then the second ones, and so on."""
-    return _squeezed(code.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : ORDER + 1].T.tobytes())
+    return squeezed(code.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : ORDER + 1].T.tobytes())
 
 
 def _of_planes(data: bytes) -> np.ndarray:
-    own = np.frombuffer(_whole(data), np.uint8).reshape(ORDER + 1, -1)
+    own = np.frombuffer(unsqueezed(data), np.uint8).reshape(ORDER + 1, -1)
     code = np.zeros((own.shape[1], 8), np.uint8)
     code[:, : ORDER + 1] = own.T
     return code.view("<u8").ravel()
@@ -311,7 +303,7 @@ def _score(frequent, n_parts: int, code_parts: int):
                     new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (t[1:] != t[:-1]))) if len(h) else np.zeros(0, np.int64)
                     rare.append((h[new], t[new], np.diff(np.append(new, len(h)))))
                 # canonical texts have no newline
-                yield _rows(1, 1, batch=pa.array([number]), ids=pa.array([ids[at_unit : at_unit + n]], pa.list_(pa.int64())), rows=_bytes(n_tokens), counts=_bytes(n_known.astype(np.int64)), sums=_bytes(words), texts=pa.array([_squeezed(b"\n".join(canons))], pa.binary()))
+                yield _rows(1, 1, batch=pa.array([number]), ids=pa.array([ids[at_unit : at_unit + n]], pa.list_(pa.int64())), rows=_bytes(n_tokens), counts=_bytes(n_known.astype(np.int64)), sums=_bytes(words), texts=pa.array([squeezed(b"\n".join(canons))], pa.binary()))
                 h, t, c = (np.concatenate([x[k] for x in rare]) for k in range(3))
                 part = (h % _U(n_parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
@@ -395,7 +387,7 @@ def _answer(shared, least: int):
                     continue
                 if trie is None:
                     trie, held = Trie(_levels(shared.value, held, least)), []
-                yield _rows(5, 1, batch=pa.array([number]), hashes=pa.array([hashes], pa.binary()), scores=pa.array([_squeezed(trie.log10(_of_planes(hashes)).astype("<f4").tobytes())], pa.binary()))
+                yield _rows(5, 1, batch=pa.array([number]), hashes=pa.array([hashes], pa.binary()), scores=pa.array([squeezed(trie.log10(_of_planes(hashes)).astype("<f4").tobytes())], pa.binary()))
 
     return run
 
@@ -414,7 +406,7 @@ def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out() -> pa.RecordBatch:
         ids, n_tokens, n_known, words, blob, codes, logs = now
-        texts = _whole(blob).split(b"\n")
+        texts = unsqueezed(blob).split(b"\n")
         if not codes:  # nothing to learn from
             score = -np.log10(256.0) * np.array([len(t) + 1 for t in texts])
         else:
@@ -438,7 +430,7 @@ def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 now[3][at] += np.frombuffer(sums, "<f8")
             else:
                 now[5].append(_of_planes(hashes))
-                now[6].append(np.frombuffer(_whole(scores), "<f4"))
+                now[6].append(np.frombuffer(unsqueezed(scores), "<f4"))
     if now:
         yield out()
 

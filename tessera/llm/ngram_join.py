@@ -1,23 +1,27 @@
 """N-gram Jaccard join: documents whose sets of word n-grams are similar, by signature trees, and the components they form.
 
 A document's set is that of its n-word shingles; with fewer words, its whole sequence is the only one. Two documents
-link if |A and B| / |A or B| is at least the threshold.
-
-1. Equal sets are one: the smallest id stands for its copies (a digest of the set, 128 bits).
-2. Blocks. Sets that may be similar meet in blocks: `bands` keys of three min-hashes each, as many as leave a pair at the
-   threshold a chance under `miss` of meeting nowhere (1e-12 unless told otherwise). No block is cut or capped.
-3. Each block's smallest id is its hub, and the members that link with their hub are found first, a pair of document and
-   hub once whatever the number of blocks. In groups of near copies that already joins nearly all.
-4. Blocks that still hold two or more components are searched whole by signature trees: leaves are sets, each node
-   holds the bitwise or of its sets' token bitmaps, the range of their sizes and the most tokens that any of them has beyond
-   its bits. Two trees, or one with itself, are traversed together from their roots; a pair of nodes is dropped if its sizes
-   are too far apart, if the common bits and the smaller excess leave too little overlap, or if both lie in one component.
-   Pairs of leaves are compared exactly. A block of more than `tree_tokens` tokens is dealt to several trees, and every pair
-   of these is traversed, so a task's memory is bounded and no pair is left out.
+link if |A and B| / |A or B| is at least the threshold. Every link is found: nothing depends on a random choice.
+
+1. Equal sets are one node: the smallest id of its rows stands for them (a digest of the set, 128 bits).
+2. Dealing. Shingles have one order for all sets: rare ones first (by the number of sets that have them, counted over all
+   documents and rounded to quarter octaves), then by hash. Two similar sets have a shingle in common among the first
+   n - ceil(threshold * n) + 1 of each in this order. So sets meet by each of these that another set has too; a set whose
+   first shingles are all its own meets nobody. Counts are made and fetched in blocks: a unit of texts sends its different
+   shingles to the parts that count them, and gets their ranks back. No group of sets is cut or capped.
+3. Groups' hubs. In a group of near copies nearly all link with any of them, so each member is compared with the group's
+   first set, a pair once however many groups it has in common. That only spares the trees work.
+4. Signature trees search every group whose sets are not all in one component yet. Leaves are sets, each node holds the
+   bitwise or of its sets' token bitmaps, the range of their sizes and the most tokens that any of them has beyond its
+   bits. Sets of one octave of sizes have one tree, with bitmaps of a width that suits their sizes. Two trees, or one with
+   itself, are traversed together from their roots; a pair of nodes is dropped if its sizes are too far apart, if the
+   common bits and the smaller excess leave too little overlap, or if both lie in one component. Pairs of leaves are
+   compared exactly. A group's largest component and its other sets are dealt to parts of about `tree_tokens` tokens each;
+   pairs of parts within the largest component need no search, so that a group with few others costs its size.
 5. Components of all links, by rounds of large-star and small-star.
 
 Defined cases: null and empty texts have an empty set and link with nothing. Rows with a null id get no component and link
-with nothing. Rows with the same id are one document.
+with nothing. Rows with the same id and different sets are different documents that have one id.
 """
 
 from __future__ import annotations
@@ -28,18 +32,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .idfield import id_field, maybe_in
-from .shared import connected_components, documents, parts, stored
-from .tidying import tidied
+from .shared import connected_components, discard, documents, parts, spread_join, stored
+from .tidying import squeezed, tidied, unsqueezed
 from .words import _PLACE, Words, binary, chunks, mix
 
 _U = np.uint64
-ROWS = 3
-TREE_TOKENS = 4_000_000
+TREE_TOKENS = 1 << 17
 FANOUT = 4
+_UNIT = 1 << 22
 
 
 def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
@@ -58,59 +62,130 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     return out
 
 
-def bands_for(threshold: float, miss: float) -> int:
-    return math.ceil(math.log(miss) / math.log(1 - threshold**ROWS))
+def ranked_first(n: int, percent: int) -> int:
+    """How many of n shingles, the first in a common order, no similar set can do without."""
+    return n - -(-percent * n // 100) + 1
 
 
-def band_keys(sets: list[np.ndarray], bands: int) -> np.ndarray:
-    """bands keys of each set, none of which may be empty."""
-    rng = np.random.default_rng(99)
-    odd = rng.integers(0, 2**31, bands * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-    flip = rng.integers(0, 2**32, bands * ROWS, dtype=np.uint32)
-    tokens = np.concatenate(sets).astype(np.uint32)
-    length = np.fromiter(map(len, sets), np.int64, len(sets))
-    start = np.cumsum(length) - length
-    out = np.zeros((len(sets), bands), np.uint64)
-    for k in range(bands * ROWS):
-        least = np.minimum.reduceat((tokens ^ flip[k]) * odd[k], start)
-        out[:, k // ROWS] += mix(least.astype(np.uint64) + _U(k << 32))
-    return mix(out)
+def digest(own: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(own.tobytes())
 
 
-def _sets(words: int, bands: int):
+def counted(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different shingles of the different sets, sorted, and how many of these sets have each."""
+    different = {digest(own): own for own in sets if len(own)}
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *different.values()]), return_counts=True)
+
+
+#: kind 0: a unit's texts; 1: a unit's shingles of one part, 32 bits of each, and how many of its sets have each; 2: their ranks.
+_BLOCK = "kind int, unit long, part long, ids array<long>, texts binary, shingles binary, counts binary"
+
+
+def _rows(kind: int, **columns: pa.Array) -> pa.RecordBatch:
+    n = max(len(x) for x in columns.values())
+    types = {"kind": pa.int32(), "unit": pa.int64(), "part": pa.int64(), "ids": pa.list_(pa.int64()), "texts": pa.binary(), "shingles": pa.binary(), "counts": pa.binary()}
+    columns["kind"] = pa.array(np.full(n, kind, np.int32))
+    return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(n, t)) for c, t in types.items()], list(types))
+
+
+def _dealt(shingles: np.ndarray, n_parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of sorted shingles by part, and where each part's begin, one after the last included."""
+    part = (shingles & _U(0xFFFFFFFF)) % _U(n_parts)
+    order = np.argsort(part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(n_parts + 1, dtype=np.uint64))
+
+
+def _units(words: int, n_parts: int):
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        unit = (context.partitionId() if context else 0) << 32
         for batch in batches:
-            size, left, right, keys = [], [], [], []
-            for _, own in chunks(binary(batch.column("text"))):
-                sets = shingle_sets(own, words)
-                size += map(len, sets)
-                digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
-                left.append(digest[:, 0])
-                right.append(digest[:, 1])
-                full = [s for s in sets if len(s)]
-                rows = iter(band_keys(full, bands).view(np.int64) if full else [])
-                keys += [next(rows) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size, pa.int64()), *(pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (left, right)), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "n", "d1", "d2", "keys"],
-            )
+            ids = batch.column("doc_id")
+            for begin, own in chunks(binary(batch.column("text")), _UNIT):
+                own = [b" ".join(t.lower().split()) for t in own]
+                sets = [s for _, some in chunks(own) for s in shingle_sets(some, words)]
+                shingles, n = counted(sets)
+                order, edge = _dealt(shingles, n_parts)
+                short, n = (shingles[order] >> _U(32)).astype("<u4"), np.minimum(n[order], 255).astype(np.uint8)
+                used = np.flatnonzero(np.diff(edge))
+                yield _rows(0, unit=pa.array([unit]), ids=pa.array([ids.slice(begin, len(own)).to_pylist()], pa.list_(pa.int64())), texts=pa.array([squeezed(b"\n".join(own))], pa.binary()))
+                if len(used):
+                    spans = [slice(edge[p], edge[p + 1]) for p in used.tolist()]
+                    yield _rows(1, unit=pa.array(np.full(len(used), unit)), part=pa.array(used), shingles=pa.array([short[x].tobytes() for x in spans], pa.binary()), counts=pa.array([squeezed(n[x].tobytes()) for x in spans], pa.binary()))
+                unit += 1
 
     return run
 
 
-def _chosen_sets(field, words: int):
-    """Sets of the rows whose id may be wanted."""
+def _ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted by part: for each unit's block of shingles their ranks: 0 for what one set of all has, then by quarter octaves."""
+
+    def of(rows: list[tuple]) -> pa.RecordBatch:
+        found = [np.frombuffer(r[2], "<u4") for r in rows]
+        keys = np.concatenate(found)
+        order = np.argsort(keys, kind="stable")
+        first = np.append(True, keys[order[1:]] != keys[order[:-1]])
+        total = np.add.reduceat(np.concatenate([np.frombuffer(unsqueezed(r[3]), np.uint8) for r in rows])[order].astype(np.int64), np.flatnonzero(first))
+        rank = np.empty(len(keys), np.uint8)
+        rank[order] = np.minimum(4 * np.log2(total), 255).astype(np.uint8)[np.cumsum(first) - 1]
+        edge = np.cumsum([0, *map(len, found)])
+        return _rows(2, unit=pa.array([r[1] for r in rows]), part=pa.array([r[0] for r in rows]), counts=pa.array([squeezed(rank[a:b].tobytes()) for a, b in zip(edge, edge[1:], strict=False)], pa.binary()))
+
+    rows: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("part", "unit", "shingles", "counts")), strict=True):
+            if rows and row[0] != rows[0][0]:
+                yield of(rows)
+                rows = []
+            rows.append(row)
+    if rows:
+        yield of(rows)
+
+
+def _keyed(words: int, percent: int, n_parts: int):
+    """Sorted by unit, kind and part: of each document the digest of its set, and its first shingles that others have too; for
+    the smallest id of a unit's equal sets that has such, also the set."""
+
+    def of(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        _, _, ids, blob, _ = rows[0]
+        texts = unsqueezed(blob).split(b"\n")
+        sets = [s for _, some in chunks(texts) for s in shingle_sets(some, words)]
+        shingles, _ = counted(sets)
+        order, _ = _dealt(shingles, n_parts)
+        rank = np.empty(len(shingles), np.uint8)
+        rank[order] = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(unsqueezed(r[4]), np.uint8) for r in rows[1:])])
+        digests = [digest(own) for own in sets]
+        least: dict[bytes, int] = {}
+        for k, d in enumerate(digests):
+            if ids[k] is not None and (d not in least or ids[k] < ids[least[d]]):
+                least[d] = k
+        keys, tokens = [], []
+        for k, own in enumerate(sets):
+            met = None
+            if len(own) and least.get(digests[k]) == k:
+                own_rank = rank[np.searchsorted(shingles, own)]
+                first = np.lexsort((own, own_rank))[: ranked_first(len(own), percent)]
+                met = own[first[own_rank[first] > 0]].view(np.int64)
+            keys.append(met if met is not None and len(met) else None)
+            tokens.append(own.tobytes() if keys[-1] is not None else None)
+        pair = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(keys, pa.list_(pa.int64())), pa.array(tokens, pa.binary())],
+            ["doc_id", "n_shingles", "d1", "d2", "keys", "tokens"],
+        )
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked = field.value
+        rows: list[tuple] = []
         for batch in batches:
-            batch = batch.filter(pa.array(maybe_in(marked, batch.column("doc_id"))))
-            ids = batch.column("doc_id")
-            for begin, own in chunks(binary(batch.column("text"))):
-                sets = shingle_sets(own, words)
-                yield pa.RecordBatch.from_arrays([ids.slice(begin, len(own)), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "tokens"])
+            for row in zip(*(batch.column(c).to_pylist() for c in ("kind", "unit", "ids", "texts", "counts")), strict=True):
+                if row[0] == 0 and rows:
+                    yield from of(rows)
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield from of(rows)
 
     return run
 
@@ -147,7 +222,7 @@ class Level:
 
 
 class SignatureTree:
-    """Level 0 holds the sets, in an order that puts like sizes and, of these, equal smallest tokens together."""
+    """Level 0 holds the sets in the order given."""
 
     def __init__(self, sets: list[np.ndarray], width: int, levels: int):
         bits = np.zeros((len(sets), (1 << width) // 64), np.uint64)
@@ -160,28 +235,61 @@ class SignatureTree:
             self.levels.append(self.levels[-1].above())
 
 
+class Groups:
+    """Which component each set is in; the smaller of two that join takes the other's number."""
+
+    def __init__(self, of: np.ndarray):
+        _, self.of = np.unique(of, return_inverse=True)
+        order = np.argsort(self.of, kind="stable")
+        self.members = dict(enumerate(np.split(order, np.cumsum(np.bincount(self.of))[:-1])))
+
+    def join(self, k: int, l: int) -> None:
+        small, large = sorted((int(self.of[k]), int(self.of[l])), key=lambda g: len(self.members[g]))
+        moved = self.members.pop(small)
+        self.of[moved] = large
+        self.members[large] = np.concatenate([self.members[large], moved])
+
+
 def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, groups: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links (k, l) that join different groups, enough to join all that links can: of sets of `left` with each other, or of
     `left` (0 ..) with `right` (len(left) ..). groups: a component's number for each set, in the same order."""
-    same = right is None
-    sets = left if same else left + right
-    order = [sorted(range(len(left)), key=lambda k: (len(sets[k]), sets[k][0]))]
-    if not same:
-        order.append(sorted(range(len(left), len(sets)), key=lambda k: (len(sets[k]), sets[k][0])))
-    most = max(len(s) for s in sets)
-    width = min(18, max(8, (4 * most - 1).bit_length()))
-    depth = max(math.ceil(math.log(max(len(o), 2), FANOUT)) for o in order)
-    trees = [SignatureTree([sets[k] for k in o], width, depth) for o in order]
-    place = [np.array(o) for o in order]
-    one, two, own, other = trees[0], trees[-1], place[0], place[-1]
-    groups = groups.copy()
+    sets = left if right is None else left + right
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    octave = np.frexp(size)[1]
+    # near copies have like sizes, and often the same smallest token
+    order = np.lexsort((np.array([s[0] for s in sets], np.uint64), np.floor(8 * np.log2(size)), octave))
+    side = np.arange(len(sets)) >= len(left)
+    found = Groups(groups)
+    links: list[tuple[int, int]] = []
+    held = {o: order[octave[order] == o] for o in np.unique(octave).tolist()}
+    none = np.zeros(0, np.int64)
+    for o, own in held.items():
+        pairs = [(own, None)] if right is None else [(own[~side[own]], own[side[own]])]
+        for j in range(1, math.ceil(math.log2(100 / percent)) + 1):
+            far = held.get(o + j, none)
+            pairs += [(own, far)] if right is None else [(own[~side[own]], far[side[far]]), (far[~side[far]], own[side[own]])]
+        for a, b in pairs:
+            if len(a) and (b is None or len(b)):
+                links += _searched(sets, a, b, found, percent)
+    return links
+
+
+def _searched(sets: list[np.ndarray], own: np.ndarray, other: np.ndarray | None, groups: Groups, percent: int) -> list[tuple[int, int]]:
+    """tree_links() of the sets `own` among themselves, or with those of `other`."""
+    same = other is None
+    sides = [own] if same else [own, other]
+    most = max(len(sets[k]) for side in sides for k in side.tolist())
+    width = max(8, (4 * most - 1).bit_length())
+    depth = max(math.ceil(math.log(max(len(side), 2), FANOUT)) for side in sides)
+    trees = [SignatureTree([sets[k] for k in side.tolist()], width, depth) for side in sides]
+    one, two, own, other = trees[0], trees[-1], sides[0], sides[-1]
     links: list[tuple[int, int]] = []
 
     def uniform() -> list[tuple[np.ndarray, np.ndarray]]:
         """Of each level's nodes in both trees: their group, or else -1 and -2."""
         out = []
         for where, none in ((own, -1), (other, -2)):
-            low = high = groups[where]
+            low = high = groups.of[where]
             levels = [low]
             for _ in range(depth):
                 start = np.arange(0, len(low), FANOUT)
@@ -214,9 +322,9 @@ def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, groups: n
             continue
         new = False
         for k, l in zip(own[a].tolist(), other[b].tolist(), strict=True):
-            if groups[k] != groups[l] and similar(sets[k], sets[l], percent):
+            if groups.of[k] != groups.of[l] and similar(sets[k], sets[l], percent):
                 links.append((k, l))
-                groups[groups == groups[l]] = groups[k]
+                groups.join(k, l)
                 new = True
         if new:
             groups_at = uniform()
@@ -258,57 +366,68 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
 
 
-def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = 1e-12, tree_tokens: int = TREE_TOKENS) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest id that links reach) of each row of docs(doc_id, text)."""
+def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, tree_tokens: int = TREE_TOKENS) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest id that links reach) and the digest of the set (d1, d2) of each row of docs(doc_id, text)."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    bands = bands_for(percent / 100, miss)
-    sets = stored(docs.mapInArrow(_sets(words, bands), "doc_id long, n long, d1 long, d2 long, keys array<long>"), "shingle-sets")
-    full = sets.where("n > 0 AND doc_id IS NOT NULL")
-    copies = stored(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("id")), "copies")
-    first = full.join(copies.withColumnsRenamed({"d1": "c1", "d2": "c2"}), (F.col("id") == F.col("doc_id")) & (F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2")))
-
-    blocks = first.select("id", "n", F.explode("keys").alias("key"))
-    several = blocks.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last")
-    members = stored(blocks.join(several.select("key", "hub"), "key"), "blocks")
-    field = spark.sparkContext.broadcast(id_field(members.select("id").distinct()))
-    chosen = docs.where("doc_id IS NOT NULL").mapInArrow(_chosen_sets(field, words), "id long, tokens binary")
-    # copies that are not the first of theirs have gone; an id has several sets only where its rows differ
-    tokens = stored(chosen.join(members.select("id").distinct().hint("shuffle_hash"), "id", "left_semi"), "block-sets")
-
-    pairs = members.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    pairs = pairs.join(tokens.select(F.col("id").alias("a"), F.col("tokens").alias("left")), "a")
-    pairs = pairs.join(tokens.select(F.col("id").alias("b"), F.col("tokens").alias("right")), "b").select("a", "b", "left", "right")
-    near = pairs.mapInArrow(_linked(percent), "a long, b long")
-    # several texts with one id are one document: each text's first id is linked with it
-    texts = full.groupBy("doc_id").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).where("low <> high").select("doc_id")
-    same = full.join(texts, "doc_id").join(copies, ["d1", "d2"]).where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    near = stored(near.union(same).distinct(), "hub-links")
-
+    n = parts(spark)
+    units = stored(docs.select("doc_id", "text").mapInArrow(_units(words, n), _BLOCK), "shingle-units")
+    ranks = units.where("kind = 1").repartition(n, "part").sortWithinPartitions("part").mapInArrow(_ranks, _BLOCK)
+    both = units.where("kind = 0").unionByName(ranks).repartition(n, "unit").sortWithinPartitions("unit", "kind", "part")
+    sets = stored(both.mapInArrow(_keyed(words, percent, n), "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, tokens binary"), "shingle-sets")
+    discard(units)
+
+    full = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    copies = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"))
+    copies = stored(copies.withColumn("node", F.monotonically_increasing_id()), "copies")
+    # of each digest the row of the smallest id; a repeated row may be there twice
+    met = full.where("keys IS NOT NULL").select("doc_id", "d1", "d2", "n_shingles", "keys", "tokens")
+    met = met.join(copies.select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), "id", "node"), (F.col("id") == F.col("doc_id")) & (F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2")))
+    met = stored(met.select("node", F.col("n_shingles").alias("size"), "keys", "tokens").dropDuplicates(["node"]), "met-sets")
+
+    groups = stored(met.select("node", "size", F.explode("keys").alias("key")), "groups")
+    several = groups.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n")).where("hub <> last")
+    members = stored(spread_join(groups, stored(several.select("key", "hub", "n"), "hubs"), ["key"]).select("key", "node", "size", "hub"), "members")
+    discard(groups)
+    tokens = met.select("node", "tokens")
+    pairs = members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    pairs = pairs.join(tokens.select(F.col("node").alias("a"), F.col("tokens").alias("left")), "a")
+    pairs = pairs.join(tokens.select(F.col("node").alias("b"), F.col("tokens").alias("right")), "b").select("a", "b", "left", "right")
+    near = stored(pairs.mapInArrow(_linked(percent), "a long, b long"), "hub-links")
     label = connected_components(near)
-    placed = stored(members.join(label, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("label", "id").alias("component")), "placed")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("who"), F.count(F.lit(1)).alias("count"), F.sum("n").alias("size"))
-    # blocks of the same members are searched once
-    mixed = mixed.where("c0 <> c1").groupBy("who", "count", "size").agg(F.min("key").alias("key"))
-    mixed = mixed.select("key", F.ceil(F.col("size") / tree_tokens).cast("int").alias("trees"))
-    rows = placed.join(mixed, "key").withColumn("side", F.pmod(F.xxhash64("id"), F.col("trees")).cast("int"))
-    rows = rows.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)))
-    rows = rows.select("key", F.least("side", "t").alias("p"), F.greatest("side", "t").alias("q"), "side", "id", "component")
-    rows = rows.join(tokens, "id").repartition(parts(spark), "key", "p", "q").sortWithinPartitions("key", "p", "q", "id")
-    far = stored(rows.select("key", "p", "q", "side", "id", "component", "tokens").mapInArrow(_trees(percent), "a long, b long").distinct(), "tree-links")
+
+    placed = stored(members.join(label, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("component")), "placed")
+    discard(members)
+    mixed = placed.groupBy("key", "component").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("tokens"))
+    mixed = mixed.groupBy("key").agg(F.sum("who").alias("who"), F.sum("n").alias("n"), F.sum("tokens").alias("tokens"), F.max(F.struct("tokens", "component")).alias("main"), F.count(F.lit(1)).alias("components"))
+    # groups of the same members are searched once
+    mixed = mixed.where("components > 1").groupBy("who", "n", "tokens").agg(F.min(F.struct("key", "main")).alias("x")).select("x.key", "n", "tokens", "x.main")
+    mixed = mixed.select("key", "n", F.col("main.component").alias("main"), F.ceil(F.col("main.tokens") / tree_tokens).cast("int").alias("large"), F.ceil((F.col("tokens") - F.col("main.tokens")) / tree_tokens).cast("int").alias("rest"))
+    # sides 0 .. large - 1 hold the largest component, the next ones the other sets; pairs of sides have a set of the latter
+    rows = spread_join(placed, stored(mixed, "mixed"), ["key"])
+    inside, hashed = F.col("component") == F.col("main"), F.xxhash64("node")
+    rows = rows.withColumn("side", F.when(inside, F.pmod(hashed, F.col("large"))).otherwise(F.col("large") + F.pmod(hashed, F.col("rest"))).cast("int"))
+    rows = rows.withColumn("t", F.explode(F.sequence(F.when(inside, F.col("large")).otherwise(0), F.col("large") + F.col("rest") - 1)))
+    rows = rows.select("key", F.least("side", "t").alias("p"), F.greatest("side", "t").alias("q"), "side", "node", "component")
+    rows = rows.join(tokens, "node").repartition(n, "key", "p", "q").sortWithinPartitions("key", "p", "q", "node")
+    far = stored(rows.select("key", "p", "q", "side", F.col("node").alias("id"), "component", "tokens").mapInArrow(_trees(percent), "a long, b long").distinct(), "tree-links")
+    discard(placed)
 
     # the hubs' components stay as they are; only what trees have joined is new
     joined = far.join(label.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
     over = connected_components(joined.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
-    whole = copies.join(label, F.col("id") == F.col("node"), "left").select("d1", "d2", F.coalesce("label", "id").alias("near"))
-    whole = whole.join(over, F.col("near") == F.col("node"), "left").select("d1", "d2", F.coalesce("label", "near").alias("component"))
-    out = sets.select("doc_id", "n", "d1", "d2").join(whole, ["d1", "d2"], "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+    whole = copies.join(label, "node", "left").select("d1", "d2", "id", "n", F.coalesce("label", "node").alias("near"))
+    whole = whole.join(over.withColumnRenamed("label", "far"), F.col("near") == F.col("node"), "left").select("d1", "d2", "id", "n", F.coalesce("far", "near").alias("component"))
+    whole = stored(whole, "placed-copies")
+    first = whole.groupBy("component").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("digests")).where("digests > 1")
+    whole = stored(whole.join(first, "component", "left").select("d1", "d2", "n", F.coalesce("component_id", "id").alias("component_id")), "components")
+    out = ["doc_id", "n_shingles", "component_id", "d1", "d2"]
+    linked = spread_join(full.select("doc_id", "n_shingles", "d1", "d2"), whole, ["d1", "d2"]).select(*out)
+    alone = sets.where("NOT (n_shingles > 0 AND doc_id IS NOT NULL)").withColumn("component_id", F.col("doc_id"))
+    return linked.unionByName(alone.select(*out))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_components(documents(spark, sf_dir), words=4, percent=85)
+    return ngram_components(documents(spark, sf_dir), words=4, percent=85).drop("d1", "d2")
 
 
 OP1_SQL = r"""

@@ -1,4 +1,4 @@
-"""Python workers serve one stage after another: what a partition has used goes back to the system when it ends."""
+"""Memory of Python workers, which serve one stage after another: what a partition has used goes back to the system when it ends; and compressed blocks."""
 
 from __future__ import annotations
 
@@ -20,6 +20,14 @@ def tidy() -> None:
         trim(0)
 
 
+def squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
 def tidied(run: Run) -> Run:
     @functools.wraps(run)
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

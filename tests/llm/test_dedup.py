@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from tessera.llm import ngram_join, substring_dedup
-from tessera.llm.ngram_join import band_keys, bands_for, ngram_components, similar, tree_links
+from tessera.llm.ngram_join import ngram_components, ranked_first, similar, tree_links
 
 from .common import corpus, odd, very_long, words
 
@@ -20,22 +20,24 @@ def shingles(text, n):
 
 
 def components(rows, n, percent):
-    sets = {}
-    for i, t in rows:
-        sets.setdefault(i, []).append(shingles(t, n))
-    label = {i: i for i in sets}
+    """The smallest id that each id's text reaches by links; rows with a null id are left out."""
+    sets = [(i, shingles(t, n)) for i, t in rows if i is not None]
+    label = list(range(len(sets)))
 
     def find(x):
         while label[x] != x:
             x = label[x]
         return x
 
-    for a in sets:
-        for b in sets:
-            if a < b and any(x and y and 100 * len(x & y) >= percent * len(x | y) for x in sets[a] for y in sets[b]):
-                p, q = sorted((find(a), find(b)))
-                label[q] = p
-    return {i: find(i) for i in sets}
+    for a, (_, x) in enumerate(sets):
+        for b in range(a):
+            y = sets[b][1]
+            if x and y and min(len(x), len(y)) * 100 >= percent * max(len(x), len(y)) and 100 * len(x & y) >= percent * len(x | y):
+                label[find(a)] = find(b)
+    least: dict = {}
+    for k, (i, _) in enumerate(sets):
+        least[find(k)] = min(i, least.get(find(k), i))
+    return {i: least[find(k)] if x else i for k, (i, x) in enumerate(sets)}
 
 
 @pytest.mark.parametrize("n,percent,seed", [(4, 85, 1), (5, 80, 2), (1, 80, 3)])
@@ -65,11 +67,71 @@ def test_chains_of_near_copies_through_small_trees(spark):
         assert {r.doc_id: r.component_id for r in ngram_components(docs, 1, 80, tree_tokens=tokens).collect()} == want
 
 
+def test_trees_decide(spark, monkeypatch):
+    """Pairs that meet only in groups with a third set, like neither, which is often the group's first: only trees find them."""
+    rng = random.Random(4)
+    pool = [f"c{k}" for k in range(100)]
+    rows = []
+    for k in range(30):
+        met, common = [f"t{k}", f"u{k}"], rng.sample(pool, 8)
+        rows += [(3 * k, [f"a{k}", *met, *common]), (3 * k + 1, [f"b{k}", *met, *common]), (3 * k + 2, [*met, *rng.sample(pool, 9)])]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    docs = odd(spark, [(i, t, "s") for i, t in rows])
+    got = {r.doc_id: r.component_id for r in ngram_components(docs, 1, 80).collect()}
+    assert got == components(rows, 1, 80) == {i: i - (i % 3 == 1) for i, _ in rows}
+    monkeypatch.setattr(ngram_join, "_trees", lambda percent: lambda batches: iter(()))
+    lost = {r.doc_id: r.component_id for r in ngram_components(docs, 1, 80).collect()}
+    assert sum(lost[i] != got[i] for i in got) > 3
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_pairs_just_at_the_threshold(spark, percent):
+    """Pairs of sets whose similarity is the threshold exactly, or one token less, of many sizes, with common tokens that others have too."""
+    rng = random.Random(percent)
+    common = [f"common{k}" for k in range(50)]
+    rows, want = [], {}
+    for k in range(160):
+        n = rng.randint(5, 120)
+        union = rng.sample(common, min(n // 2, 30)) + [f"p{k}x{j}" for j in range(n)]
+        shared = -(-percent * len(union) // 100)
+        if k % 2:
+            shared = (percent * len(union) - 1) // 100
+        cut = rng.randint(0, len(union) - shared)
+        rng.shuffle(union)
+        a, b = union[: shared + cut], union[:shared] + union[shared + cut :]
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        want[2 * k], want[2 * k + 1] = 2 * k, 2 * k + (k % 2)
+    got = {r.doc_id: r.component_id for r in ngram_components(odd(spark, [(i, t, "s") for i, t in rows]), 1, percent).collect()}
+    assert got == want == components(rows, 1, percent)
+
+
+def test_no_similar_set_does_without_its_first_shingles():
+    for percent in (50, 80, 85, 100):
+        for n in range(1, 300):
+            least = -(-percent * n // 100)  # common tokens with any similar set
+            assert ranked_first(n, percent) + least == n + 1
+
+
+def test_a_third_of_all_rows_are_near_copies(spark):
+    rng = random.Random(1)
+    base = [f"b{k}" for k in range(100)]
+    rows = []
+    for k in range(120):
+        own = base.copy()
+        own[rng.randrange(100)] = f"own{k}"
+        rows.append((k + 1000, " ".join(own)))
+    rows += [(k + 2000, rows[0][1]) for k in range(60)] + [(k, " ".join(f"z{k}x{j}" for j in range(60))) for k in range(200)]
+    rows += [(5000, " ".join(base[:80] + [f"far{j}" for j in range(12)])), (5001, " ".join(base[:84] + [f"far{j}" for j in range(20)]))]
+    got = {r.doc_id: r.component_id for r in ngram_components(odd(spark, [(i, t, "s") for i, t in rows]), 2, 80, tree_tokens=900).collect()}
+    assert got == components(rows, 2, 80) and sum(c == 1000 for c in got.values()) >= 180
+
+
 def test_odd_rows(spark):
     long = very_long()
     rows = [(5, long, "s"), (6, long + " more", "s"), (7, None, "s"), (8, "", "s"), (None, long, "s"), (5, long, "s"), (9, "a b", "s"), (3, "A B", "s"), (9, long, "s")]
     got = sorted((str(r.doc_id), str(r.component_id)) for r in ngram_components(odd(spark, rows), 5, 80).collect())
-    assert got == [("3", "3"), ("5", "3"), ("5", "3"), ("6", "3"), ("7", "7"), ("8", "8"), ("9", "3"), ("9", "3"), ("None", "None")]
+    # the two texts with id 9 are two documents
+    assert got == [("3", "3"), ("5", "5"), ("5", "5"), ("6", "5"), ("7", "7"), ("8", "8"), ("9", "3"), ("9", "5"), ("None", "None")]
     assert ngram_components(odd(spark, []), 5, 80).count() == 0
 
 
@@ -100,17 +162,23 @@ def test_trees_find_what_all_pairs_find(seed):
         assert joined(links) == joined(all_pairs) and all(similar(sets[a], sets[b], 80) for a, b in links)
 
 
-def test_band_keys_meet_as_often_as_the_similarity_says():
-    rng = np.random.default_rng(1)
-    for size in (12, 100, 1000):
-        met, bands = 0, bands_for(0.8, 1e-12)
-        for _ in range(60):
-            own = rng.integers(0, 2**64, size + size // 4, dtype=np.uint64)
-            keys = band_keys([np.unique(own[:size]), np.unique(own)], bands)  # similarity 0.8
-            hits = int((keys[0] == keys[1]).sum())
-            assert hits > 0
-            met += hits
-        assert abs(met / (60 * bands) - 0.8**3) < 0.08
+def test_bitmaps_take_no_more_than_the_sets():
+    """One very long set beside many short ones."""
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in [60_000, *[20] * 3000]]
+    widths = []
+    real = ngram_join.SignatureTree.__init__
+
+    def noted(self, own, width, levels):
+        widths.append((1 << width) // 8 * len(own) / sum(map(len, own)))
+        real(self, own, width, levels)
+
+    ngram_join.SignatureTree.__init__ = noted
+    try:
+        assert tree_links(sets, None, np.arange(len(sets)), 80) == []
+    finally:
+        ngram_join.SignatureTree.__init__ = real
+    assert max(widths) <= 2  # bytes of bitmap for each token, of 8 bytes
 
 
 def removed(rows, n=13):
@@ -157,4 +225,3 @@ def test_phrases_merge_windows_and_lose_none():
 
 def test_empty(spark):
     assert substring_dedup.substring_dedup(odd(spark, [])).count() == 0
-    assert ngram_join.bands_for(0.85, 1e-12) == 30
