@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Callable
+from datetime import date, datetime
 from typing import Any
 
 from .errors import NotSupportedError
@@ -21,6 +22,8 @@ def expr_to_dict(e: Expr) -> dict[str, Any]:
             return {"all": True}
         case Lit(bytes() as value):
             return {"bytes": base64.b64encode(value).decode()}
+        case Lit(date() as value):
+            return {"time": datetime.combine(value, datetime.min.time()).isoformat() if not isinstance(value, datetime) else value.isoformat()}
         case Lit(value):
             return {"lit": value}
         case Binary(op, left, right):
@@ -52,6 +55,8 @@ def expr_from_dict(d: dict[str, Any]) -> Expr:
             return All()
         case {"bytes": text}:
             return Lit(base64.b64decode(text))
+        case {"time": text}:
+            return Lit(datetime.fromisoformat(text))
         case {"lit": value}:
             return Lit(value)
         case {"op": op, "left": left, "right": right}:

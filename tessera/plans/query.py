@@ -103,8 +103,13 @@ class Query:
             df = node.apply(df)
         return df
 
-    def explain(self) -> str:
+    def explain(self, physical: bool = False) -> str:
+        """The query's own stages; with physical, also the plan that Spark makes of them."""
         out = ["SchemaScan" if self.is_schema else "TableScan"]
         for node in self.nodes:
             out += node.stages()
-        return " - ".join(out)
+        said = " - ".join(out)
+        if physical:
+            df = self.frame()
+            said += "\n" + df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+        return said

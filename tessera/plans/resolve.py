@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -107,6 +109,8 @@ class Resolver:
                     return column.contains(value) if op == "contains" else ~column.contains(value)
                 if isinstance(right, Lit) and value is None:
                     return {"==": column.isNull(), "!=": column.isNotNull()}.get(op, F.lit(False))
+                if isinstance(value, date):  # of the column's own type, so that Spark pushes the test to the scan
+                    return _COMPARE[op](column, F.lit(value.isoformat()).cast(self.data_type(left)))
                 other = self.scalar(right)
                 return F.lit(False) if other is None else _COMPARE[op](column, other)
             case Not(inner):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -35,6 +37,9 @@ def filter_problems(e: Expr, types: Resolver) -> list[str]:
         if not isinstance(value, (str, bytes)):
             return [f"{e} needs a text on the right"]
         return [] if kind is None or isinstance(kind, (T.StringType, T.BinaryType)) else [f"{e} needs a text column"]
+    times = (T.TimestampType, T.TimestampNTZType, T.DateType)
+    if value is not None and isinstance(e.right, Lit) and kind is not None and isinstance(kind, times) != isinstance(value, date):
+        return [f"{e} compares a time with something else"]
     number = isinstance(value, (int, float)) and not isinstance(value, bool)
     if isinstance(kind, T.StringType) and (number or isinstance(value, bool)):
         return [f"{e} compares a text column with a {type(value).__name__}"]

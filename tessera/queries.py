@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,13 +18,15 @@ from tessera.plans.exprs import (
 from tessera.plans.query import Query
 from tessera.plans.resolve import quoted
 from tessera.sources import ColumnDef, SortKey, Store, TableSchema, expand_maps
-from tessera.streaming import rollup
+from tessera.sources.connectors import BlockFolder
+from tessera.streaming import rolled_up, rollup, start_rollup
+from tessera.tools import reencode
 
 Make = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Make] = {}
 ORACLE: dict[str, str] = {}
 HOUR = 3_600_000_000
-KINDS = ("click", "error", "login", "purchase", "view")
+KINDS = ("click", "error", "purchase", "signup", "view")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -109,6 +112,9 @@ over_wide("filter_is_null", lambda q: q.filter(col("labels.click").eq(None)).pro
 over_wide("filter_is_not_null", lambda q: q.filter(col("labels.click").not_eq(None)).project(col("event_id")), 'SELECT event_id FROM WIDE WHERE "labels.click" IS NOT NULL')
 over_wide("filter_missing_column", lambda q: q.filter(and_(col("labels.nobody").not_eq("x"), col("labels.nobody").eq(""), col("labels.nobody").not_regex("foo"), col("user_id").lt(100))).project(*cols("event_id", "user_id")), "SELECT event_id, user_id FROM WIDE WHERE user_id < 100")
 query("filter_bool", "SELECT o_orderkey, o_orderstatus = 'F' AS done FROM orders WHERE o_orderstatus = 'F'")(lambda s, d: Query.on(read(s, d, "orders").select("o_orderkey", (F.col("o_orderstatus") == "F").alias("done"))).filter(col("done").eq(True)).frame())
+over("orders", "filter_text_order", lambda q: q.filter(and_(col("o_orderpriority").gt("2"), col("o_orderpriority").lt_eq("4-NOT SPECIFIED"))), "SELECT * FROM orders WHERE o_orderpriority > '2' AND o_orderpriority <= '4-NOT SPECIFIED'")
+over("orders", "filter_time", lambda q: q.filter(and_(col("o_orderdate").gt_eq(datetime(1995, 1, 1)), col("o_orderdate").lt(datetime(1996, 1, 1)))).project(col("o_orderkey")), "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1996-01-01'")
+query("nested_path", "SELECT o_custkey AS \"of.customer\", o_totalprice AS \"of.price\" FROM orders WHERE o_custkey > 50")(lambda s, d: Query.on(read(s, d, "orders").select(F.struct(F.col("o_custkey").alias("customer"), F.col("o_totalprice").alias("price")).alias("of"))).filter(col("of.customer").gt(50)).project(*cols("of.customer", "of.price", "of.nobody")).frame())
 over("lineitem", "having_filter", lambda q: q.aggregate([count(col("l_orderkey")).alias("n")], [col("l_suppkey")]).filter(col("n").gt(580)), "SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 580")
 
 # Aggregates; sums of doubles are rounded, since engines add in different orders
@@ -131,6 +137,10 @@ over("lineitem", "agg_sum", lambda q: q.aggregate([sum_(col("l_partkey")).alias(
 over("lineitem", "agg_min", lambda q: q.aggregate([min_(col("l_extendedprice")).alias("m")], [col("l_suppkey")]), "SELECT l_suppkey, min(l_extendedprice) AS m FROM lineitem GROUP BY ALL")
 over("lineitem", "agg_max", lambda q: q.aggregate([max_(col("l_orderkey")).alias("m")], [col("l_suppkey")]), "SELECT l_suppkey, max(l_orderkey) AS m FROM lineitem GROUP BY ALL")
 over("lineitem", "agg_avg_int", lambda q: q.aggregate([avg(col("l_orderkey")).alias("a")], [col("l_suppkey")]), "SELECT l_suppkey, CAST(sum(l_orderkey) AS BIGINT) // count(*) AS a FROM lineitem GROUP BY ALL")
+query("agg_avg_nulls", "SELECT o_orderstatus, CAST(sum(v) AS BIGINT) // count(v) AS whole, round(avg(f), 4) AS part, count(*) AS n FROM (SELECT o_orderstatus, CASE WHEN o_orderkey % 3 > 0 THEN o_custkey END AS v, CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice END AS f FROM orders) GROUP BY ALL")(
+    lambda s, d: Query.on(read(s, d, "orders").select("o_orderstatus", F.when(F.col("o_orderkey") % 3 > 0, F.col("o_custkey")).alias("v"), F.when(F.col("o_orderkey") % 5 > 0, F.col("o_totalprice")).alias("f")))
+    .aggregate([avg(col("v")).alias("whole"), avg(col("f")).alias("part"), count(col("v")).alias("n")], [col("o_orderstatus")]).frame().withColumn("part", F.round("part", 4))
+)
 over_rounded("lineitem", "agg_avg_float", lambda q: q.aggregate([avg(col("l_extendedprice")).alias("a")], [col("l_suppkey")]), ["a"], "SELECT l_suppkey, round(avg(l_extendedprice), 2) AS a FROM lineitem GROUP BY ALL")
 over("lineitem", "agg_expr", lambda q: q.aggregate([sum_(mul(col("l_orderkey"), col("l_linenumber"))).alias("s")], [col("l_suppkey")]), "SELECT l_suppkey, CAST(sum(l_orderkey * l_linenumber) AS BIGINT) AS s FROM lineitem GROUP BY ALL")
 over("lineitem", "agg_post_arith", lambda q: q.aggregate([max_(col("l_orderkey")), min_(col("l_orderkey")), sum_(col("l_orderkey")), count(col("l_orderkey"))], [col("l_suppkey")]).project(col("l_suppkey"), sub(max_(col("l_orderkey")), min_(col("l_orderkey"))).alias("span"), div(sum_(col("l_orderkey")), count(col("l_orderkey"))).alias("mean")), "SELECT l_suppkey, max(l_orderkey) - min(l_orderkey) AS span, CAST(sum(l_orderkey) AS BIGINT) // count(*) AS mean FROM lineitem GROUP BY ALL")
@@ -141,8 +151,9 @@ over_wide("agg_null_group", lambda q: q.aggregate([sum_(col("user_id")).alias("s
 over_wide("agg_group_dyncol", lambda q: q.aggregate([sum_(col("user_id")).alias("s"), count(col("user_id")).alias("n")], [DynCol("labels")]), "SELECT LABELS, CAST(sum(user_id) AS BIGINT) AS s, count(*) AS n FROM WIDE GROUP BY ALL")
 over_wide("agg_time_bucket", lambda q: q.aggregate([count(col("user_id")).alias("n")], [mul(div(col("timestamp"), Lit(HOUR)), Lit(HOUR)).alias("bucket")]), f"SELECT timestamp // {HOUR} * {HOUR} AS bucket, count(*) AS n FROM WIDE GROUP BY ALL")
 over_wide("agg_duration", lambda q: q.aggregate([count(col("user_id")).alias("n"), max_(col("value")).alias("m")], [Duration(3600, 1_000_000), col("event_type")]), f"SELECT timestamp // {HOUR} * {HOUR} AS timestamp, event_type, count(*) AS n, max(value) AS m FROM WIDE GROUP BY ALL")
-query("agg_dyncol_values", 'SELECT user_id, max(CASE WHEN event_type = \'click\' THEN event_id END) AS "max(n.click)", max(CASE WHEN event_type = \'view\' THEN event_id END) AS "max(n.view)" FROM events GROUP BY ALL')(
-    lambda s, d: Query.on(read(s, d, "events").select("user_id", *(F.when(F.col("event_type") == k, F.col("event_id")).alias(f"n.{k}") for k in ("click", "view")))).aggregate([max_(DynCol("n"))], [col("user_id")]).frame()
+_BY_KIND = ", ".join(f"CASE WHEN event_type = '{k}' THEN user_id END AS \"users.{k}\"" for k in KINDS)
+query("agg_dyncol_values", "SELECT user_id, " + ", ".join(f"max(CASE WHEN event_type = '{k}' THEN event_id END) AS \"max(n.{k})\"" for k in KINDS) + " FROM events GROUP BY ALL")(
+    lambda s, d: Query.on(read(s, d, "events").select("user_id", *(F.when(F.col("event_type") == k, F.col("event_id")).alias(f"n.{k}") for k in KINDS))).aggregate([max_(DynCol("n"))], [col("user_id")]).frame()
 )
 query("agg_group_array", "SELECT [event_type, CAST(user_id % 3 AS VARCHAR)] AS pair, count(*) AS n FROM events GROUP BY ALL")(lambda s, d: Query.on(read(s, d, "events").select(F.array("event_type", (F.col("user_id") % 3).cast("string")).alias("pair"), "event_id")).aggregate([count(col("event_id")).alias("n")], [col("pair")]).frame())
 
@@ -156,7 +167,17 @@ over("orders", "distinct_filtered", lambda q: q.filter(col("o_totalprice").gt(20
 over("region", "limit_n", lambda q: q.limit(3).aggregate([count(col("r_regionkey")).alias("n")]), "SELECT count(*) AS n FROM (SELECT * FROM region LIMIT 3)")
 over("region", "limit_zero", lambda q: q.limit(0), "SELECT * FROM region LIMIT 0")
 over("orders", "limit_after_agg", lambda q: q.aggregate([sum_(col("o_orderkey")).alias("s")], [col("o_custkey")]).limit(5).aggregate([count(col("s")).alias("n")]), "SELECT count(*) AS n FROM (SELECT o_custkey FROM orders GROUP BY 1 LIMIT 5)")
-over("lineitem", "sample_exact", lambda q: q.sample(100, seed=3))
+
+
+@query("sample_exact", "SELECT least(count(*), 100) AS n, least(count(*), 100) AS different, true AS known FROM lineitem")
+def sample_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds for every sample: its size, no row twice, all rows of the table."""
+    drawn = Query(lambda: read(spark, sf_dir, "lineitem"), "lineitem").sample(100, seed=3).frame()
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
+    known = drawn.join(read(spark, sf_dir, "lineitem").select(*keys).withColumn("there", F.lit(True)).distinct(), keys, "left")
+    return known.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(*keys[:2]).alias("different"), F.bool_and(F.coalesce("there", F.lit(False))).alias("known"))
+
+
 
 # Query text
 
@@ -166,9 +187,11 @@ for _name, _table, _text, _sql in [
     ("sql_like", "part", "select p_partkey, p_name where p_type like 'STEEL' or p_name not regexp '^[a-q]' and p_size <= 20", "SELECT p_partkey, p_name FROM part WHERE contains(p_type, 'STEEL') OR (NOT regexp_matches(p_name, '^[a-q]') AND p_size <= 20)"),
     ("sql_convert", "orders", "select o_orderkey, convert(o_custkey, float) as f, (o_custkey + 3) * 2 as t", "SELECT o_orderkey, CAST(o_custkey AS DOUBLE) AS f, (o_custkey + 3) * 2 AS t FROM orders"),
     ("sql_global", "orders", "select count(o_orderkey) as n, max(o_orderkey) as m", "SELECT count(*) AS n, max(o_orderkey) AS m FROM orders"),
+    ("sql_second", "events", "select event_type, count(event_id) as n, second(3600) group by event_type, second(3600)", "SELECT event_type, count(*) AS n, epoch_ms(ts) // 3600000 * 3600000 AS timestamp FROM events GROUP BY ALL"),
+    ("sql_null", "orders", "select o_orderkey where o_orderstatus != null and nobody = null limit 1000000", "SELECT o_orderkey FROM orders WHERE o_orderstatus IS NOT NULL"),
     ("sql_bucket", "orders", "select (o_orderkey / 1000) * 1000 as bucket, count(o_custkey) as n group by bucket", "SELECT (o_orderkey // 1000) * 1000 AS bucket, count(*) AS n FROM orders GROUP BY ALL"),
 ]:
-    query(_name, _sql)(lambda s, d, t=_table, x=_text: Engine(s, lambda name: read(s, d, name)).sql(t, x).frame())
+    query(_name, _sql)(lambda s, d, t=_table, x=_text: Engine(s, lambda name: read(s, d, name) if name != "events" else read(s, d, name).withColumn("timestamp", F.unix_millis(F.col("ts").cast("timestamp")))).sql(t, x).frame())
 
 _PLAN = {
     "scan": {"table": "lineitem"},
@@ -179,15 +202,31 @@ _PLAN = {
 }
 query("plan_dict", "SELECT l_suppkey, count(*) AS n, max(l_partkey) AS m FROM lineitem WHERE l_quantity > 25 AND l_returnflag = 'N' GROUP BY ALL")(lambda s, d: Engine(s, lambda name: read(s, d, name)).plan(_PLAN).frame())
 
+_LARGE = {"filter": {"op": ">", "left": {"col": "o_totalprice"}, "right": {"lit": 150000.0}}}
+for _name, _scan, _nodes, _sql in [
+    ("plan_project", {"table": "orders"}, [{"project": [{"col": "o_orderkey"}, {"alias": "twice", "of": {"op": "*", "left": {"col": "o_custkey"}, "right": {"lit": 2}}}, {"alias": "f", "of": {"convert": {"col": "o_custkey"}, "to": "float64"}}]}], "SELECT o_orderkey, o_custkey * 2 AS twice, CAST(o_custkey AS DOUBLE) AS f FROM orders"),
+    ("plan_distinct", {"table": "orders"}, [_LARGE, {"distinct": [{"col": "o_orderstatus"}, {"col": "o_orderpriority"}]}], "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders WHERE o_totalprice > 150000"),
+    ("plan_limit", {"table": "orders"}, [{"limit": 17}, {"aggregate": {"aggs": [{"alias": "n", "of": {"agg": "count", "of": {"col": "o_orderkey"}}}], "groups": []}}], "SELECT least(count(*), 17) AS n FROM orders"),
+    ("plan_sample", {"table": "orders"}, [{"sample": {"size": 23, "seed": 4}}, {"aggregate": {"aggs": [{"alias": "n", "of": {"agg": "count", "of": {"col": "o_orderkey"}}}], "groups": []}}], "SELECT least(count(*), 23) AS n FROM orders"),
+    ("plan_schema", {"schema": "supplier"}, [{"filter": {"op": "=~", "left": {"col": "name"}, "right": {"lit": "key$"}}}], "SELECT column_name AS name FROM (DESCRIBE supplier) WHERE column_name LIKE '%key'"),
+    ("plan_if", {"table": "orders"}, [{"project": [{"col": "o_orderkey"}, {"alias": "r", "of": {"if": [{"op": "==", "left": {"col": "o_orderstatus"}, "right": {"lit": "F"}}, {"col": "o_custkey"}, {"lit": 0}]}}, {"alias": "none", "of": {"isnull": {"col": "o_orderpriority"}}}]}], "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_custkey ELSE 0 END AS r, o_orderpriority IS NULL AS none FROM orders"),
+    ("plan_time", {"table": "orders"}, [{"filter": {"op": ">=", "left": {"col": "o_orderdate"}, "right": {"time": "1997-03-01T00:00:00"}}}, {"project": [{"col": "o_orderkey"}]}], "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1997-03-01'"),
+]:
+    query(_name, _sql)(lambda s, d, p={"scan": _scan, "nodes": _nodes}: Engine(s, lambda name: read(s, d, name)).plan(p).frame())
+
 # Store
 
 _NATION = TableSchema("nation", (ColumnDef("n_nationkey", "int32"), ColumnDef("n_name"), ColumnDef("n_regionkey", "int32")), (SortKey("n_name"),))
 
 
 def _root(spark: SparkSession) -> str:
-    """A new folder: in the cluster's shared one, where there is one."""
+    """A new folder: in the cluster's shared one; on this machine only where Spark runs on it alone."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{shared}/stores/{uuid.uuid4().hex}" if shared else "file://" + tempfile.mkdtemp(prefix="tessera-store-")
+    if shared:
+        return f"{shared}/stores/{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="tessera-store-")
 
 
 @query("insert_append", "SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT n_nationkey + 100, n_name, n_regionkey FROM nation")
@@ -224,22 +263,59 @@ def compact_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.read()
 
 
-@query("map_to_dynamic", "SELECT event_id, CASE WHEN event_type = 'click' THEN user_id END AS \"users.click\", CASE WHEN event_type = 'view' THEN user_id END AS \"users.view\" FROM events WHERE event_type IN ('click', 'view')")
+@query("map_to_dynamic", f"SELECT event_id, {_BY_KIND} FROM events")
 def map_to_dynamic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = read(spark, sf_dir, "events").where(F.col("event_type").isin("click", "view"))
-    return expand_maps(events.select("event_id", F.create_map("event_type", "user_id").alias("users")), "users")
+    return expand_maps(read(spark, sf_dir, "events").select("event_id", F.create_map("event_type", "user_id").alias("users")), "users")
 
 
-@query("dynamic_append", "SELECT event_id, CASE WHEN event_type = 'click' THEN user_id END AS \"users.click\", CASE WHEN event_type = 'view' THEN user_id END AS \"users.view\" FROM events WHERE event_type IN ('click', 'view')")
+@query("dynamic_append", f"SELECT event_id, {_BY_KIND} FROM events")
 def dynamic_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two inserts of which each has a key that the other lacks."""
+    """Five inserts of which each has a key that the others lack."""
     schema = TableSchema("users", (ColumnDef("event_id", "int64"), ColumnDef("users", "int64", True, True)), (SortKey("users", nulls_first=True), SortKey("event_id")))
     table, events = Store(spark, _root(spark)).table("db", schema), read(spark, sf_dir, "events")
-    for kind in ("click", "view"):
+    for kind in KINDS:
         table.insert(events.where(F.col("event_type") == kind).select("event_id", F.col("user_id").alias(f"users.{kind}")))
     return table.read()
 
 
+@query("version_log", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def version_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One insert for each nation: more versions than are kept as changes only, then a rotation and their expiry."""
+    table, nation = Store(spark, _root(spark)).table("db", _NATION), read(spark, sf_dir, "nation")
+    for row in nation.collect():  # 25 rows
+        table.insert(spark.createDataFrame([row], nation.schema))
+    table.rotate()
+    table.expire()
+    return table.read()
+
+
+@query("table_schema_scan", f"SELECT unnest({['event_id', *(f'users.{k}' for k in KINDS)]}) AS name")
+def table_schema_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = TableSchema("users", (ColumnDef("event_id", "int64"), ColumnDef("users", "int64", True, True)), (SortKey("event_id"),))
+    table, events = Store(spark, _root(spark)).table("db", schema), read(spark, sf_dir, "events")
+    for kind in KINDS:
+        table.insert(events.where(F.col("event_type") == kind).select("event_id", F.col("user_id").alias(f"users.{kind}")))
+    return table.scan_schema().distinct()
+
+
+@query("block_folder", "SELECT n_nationkey, n_name, n_regionkey, n_name || '!' AS loud FROM nation WHERE n_regionkey > 0 AND n_nationkey < 20 UNION ALL SELECT n_nationkey, n_name, n_regionkey, NULL FROM nation WHERE n_regionkey > 0 AND n_nationkey >= 20")
+def block_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of which one has a column more; one is too new for the scan, one is ruled out by its range of keys."""
+    folder, nation = BlockFolder(spark, _root(spark)), read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    folder.upload("db/nation/001", nation.where("n_nationkey < 20").withColumn("loud", F.concat("n_name", F.lit("!"))))
+    folder.upload("db/nation/002", nation.where("n_nationkey >= 20"))
+    folder.upload("db/nation/003", nation.withColumn("n_regionkey", F.lit(-1).cast(nation.schema["n_regionkey"].dataType)))
+    folder.upload("db/nation/004", nation)
+    return folder.scan("db/nation", col("n_regionkey").gt(0), before="004")
+
+
+@query("reencoded", "SELECT * FROM supplier")
+def reencoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = f"{_root(spark)}/supplier"
+    reencode(spark, f"{sf_dir}/supplier.parquet", place, "zstd", 1 << 20)
+    return spark.read.parquet(place)
+
+
 @query("layout_sorted", "SELECT o_orderstatus, o_orderkey FROM orders")
 def layout_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = TableSchema("orders", (ColumnDef("o_orderstatus"), ColumnDef("o_orderkey", "int64")), (SortKey("o_orderstatus", False), SortKey("o_orderkey")))
@@ -254,8 +330,8 @@ def layout_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("flagship", "SELECT l_returnflag, l_linestatus, round(sum(l_extendedprice), 2) AS sum_price, count(*) AS n FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-09-02' AND l_quantity > 10 GROUP BY ALL")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = Query(lambda: read(spark, sf_dir, "lineitem").withColumn("shipped", F.unix_micros(F.col("l_shipdate").cast("timestamp"))), "lineitem")
-    q = q.filter(and_(col("shipped").lt(904_694_400_000_000), col("l_quantity").gt(10.0)))
+    q = Query(lambda: read(spark, sf_dir, "lineitem"), "lineitem")
+    q = q.filter(and_(col("l_shipdate").lt(datetime(1998, 9, 2)), col("l_quantity").gt(10.0)))
     q = q.aggregate([sum_(col("l_extendedprice")), count(col("l_orderkey"))], _FLAGS)
     q = q.project(*_FLAGS, sum_(col("l_extendedprice")).alias("sum_price"), count(col("l_orderkey")).alias("n"))
     return q.frame().withColumn("sum_price", F.round("sum_price", 2))
@@ -273,11 +349,6 @@ def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of one file, run to its end; the table that it leaves."""
     schema = read(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"rollup_{uuid.uuid4().hex}"
-    out = rollup(stream, "ts", "1 hour", "1 day", ["event_type"], [F.count(F.lit(1)).alias("n")])
-    running = out.writeStream.outputMode("complete").format("memory").queryName(name).start()
-    try:
-        running.processAllAvailable()
-    finally:
-        running.stop()
-    return spark.table(name).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+    out, root = rollup(stream, "ts", "1 hour", "1 day", ["event_type"], [F.count(F.lit(1)).alias("n")]), _root(spark)
+    start_rollup(out, f"{root}/rollup", f"{root}/checkpoint", available_now=True).awaitTermination()
+    return rolled_up(spark, f"{root}/rollup", ["event_type"]).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,6 +20,24 @@ def rollup(stream: DataFrame, time: str, width: str, late: str, keys: Sequence[s
     return out.withColumn("bucket", F.col("window.start")).select("bucket", *(quoted(c) for c in out.columns if c != "window"))
 
 
+def start_rollup(rows: DataFrame, place: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Writes what a rollup changes, one folder of `place` for each micro-batch; a batch that runs again replaces its own."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/batch={number}")
+
+    writer = rows.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def rolled_up(spark: SparkSession, place: str, keys: Sequence[str]) -> DataFrame:
+    """The rollup as its last batches left it: of each bucket and keys the newest row."""
+    rows = spark.read.parquet(place)
+    others = [c for c in rows.columns if c not in ("bucket", "batch", *keys)]
+    newest = F.max_by(F.struct(*map(quoted, others)), F.col("batch")).alias("newest")
+    return rows.groupBy("bucket", *map(quoted, keys)).agg(newest).select("bucket", *map(quoted, keys), "newest.*")
+
+
 def run_query(stream: DataFrame, query: Query) -> DataFrame:
     """A query's filters, projections and aggregates over a stream in place of its scan."""
     for node in query.nodes:

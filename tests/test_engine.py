@@ -1,9 +1,14 @@
 from __future__ import annotations
 
+import importlib
+import importlib.util
+import os
 import random
 import uuid
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from datetime import datetime
 from decimal import Decimal
 
 import pytest
@@ -136,6 +141,62 @@ def test_filters_reach_the_scan(spark, tmp_path):
     assert "GreaterThan(v,3)" in plan and "EqualTo(s,x)" in plan and plan.count("HashAggregate") == 2
 
 
+def test_times_reach_the_scan(spark, tmp_path):
+    for kind in ("timestamp", "timestamp_ntz", "date"):
+        place = str(tmp_path / kind)
+        spark.range(10).select("id", F.expr(f"CAST(date_add(DATE '2024-01-01', CAST(id AS INT)) AS {kind})").alias("t")).write.parquet(place)
+        q = Query(lambda p=place: spark.read.parquet(p)).filter(and_(col("t").gt_eq(datetime(2024, 1, 4)), col("t").lt(datetime(2024, 1, 6))))
+        assert [r[0] for r in rows(q.frame())] == [3, 4]
+        assert "GreaterThanOrEqual(t,2024-01-04" in q.frame()._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(PlanValidationError):
+        q.filter(col("t").gt(5)).frame()
+    with pytest.raises(PlanValidationError):
+        q.filter(col("id").gt(datetime(2024, 1, 4))).frame()
+    assert from_plan(to_plan(q), lambda name: q, lambda name: q).nodes[-1] == q.nodes[-1]
+
+
+def test_the_flagship_prunes_by_its_date(spark):
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("the driver's tables are not there")
+    from tessera.queries import flagship
+
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    try:
+        plan = flagship(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "LessThan(l_shipdate,1998-09-02" in plan and "GreaterThan(l_quantity,10.0)" in plan
+
+
+def test_explain_has_sparks_plan_too(spark):
+    q = on(spark, [(1, "x")], "v long, s string").filter(col("v").gt(0)).aggregate([sum_(col("v"))], [col("s")])
+    assert q.explain() == "TableScan - PredicateFilter (v > 0) - HashAggregate (sum(v) by s) - Exchange - HashAggregate (sum(v) by s)"
+    assert q.explain(physical=True).startswith(q.explain()) and "== Physical Plan ==" in q.explain(physical=True) and "hashpartitioning(s" in q.explain(physical=True)
+
+
+def test_entry_without_the_llm_package(monkeypatch):
+    """Missing third-party packages leave the core; errors of our own don't pass."""
+    import __spark_entry__ as entry
+
+    assert len(entry.queries()) > 90
+    real = importlib.import_module
+
+    def missing(name):
+        def imported(module, *rest):
+            if module == "tessera.llm.queries":
+                raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+            return real(module, *rest)
+
+        return imported
+
+    monkeypatch.setattr(importlib, "import_module", missing("ahocorasick"))
+    assert "flagship" in entry.queries() and "pipeline" not in entry.queries() and "flagship" in entry.oracle_sql()
+    if importlib.util.find_spec("tessera.llm.queries" if importlib.util.find_spec("tessera.llm") else "none_such"):
+        monkeypatch.setattr(importlib, "import_module", missing("tessera.llm.words"))
+        with pytest.raises(ModuleNotFoundError):
+            entry.queries()
+
+
 # Store
 
 PROFILES = TableSchema("profiles", (ColumnDef("labels", "string", True, True, pre_hash=True), ColumnDef("stack", "string"), ColumnDef("timestamp", "int64"), ColumnDef("value", "int64"), ColumnDef("big", "uint64", True)), (SortKey("labels", nulls_first=True), SortKey("timestamp", False)))
@@ -165,6 +226,81 @@ def test_store(spark, tmp_path):
         store.table("db", "none")
 
 
+NUMBERS = TableSchema("n", (ColumnDef("v", "int64"),), (SortKey("v"),))
+
+
+def numbers(spark, tmp_path, inserts=2):
+    t = Store(spark, f"file://{tmp_path}").table("db", NUMBERS)
+    for k in range(inserts):
+        t.insert(spark.createDataFrame([(k,)], "v long"))
+    return t
+
+
+@pytest.mark.parametrize("first,second", [("rotate", "compact"), ("compact", "rotate"), ("rotate", "rotate"), ("compact", "compact")])
+def test_maintenance_by_two_writers_keeps_each_row_once(spark, tmp_path, first, second):
+    """The second writer comes between the first one's write and its commit."""
+    one = numbers(spark, tmp_path, 5)
+    two = Store(spark, f"file://{tmp_path}").table("db", "n")
+    commit = one._commit
+
+    def late(change):
+        one._commit = commit
+        two.insert(spark.createDataFrame([(99,)], "v long"))
+        getattr(two, second)()
+        return commit(change)
+
+    one._commit = late
+    getattr(one, first)()
+    assert sorted(r.v for r in one.read().collect()) == [0, 1, 2, 3, 4, 99] == sorted(r.v for r in two.read().collect())
+    one.expire()
+    assert one.read().count() == 6
+
+
+def test_many_writers_at_once(spark, tmp_path):
+    numbers(spark, tmp_path, 0)
+    root = f"file://{tmp_path}"
+
+    def write(k):
+        t = Store(spark, root).table("db", "n")
+        t.insert(spark.createDataFrame([(k,)], "v long"))
+        if k % 4 == 0:
+            t.rotate()
+        if k % 6 == 0:
+            t.compact()
+
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(write, range(12)))
+    t = Store(spark, root).table("db", "n")
+    assert sorted(r.v for r in t.read().collect()) == list(range(12))
+
+
+def test_only_one_of_many_creates_a_file(spark, tmp_path):
+    from tessera.sources.store import Files
+
+    files = Files(spark, f"file://{tmp_path}")
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda k: files.create(f"file://{tmp_path}/x.json", str(k)), range(24)))
+    assert sum(won) == 1 and files.read(f"file://{tmp_path}/x.json") == str(won.index(True))
+    assert files.names(f"file://{tmp_path}") == ["x.json"]
+
+
+def test_the_log_is_read_from_its_last_whole_state(spark, tmp_path):
+    from tessera.sources import store
+
+    t = numbers(spark, tmp_path, 0)
+    for k in range(2 * store.CHECKPOINT + 3):  # commits only
+        t._commit(store.Change(recent={f"recent/{k}": ["v"]}))
+    read = []
+    real = t.files.read
+    t.files.read = lambda name: read.append(name) or real(name)
+    assert list(t.version().recent) == [f"recent/{k}" for k in range(2 * store.CHECKPOINT + 3)] and len(read) == 5
+    t.files.read = real
+    for n in (0, 1, 19, 20, 21, 43):
+        assert t.version(n).number == n and len(t.version(n).recent) == n
+    (tmp_path / "db/n/_log/_last").write_text("")  # while another writer renews it
+    assert t.version().number == 43
+
+
 def test_unique_rows_go_at_compaction(spark, tmp_path):
     t = Store(spark, f"file://{tmp_path}").table("db", TableSchema("names", (ColumnDef("name"),), (SortKey("name"),), unique=True))
     for _ in range(3):
@@ -180,6 +316,26 @@ def test_layout_is_sorted(spark, tmp_path):
     assert [tuple(r) for r in t.read().collect()] == [(None, 2), ("a", 0), ("x", 5), ("x", 1)]
 
 
+def test_compacted_files_have_ranges_of_their_own(spark, tmp_path):
+    from tessera import tools
+
+    t = Store(spark, f"file://{tmp_path}").table("db", NUMBERS)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for k in range(3):
+            t.insert(spark.range(k, 3000, 3).select(F.col("id").alias("v")).repartition(2))
+        t.compact()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    (block,) = t.version().blocks
+    ranges = []
+    for file in (tmp_path / "db/n" / block).glob("*.parquet"):
+        for group in tools.row_groups(str(file)):
+            ranges.append((group["columns"]["v"]["min"], group["columns"]["v"]["max"]))
+    ranges.sort()
+    assert len(ranges) > 1 and all(a[1] < b[0] for a, b in zip(ranges, ranges[1:], strict=False)) and ranges[0][0] == 0 and ranges[-1][1] == 2999
+
+
 def test_random_order_of_inserts_and_compactions_loses_nothing(spark, tmp_path):
     rng = random.Random(5)
     t = Store(spark, f"file://{tmp_path}").table("db", TableSchema("m", (ColumnDef("v", "int64"), ColumnDef("l", "int64", True, True)), (SortKey("v"),)))
@@ -239,8 +395,18 @@ def test_block_folder(spark, tmp_path):
     assert rows(folder.scan("db/t", col("a").gt(1)).select("a")) == [(2,)]
     folder.delete("db/t/000")
     assert folder.prefixes("db/t") == ["001", "002"]
-    with pytest.raises(FileNotFoundError):
-        folder.scan("db/none")
+    assert folder.scan("db/none").count() == 0 and folder.scan("db/none").columns == []
+
+
+def test_a_scan_of_blocks_opens_those_that_may_hold_rows(spark, tmp_path):
+    folder = BlockFolder(spark, f"file://{tmp_path}")
+    for k in range(4):
+        folder.upload(f"db/t/{k}", spark.createDataFrame([(10 * k + j, f"s{k}", None) for j in range(10)], "v long, s string, none string"))
+    spark.createDataFrame([(25, "other", None, 1.5)], "v long, s string, none string, x double").write.parquet(f"{tmp_path}/db/t/9")  # without a manifest
+    read = lambda e: len({f.split("/")[-2] for f in folder.scan("db/t", e).inputFiles()})
+    assert read(None) == 5 and read(col("v").gt(25)) == 3 and read(col("v").lt_eq(9)) == 2 and read(and_(col("v").gt(5), col("s").eq("s1"))) == 2
+    assert read(or_(col("v").eq(3), col("v").eq(33))) == 3 and read(Not(col("v").gt(25))) == 5 and read(col("none").eq("x")) == 1 and read(col("v").not_eq(3)) == 5
+    assert rows(folder.scan("db/t", col("v").eq(25)).select("v", "s", "x")) == [(25, "other", 1.5), (25, "s2", None)]
 
 
 def test_iceberg_needs_its_jar(spark):
@@ -261,6 +427,12 @@ def test_tools(spark, tmp_path):
     (file,) = (str(p) for p in (tmp_path / "f.parquet").glob("*.parquet"))
     assert tools.stats(file)["rows"] == 2 and tools.row_groups(file)[0]["columns"]["s"]["max"] == "y"
     assert rows(tools.find(spark, path, "a.b", "2")) == [(2, "y")]
+    assert tools.row(spark, path, 1) == {"a.b": 2, "s": "y"} and tools.row(spark, path, 2) is None
+    remote = f"file://{file}"
+    assert tools.stats(remote, spark) == tools.stats(file) and tools.row_groups(remote, spark) == tools.row_groups(file)
+    t = numbers(spark, tmp_path / "store")
+    assert [v["version"] for v in tools.snapshots(t)] == [1, 2] and tools.snapshots(t)[1]["recent"] == 2
+    assert [sorted(c) for c in tools.changes(t)] == [["blocks", "fields", "gone", "recent"]] * 2
     tools.reencode(spark, path, str(tmp_path / "g"))
     assert spark.read.parquet(str(tmp_path / "g")).count() == 2
 
@@ -279,6 +451,20 @@ def test_streaming(spark, tmp_path):
     assert rows(t.read().select("v", "k")) == [(2, "b")]
 
 
+def test_rollups_of_several_batches(spark, tmp_path):
+    from tessera.streaming import rolled_up, rollup, start_rollup
+
+    source, out = str(tmp_path / "in"), rollup
+    schema = "t timestamp, k string"
+    for part, days in enumerate(((1, 1, 2), (2, 3), (3, 3))):
+        spark.createDataFrame([(datetime(2024, 1, d, 5), "x") for d in days], schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        rows_ = out(stream, "t", "1 day", "10 days", ["k"], [F.count(F.lit(1)).alias("n")])
+        start_rollup(rows_, str(tmp_path / "out"), str(tmp_path / "ck"), available_now=True).awaitTermination()
+    got = rolled_up(spark, str(tmp_path / "out"), ["k"]).select("k", "n").collect()
+    assert sorted(r.n for r in got) == [2, 2, 3]
+
+
 def test_min_of_expression(spark):
     q = on(spark, [(1, 5), (2, 3)], "a long, b long")
     assert q.aggregate([min_(add(col("a"), col("b")))]).frame().collect()[0].asDict() == {"min(a + b)": 5}
