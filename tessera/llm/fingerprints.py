@@ -4,36 +4,39 @@ A text's paragraphs are its lines, cut further after words whose hash ends in fo
 pieces around it only. The k-th copy of a piece has a digest of its own. A fingerprint is a table of cells: each digest is
 added to one cell of each of three parts, a cell keeping the count, and the exclusive or of digests and of their check
 hashes. Two tables of one size subtract cell by cell: common digests vanish, and peeling cells that hold a single digest
-recovers the digests that differ. Where that fails, both tables are built twice as large, until it succeeds.
+recovers the digests that differ. difference() does so with two fingerprints as the query returns them, which hold 3 * CELLS
+cells each and so give up to about 15 differing digests; where that fails, differences() of the texts builds both tables
+twice as large, until it succeeds.
 
 Likeness of two texts is the number of common digests over that of all, known from both sizes and the recovered
 differences; two texts without words are alike (1).
 
 For the edited texts, the next document in descending order of ids lies in the next row: rows are dealt by ranges of ids
-and sorted, one shuffle of the texts. Only a partition's last row needs the first row of the next, and these rows, two for
-each partition, are joined after. Defined cases: a null text counts as an empty one; null ids come last; rows with the same
-id are ordered by text; a table with one row has itself as next document.
+and, of equal ids, of text hashes, and sorted, one shuffle of the texts. Rows that are equal in both are spread over ranges by
+a salt. Only a partition's last row needs the first row of the next; these rows, two for each partition, are joined after, by
+the number of the partition. Defined cases: a null text counts as an empty one; null ids come last; rows with the same id are ordered
+by a hash of their text; a table with one row has itself as next document.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import documents, parts, stored
+from .shared import documents, parts, small_batches, stored
 from .tidying import tidied
 from .words import _PLACE, Words, chunks, mix
 
 _U = np.uint64
 #: Cells of each of the three parts of a stored fingerprint.
 CELLS = 8
-_CELL = np.dtype([("count", "<i2"), ("digest", "<u8"), ("check", "<u2")])
+_CELL = np.dtype([("count", "<i2"), ("digest", "<u8"), ("check", "<u4")])
 
 
 def digests(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -81,9 +84,9 @@ class Tables:
         out.count, out.digest, out.check = self.count - other.count, self.digest ^ other.digest, self.check ^ other.check
         return out
 
-    def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Digests only in the first and only in the second, counted for each text, and whether all could be recovered."""
-        more, less = np.zeros(self.texts, np.int64), np.zeros(self.texts, np.int64)
+    def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Digests only in the first (sign 1) or only in the second (-1): keys, texts and signs; and which texts gave all."""
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         at = np.arange(len(self.count))
         while True:
             pure = at[(np.abs(self.count[at]) == 1) & (self.check[at] == checks(self.digest[at]))]
@@ -94,17 +97,26 @@ class Tables:
             text, keys, sign = text[order], keys[order], sign[order]
             new = np.append(True, (keys[1:] != keys[:-1]) | (text[1:] != text[:-1]))
             text, keys, sign = text[new], keys[new], sign[new]
-            more += np.bincount(text[sign > 0], minlength=self.texts)
-            less += np.bincount(text[sign < 0], minlength=self.texts)
+            found.append((keys, text, sign))
             self.add(keys, text, -sign)
             at = np.unique(self.places(keys, text))
         left = (self.count != 0) | (self.digest != 0) | (self.check != 0)
-        return more, less, ~left.reshape(self.texts, -1).any(axis=1)
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        keys, text, sign = (np.concatenate(x) for x in zip(none, *found, strict=True))
+        return keys, text, sign, ~left.reshape(self.texts, -1).any(axis=1)
+
+    @staticmethod
+    def parsed(fingerprint: bytes) -> tuple[int, "Tables"]:
+        """The number of digests and the table of what raw() has written."""
+        cells = np.frombuffer(fingerprint[4:], _CELL)
+        out = Tables(np.zeros(0, np.uint64), np.zeros(0, np.int64), 1, len(cells) // 3)
+        out.count, out.digest, out.check = cells["count"].astype(np.int64), cells["digest"].copy(), cells["check"].astype(np.uint64)
+        return int.from_bytes(fingerprint[:4], "little"), out
 
     def raw(self, sizes: np.ndarray) -> list[bytes]:
-        """Each text's number of digests (4 bytes) and cells, counts and checks modulo 65,536."""
+        """Each text's number of digests (4 bytes) and cells, counts modulo 65,536."""
         out = np.zeros(len(self.count), _CELL)
-        out["count"], out["digest"], out["check"] = self.count.astype(np.int16), self.digest, self.check.astype(np.uint16)
+        out["count"], out["digest"], out["check"] = self.count.astype(np.int16), self.digest, self.check.astype(np.uint32)
         raw, step = out.tobytes(), 3 * self.cells * _CELL.itemsize
         return [int(n).to_bytes(4, "little") + raw[k * step : k * step + step] for k, n in enumerate(sizes)]
 
@@ -116,6 +128,26 @@ def checks(keys: np.ndarray) -> np.ndarray:
 Pieces = tuple[np.ndarray, np.ndarray]
 
 
+def difference(a: str, b: str) -> tuple[set[int], set[int]] | None:
+    """Digests that only the one text has and that only the other has, from two fingerprints in base64; None where they differ in too many."""
+    left, right = (Tables.parsed(base64.b64decode(x))[1] for x in (a, b))
+    table = left.minus(right)
+    table.count = (table.count + (1 << 15)) % (1 << 16) - (1 << 15)
+    keys, _, sign, done = table.peel()
+    return (set(keys[sign > 0].tolist()), set(keys[sign < 0].tolist())) if done[0] else None
+
+
+def differences(a: str, b: str, cells: int = CELLS) -> tuple[set[int], set[int]]:
+    """As difference(), of two texts: by tables twice as large after each failure."""
+    found = digests([a.encode()]), digests([b.encode()])
+    while True:
+        left, right = (Tables(*x, 1, cells) for x in found)
+        keys, _, sign, done = left.minus(right).peel()
+        if done[0]:
+            return set(keys[sign > 0].tolist()), set(keys[sign < 0].tolist())
+        cells *= 2
+
+
 def _only(found: Pieces, wanted: np.ndarray) -> Pieces:
     """The digests of the wanted texts, these numbered anew."""
     new = np.full(len(wanted), -1, np.int64)
@@ -132,9 +164,9 @@ def likeness(a: Pieces, b: Pieces, texts: int, cells: int = CELLS) -> np.ndarray
     while open_.any():
         n = int(open_.sum())
         left, right = (Tables(*_only(x, open_), n, cells) for x in (a, b))
-        more, less, done = left.minus(right).peel()
+        _, text, _, done = left.minus(right).peel()
         which = np.flatnonzero(open_)[done]
-        differ = (more + less)[done]
+        differ = np.bincount(text, minlength=n)[done]
         common = (sizes[which] - differ) / 2
         out[which] = np.where(common + differ > 0, common / np.maximum(common + differ, 1), 1.0)
         open_[which] = False
@@ -204,15 +236,18 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint (in base64), near_edited and near_next of docs(doc_id, text)."""
     spark = docs.sparkSession
-    by = [F.desc_nulls_last("doc_id"), F.desc("text")]
-    rows = docs.select("doc_id", "text").repartitionByRange(parts(spark), by[0]).sortWithinPartitions(*by)
+    small_batches(spark)
+    by = [F.desc_nulls_last("doc_id"), F.asc("hash"), F.asc("salt")]
+    rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), F.xxhash64(F.monotonically_increasing_id()).alias("salt"))
+    rows = rows.repartitionByRange(parts(spark), *by).sortWithinPartitions(*by).select("doc_id", "text")
     done = rows.mapInArrow(_sorted_rows, _SCHEMA + ", head string, tail string").withColumn("part", F.spark_partition_id())
     done = stored(done, "fingerprints")
-    # two texts for each partition
+    # two texts for each partition, and a number for each on the driver
     edges = done.where("tail IS NOT NULL").select("doc_id", "part", "head", "tail")
-    order = W.orderBy("part")
-    first = F.first("head").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    edges = edges.withColumn("following", F.coalesce(F.lead("head").over(order), first)).select("doc_id", "tail", "following")
+    order = sorted(r.part for r in edges.select("part").collect())
+    follows = spark.createDataFrame(list(zip(order, order[1:] + order[:1], strict=True)), "part int, next int")
+    edges = edges.join(F.broadcast(follows), "part").drop("head").join(edges.select(F.col("part").alias("next"), F.col("head").alias("following")), "next")
+    edges = edges.select("doc_id", "tail", "following")
     out = done.where("tail IS NULL").drop("head", "tail", "part").unionByName(edges.mapInArrow(_edges, _SCHEMA))
     coded = {c: F.translate(F.base64(c), "\r\n", "") for c in ("fingerprint", "edited_fingerprint")}
     return out.withColumns(coded | {"edited_sha256": F.lower(F.hex("edited_sha256"))})

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import classifier, fingerprints, lm_scoring, packing, token_counts
@@ -195,29 +196,76 @@ def test_encoder_is_the_tokenizers():
 # fingerprints
 
 
-def test_fingerprints(spark):
-    rows = [r for r in LONG if r[0] != 10**6] + [(10**6, very_long(), "a"), (0, "x" * 5, "s"), (-5, None, "s")]
-    rows = [r for k, r in enumerate(rows) if r[0] not in {x[0] for x in rows[:k]}]
-    got = fingerprints.fingerprints(odd(spark, rows).repartition(7)).collect()
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
-    by_id = {r.doc_id: r for r in got}
-    assert len(got) == len(rows)
-    same = defaultdict(set)
+def wanted_fingerprints(rows):
+    """doc_id, n_chars, edited_sha256 and the texts before and after, by brute force; rows with one id by a hash of their text."""
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), signed(xxhash.xxh64_intdigest((r[1] or "").encode(), 42))))
+    out = []
     for k, (i, text, _) in enumerate(order):
         text, after = text or "", order[(k + 1) % len(order)][1] or ""
         half = len(text) // 2
         edited = text[: len(text) - half] + after[:half]
-        r = by_id[i]
-        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-        same[text].add(r.fingerprint)
-        same[edited].add(r.edited_fingerprint)
-        if edited == text:
-            assert r.near_edited == 1
+        out.append(((str(i), len(text), hashlib.sha256(edited.encode()).hexdigest()), text, edited, after))
+    return out
+
+
+def signed(x):
+    return x - 2**64 if x >= 2**63 else x
+
+
+def likeness(a, b):
+    x, y = (set(fingerprints.digests([t.encode()])[0].tolist()) for t in (a, b))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+@pytest.mark.parametrize("parts", [3, 40])
+def test_fingerprints(spark, parts):
+    """Repeated ids and rows, null ids and very long texts among them."""
+    rows = [*LONG, (0, "x" * 5, "s"), (-5, None, "s"), (None, "another", "s"), (None, "no id", "s"), (4, "two texts", "s"), (4, "of one id", "s")]
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = fingerprints.fingerprints(odd(spark, rows).repartition(7)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    want = wanted_fingerprints(rows)
+    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in got) == sorted(w[0] for w in want)
+    near = defaultdict(list)
+    for (key, text, edited, after) in want:
+        near[key].append((likeness(text, edited), likeness(text, after)))
+    same = defaultdict(set)
+    for r in got:
+        key = (str(r.doc_id), r.n_chars, r.edited_sha256)
+        assert any(abs(r.near_edited - a) + abs(r.near_next - b) < 1e-9 for a, b in near[key])
+        for (k, text, edited, _) in want:
+            if k == key:
+                same[text].add(r.fingerprint)
+                same[edited].add(r.edited_fingerprint)
     assert all(len(x) == 1 for x in same.values())
+
+
+def test_fingerprints_of_few_rows(spark):
     assert fingerprints.fingerprints(odd(spark, [])).count() == 0
     (r,) = fingerprints.fingerprints(odd(spark, [(1, "a b c d", "s")])).collect()
-    assert r.edited_sha256 == hashlib.sha256(b"a ba b").hexdigest() or r.n_chars == 7
+    assert (r.edited_sha256, r.n_chars) == (hashlib.sha256(b"a b a b").hexdigest(), 7)
+
+
+def test_one_null_id_of_a_third_of_all_rows_fills_many_ranges(spark):
+    docs = spark.createDataFrame([(None, "the same text")] * 300 + [(k, f"text {k}") for k in range(600)], "doc_id long, text string")
+    by = [F.desc_nulls_last("doc_id"), F.asc("hash"), F.asc("salt")]
+    rows = docs.select("doc_id", F.xxhash64("text").alias("hash"), F.xxhash64(F.monotonically_increasing_id()).alias("salt")).repartitionByRange(12, *by)
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 9 and max(sizes) < 200
+    assert fingerprints.fingerprints(docs).where("near_next = 1").count() == 299
+
+
+def test_fingerprints_tell_the_paragraphs_that_differ(spark):
+    old = "\n".join(f"paragraph {k} of a text" for k in range(40))
+    new = old.replace("paragraph 7 of", "paragraph seven of").replace("\nparagraph 20 of a text", "")
+    rows = [(1, old, "s"), (2, new, "s"), (3, "\n".join(f"something else {k}" for k in range(60)), "s")]
+    f = {r.doc_id: r.fingerprint for r in fingerprints.fingerprints(odd(spark, rows)).collect()}
+    of = {i: set(fingerprints.digests([t.encode()])[0].tolist()) for i, t, _ in rows}
+    assert fingerprints.difference(f[1], f[2]) == (of[1] - of[2], of[2] - of[1]) == fingerprints.differences(old, new) and of[1] != of[2]
+    assert fingerprints.difference(f[1], f[1]) == (set(), set()) and fingerprints.difference(f[1], f[3]) is None
+    assert fingerprints.differences(old, rows[2][1]) == (of[1], of[3])
 
 
 def test_likeness_is_exact_whatever_the_first_size():
