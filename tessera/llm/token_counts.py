@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SPACE, documents, spread_join, stored, temporary
+from .shared import SPACE, documents, small_batches, spread_join, stored, temporary
 from .tidying import tidied
 
 WORD_BPE = "word_bpe_49k.json"
@@ -118,6 +118,7 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, cache: str | Non
     before and appended to after.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     path = tokenizer or tokenizer_path(WORD_BPE)
     with open(path, "rb") as f:  # a file of the installed package, on every machine
         version = hashlib.sha256(f.read()).hexdigest()
