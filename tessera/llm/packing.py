@@ -1,17 +1,20 @@
 """Lexical retrieval packing: documents fill windows of tokens with their nearest neighbours by BM25.
 
 Numbers of documents by term, of all documents, and their mean length are those of the whole corpus. Documents are dealt by
-content to shards of about `shard_docs`: by the term that weighs most in them, terms in turn until a shard is full. A term of
-more documents has several shards, by the term that weighs second, and a pair of terms of more documents has several by a
-hash of the id. A shard holds one inverted index over its documents' token ids; neighbours in other shards aren't found. A
-seed starts a window; the unused documents that BM25 ranks highest for all the seed's terms follow until the window is full
-or none of them is left. The document that crosses a window's end is cut there; its rest starts the next
-window, as its seed. What a shard has left at its end, less than a window, is cut at powers of two, the largest first:
-no sequence is padded.
-
-A shard's documents and index are one task's memory, whatever the corpus's size; a document larger than a shard is
-alone limited by that. Defined cases: a null text counts as an empty one and gives the end token only. Rows with the
-same id each get their pieces. A null id is an id like others.
+content to shards of about `shard_docs` documents of usual length (a document counts as 1,024 and its tokens, a shard holds
+2,048 * `shard_docs` of these): by the term that weighs most in them, terms in turn until a shard is full. A term of more
+documents has several shards, by the term that weighs second, and a pair of terms of more documents has several by a
+hash of the row. A shard holds one inverted index over its documents' token ids; neighbours in other shards aren't found. A
+seed starts a window; the unused documents that BM25 ranks highest for all the seed's terms follow (`near` of them are ranked
+at a time, then the next) until the window is full or none of them is left. The document that crosses a window's end is
+cut there; its rest starts the next window, as its seed. What a shard has left at its end, less than a window, is cut at
+powers of two, the largest first: no sequence is padded.
+
+Weights are whole multiples of 1/32, so that sums are exact in whatever order they are made and a task that runs again packs
+alike. Common terms of a shard are scored by products of matrices, others by their postings. A shard's documents, index and
+scores, of at most 2 * `shard_docs` documents, are one task's memory, whatever the corpus's size; a document larger than a
+shard has one alone. Defined cases: a null text counts as an empty one and gives the end token only. Rows with the same id
+each get their pieces. A null id is an id like others, and rows of one id are spread over shards like others.
 """
 
 from __future__ import annotations
@@ -28,16 +31,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, parts, stored
-from .tidying import tidied
+from .shared import discard, documents, parts, small_batches, stored
+from .tidying import squeezed, tidied, unsqueezed
 from .token_counts import _PLAIN, tokenizer_path
-from .words import chunks
 
 BYTE_BPE = "byte_bpe_50k.json"
 END = 1
 WINDOW = 2048
 SHARD_DOCS = 2048
+NEAR = 32
+USUAL = 1024
 VOCABULARY = 1 << 16
+#: Terms scored by one product of matrices, and the part of a shard's documents that a term needs for it.
+_TERMS, _COMMON = 512, 16
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _encoders: dict = {}
 
@@ -103,74 +109,81 @@ class Corpus:
         order = np.lexsort((term, -weight, doc))
         term, n = term[order], np.bincount(doc, minlength=len(ids))
         first = np.cumsum(n) - n
-        return term[first], term[first + (n > 1)]
+        return term[first], term[np.minimum(first + (n > 1), len(term) - 1)]
 
 
 def occurrences(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document, term and count of each term of a document, in this order."""
-    doc = np.repeat(np.arange(len(ids)), np.fromiter(map(len, ids), np.int64, len(ids)))
-    key, tf = np.unique(doc << 16 | np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.int64), return_counts=True)
-    return key >> 16, key & 0xFFFF, tf
+    doc = np.repeat(np.arange(len(ids), dtype=np.uint32 if len(ids) <= 1 << 16 else np.uint64), np.fromiter(map(len, ids), np.int64, len(ids)))
+    key, tf = np.unique(doc << doc.dtype.type(16) | np.concatenate([*ids, np.zeros(0, np.uint16)]).astype(doc.dtype), return_counts=True)
+    return (key >> key.dtype.type(16)).astype(np.int64), (key & key.dtype.type(0xFFFF)).astype(np.int64), tf
 
 
 class Deal:
-    """Shards by content from the numbers of documents by first term, and of pairs of terms that fill a shard alone."""
+    """Shards by content, from the sizes of documents by their first term, and by pairs of terms that fill a shard alone."""
 
-    def __init__(self, terms: dict[int, int], pairs: dict[tuple[int, int], int], shard_docs: int):
+    def __init__(self, terms: dict[int, int], pairs: dict[tuple[int, int], int], capacity: int):
         rest = dict(terms)
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
-        self.base, self.width = np.zeros(VOCABULARY, np.int64), np.ones(VOCABULARY, np.int64)
+        self.pairs: list[tuple[int, int, int, int]] = []  # two terms, first shard, number of shards
+        self.terms: list[tuple[int, int, int]] = []
         shard = filled = 0
         for (first, second), n in sorted(pairs.items()):
             rest[first] -= n
-            self.pairs[first, second] = shard, math.ceil(n / shard_docs)
-            shard += math.ceil(n / shard_docs)
+            self.pairs.append((first, second, shard, math.ceil(n / capacity)))
+            shard += math.ceil(n / capacity)
         for term, n in sorted(rest.items()):
-            if filled and filled + n > shard_docs:
+            if filled and filled + n > capacity:
                 shard, filled = shard + 1, 0
-            self.base[term], self.width[term] = shard, max(1, math.ceil(n / shard_docs))
+            self.terms.append((term, shard, max(1, math.ceil(n / capacity))))
             filled += n
-            if n > shard_docs:
-                shard, filled = shard + int(self.width[term]), 0
+            if n > capacity:
+                shard, filled = shard + self.terms[-1][2], 0
         self.shards = shard + 1
 
-    def __call__(self, first: np.ndarray, second: np.ndarray, hashed: np.ndarray) -> np.ndarray:
-        out = self.base[first] + (second * 2654435761 >> 8) % self.width[first]
-        for k, pair in enumerate(zip(first.tolist(), second.tolist(), strict=True) if self.pairs else ()):
-            if pair in self.pairs:
-                base, width = self.pairs[pair]
-                out[k] = base + int(hashed[k]) % width
-        return out
-
 
 class Index:
-    """BM25 over one shard: postings by term, with each posting's weight."""
+    """BM25 over one shard: postings by term, with each posting's weight, and all scores by common terms."""
 
     def __init__(self, ids: list[np.ndarray], corpus: Corpus | None = None):
-        n = len(ids)
+        n = self.n = len(ids)
         corpus = corpus or Corpus.of(ids)
-        length = np.fromiter(map(len, ids), np.int64, n)
-        doc = np.repeat(np.arange(n), length)
-        key, tf = np.unique(np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.int64) * n + doc, return_counts=True)
-        term, self.doc = key // n, key % n
-        self.terms, first, df = np.unique(term, return_index=True, return_counts=True)
-        self.first = np.append(first, len(term))
-        self.weight = corpus.weight(term, tf, length[self.doc])
-        # a document's own terms; a term of one document only finds nobody
-        row = np.repeat(np.arange(len(df)), df)
-        useful = np.flatnonzero(np.repeat(df, df) > 1)
-        order = useful[np.argsort(self.doc[useful], kind="stable")]
-        self.by_doc, self.at = row[order], np.searchsorted(self.doc[order], np.arange(n + 1))
-        self.n = n
+        doc, term, tf = occurrences(ids)
+        weight = np.rint(32 * corpus.weight(term, tf, np.fromiter(map(len, ids), np.int64, n)[doc])).astype(np.float32)
+        df = np.bincount(term, minlength=VOCABULARY)
+        # a term of one document only finds nobody
+        common = df >= max(2, n // _COMMON)
+        self.matched = self._products(doc, term, weight, np.flatnonzero(common))
+        rare = np.flatnonzero(~common[term] & (df[term] > 1))
+        order = rare[np.argsort(term[rare], kind="stable")]
+        self.doc, self.weight = doc[order], weight[order]
+        held, first = np.unique(term[order], return_index=True)
+        self.first = np.append(first, len(order))
+        # a document's own terms, as places in `held`
+        self.by_doc, self.at = np.searchsorted(held, term[rare]), np.searchsorted(doc[rare], np.arange(n + 1))
+
+    def _products(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, common: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.n, self.n), np.float32)
+        for begin in range(0, len(common), _TERMS):
+            own = common[begin : begin + _TERMS]
+            column = np.full(VOCABULARY, -1)
+            column[own] = np.arange(len(own))
+            at = column[term]
+            keep = at >= 0
+            has, weighs = np.zeros((self.n, len(own)), np.float32), np.zeros((self.n, len(own)), np.float32)
+            has[doc[keep], at[keep]] = 1
+            weighs[doc[keep], at[keep]] = weight[keep]
+            out += has @ weighs.T
+        return out
 
     def scores(self, seed: int) -> np.ndarray:
+        """Of all documents, by all terms of the seed."""
         rows = self.by_doc[self.at[seed] : self.at[seed + 1]]
         size = self.first[rows + 1] - self.first[rows]
         where = np.repeat(self.first[rows] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        return np.bincount(self.doc[where], self.weight[where], self.n)
+        return self.matched[seed] + np.bincount(self.doc[where], self.weight[where], self.n)
 
 
-def order_of(ids: list[np.ndarray], window: int = WINDOW, near: int = 32, corpus: Corpus | None = None) -> list[int]:
+def order_of(ids: list[np.ndarray], window: int = WINDOW, near: int = NEAR, corpus: Corpus | None = None) -> list[int]:
     """The order in which a shard's documents are laid one after another. near: how many are ranked at a time."""
     index, n = Index(ids, corpus), len(ids)
     free = np.ones(n, bool)
@@ -217,11 +230,11 @@ def cuts(total: int, window: int = WINDOW) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def pack_shard(shard: int, doc_ids: list, ids: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = None) -> pa.RecordBatch:
+def pack_shard(shard: int, doc_ids: list, ids: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = None, near: int = NEAR) -> pa.RecordBatch:
     rows: list[tuple] = []
     edges = cuts(sum(map(len, ids)), window)
     at = 0
-    for k in order_of(ids, window, corpus=corpus):
+    for k in order_of(ids, window, near, corpus):
         n, start = len(ids[k]), 0
         sequence = int(np.searchsorted(edges, at, "right")) - 1
         while start < n:
@@ -233,96 +246,107 @@ def pack_shard(shard: int, doc_ids: list, ids: list[np.ndarray], window: int = W
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names)
 
 
+#: A row for each document, and one for each batch: documents by term, then the number of documents and that of tokens.
+_CODED = "doc_id long, ids binary, terms binary"
+
+
 def _tokens(path: str):
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for batch in batches:
             # 16 bits hold an id of this vocabulary
-            ids = [np.array([*encode(x or ""), END], "<u2").tobytes() for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            coded = [np.array([*encode(x or ""), END], "<u2") for x in batch.column("text").to_pylist()]
+            n = np.zeros(VOCABULARY + 2, np.int64)
+            for _, ids in _some(coded):
+                n[:-2] += np.bincount(occurrences(ids)[1], minlength=VOCABULARY)
+            n[-2:] = len(coded), sum(map(len, coded))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in coded], pa.binary()), pa.nulls(len(coded), pa.binary())], ["doc_id", "ids", "terms"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([squeezed(n.tobytes())], pa.binary())], ["doc_id", "ids", "terms"])
 
     return run
 
 
-def _held(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """A batch's token ids, those of some documents at a time, and the place of the first."""
-    for begin, own in chunks(batch.column("ids").to_pylist()):
-        yield begin, [np.frombuffer(x, "<u2").astype(np.uint32) for x in own]
+def _some(ids: list[np.ndarray], tokens: int = 1 << 19) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Consecutive documents of about so many tokens, at most 2^16 of them, and the place of the first."""
+    begin = total = 0
+    for k, own in enumerate(ids):
+        if k > begin and (total + len(own) > tokens or k - begin == 1 << 16):
+            yield begin, ids[begin:k]
+            begin, total = k, 0
+        total += len(own)
+    if begin < len(ids):
+        yield begin, ids[begin:]
 
 
 @tidied
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents by term; at VOCABULARY the number of documents, after it that of tokens."""
     n = np.zeros(VOCABULARY + 2, np.int64)
     for batch in batches:
-        for _, ids in _held(batch):
-            n[:-2] += np.bincount(occurrences(ids)[1], minlength=VOCABULARY)
-            n[-2:] += len(ids), sum(map(len, ids))
+        for blob in batch.column("terms"):
+            n += np.frombuffer(unsqueezed(blob.as_py()), np.int64)
     used = np.flatnonzero(n)
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used])], ["term", "n"])
 
 
 def _keys(corpus):
-    @tidied
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, ids in _held(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in corpus.value.keys(ids)], ["a", "b"])
-
-    return run
-
+    """The two terms that weigh most in each document, and its size, beside it."""
 
-def _dealt(corpus, deal):
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashed = batch.column("hashed").to_numpy()
-            shard = [deal.value(*corpus.value.keys(ids), hashed[k : k + len(ids)]) for k, ids in _held(batch)]
-            if shard:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shard)), batch.column("doc_id"), batch.column("ids")], ["shard", "doc_id", "ids"])
+            ids = [np.frombuffer(x.as_py(), "<u2") for x in batch.column("ids")]
+            found = [corpus.value.keys(own) for _, own in _some(ids)]
+            a, b = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in found)]) for k in range(2))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array([USUAL + len(x) for x in ids], pa.int64()), batch.column("doc_id"), batch.column("ids")], ["a", "b", "size", "doc_id", "ids"])
 
     return run
 
 
-def _pack(window: int, corpus):
+def _pack(window: int, corpus, near: int):
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, doc_ids, ids = None, [], []
         for batch in batches:
             for shard, doc_id, own in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "ids")), strict=True):
                 if shard != now and ids:
-                    yield pack_shard(now, doc_ids, ids, window, corpus.value)
+                    yield pack_shard(now, doc_ids, ids, window, corpus.value, near)
                     doc_ids, ids = [], []
                 now = shard
                 doc_ids.append(doc_id)
-                ids.append(np.frombuffer(own, "<u2").astype(np.uint32))
+                ids.append(np.frombuffer(own, "<u2"))
         if ids:
-            yield pack_shard(now, doc_ids, ids, window, corpus.value)
+            yield pack_shard(now, doc_ids, ids, window, corpus.value, near)
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, shard_docs: int = SHARD_DOCS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, shard_docs: int = SHARD_DOCS, near: int = NEAR) -> DataFrame:
     """A row for each piece of docs(doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     window: a power of two. tokenizer: a byte-level BPE file with less than 65,536 ids; byte_bpe_50k.json unless given.
     """
     spark = docs.sparkSession
-    path = tokenizer or tokenizer_path(BYTE_BPE)
-    coded = stored(docs.select("doc_id", "text").mapInArrow(_tokens(path), "doc_id long, ids binary"), "pack-tokens")
-    counted = dict(coded.select("ids").mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n")).collect())
+    small_batches(spark)
+    path, capacity = tokenizer or tokenizer_path(BYTE_BPE), 2 * USUAL * shard_docs
+    coded = stored(docs.select("doc_id", "text").mapInArrow(_tokens(path), _CODED), "pack-tokens")
+    counted = dict(coded.where("terms IS NOT NULL").select("terms").mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n")).collect())
     df = np.array([counted.get(k, 0) for k in range(VOCABULARY)])
     corpus = spark.sparkContext.broadcast(Corpus(df, counted.get(VOCABULARY, 0), counted.get(VOCABULARY + 1, 0)))
-    pairs = stored(coded.select("ids").mapInArrow(_keys(corpus), "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "pack-keys")
+    keyed = coded.where("terms IS NULL").select("doc_id", "ids").mapInArrow(_keys(corpus), "a long, b long, size long, doc_id long, ids binary")
+    keyed = stored(keyed, "pack-keys")
+    discard(coded)
     # both bounded: a row for each id of the vocabulary, and one for each shard at most
-    terms = dict(pairs.groupBy("a").agg(F.sum("n")).collect())
-    large = {(r.a, r.b): r.n for r in pairs.where(F.col("n") > shard_docs).collect()}
-    deal = Deal(terms, large, shard_docs)
-    named = coded.withColumn("hashed", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
-    dealt = named.mapInArrow(_dealt(corpus, spark.sparkContext.broadcast(deal)), "shard long, doc_id long, ids binary")
-    dealt = dealt.repartition(min(deal.shards, max(parts(spark), 1)), "shard").sortWithinPartitions("shard", "doc_id", "ids")
-    return dealt.mapInArrow(_pack(window, corpus), SCHEMA)
+    sizes = keyed.groupBy("a", "b").agg(F.sum("size").alias("n"))
+    terms = dict(sizes.groupBy("a").agg(F.sum("n")).collect())
+    deal = Deal(terms, {(r.a, r.b): r.n for r in sizes.where(F.col("n") > capacity).collect()}, capacity)
+    by_term = F.broadcast(spark.createDataFrame(deal.terms, "a long, base long, width long"))
+    by_pair = spark.createDataFrame(deal.pairs, "a long, b long, pair_base long, pair_width long")
+    row = F.xxhash64("doc_id", "ids", F.monotonically_increasing_id())
+    dealt = keyed.withColumn("row", row).join(by_term, "a").join(F.broadcast(by_pair), ["a", "b"], "left")
+    shard = F.coalesce(F.col("pair_base") + F.pmod("row", "pair_width"), F.col("base") + F.pmod(F.xxhash64("b"), F.col("width")))
+    dealt = dealt.select(shard.alias("shard"), "doc_id", "ids").repartition(min(deal.shards, max(parts(spark), 1)), "shard").sortWithinPartitions("shard", "doc_id", "ids")
+    return dealt.mapInArrow(_pack(window, corpus, near), SCHEMA)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
