@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, fingerprints, line_dedup, lm_scoring, mixing, ngram_join, packing, quality_rules, substring_dedup, token_counts
+from . import classifier, fingerprints, invariants, line_dedup, lm_scoring, mixing, ngram_join, packing, quality_rules, substring_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,7 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_lm_scoring": lm_scoring.op10_lm_scoring,
         "quality_rules_ablations": quality_rules.op3_ablations,
-    }
+    } | {name: make for name, (make, _) in invariants.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -32,4 +32,4 @@ def oracle_sql() -> dict[str, str]:
         "op3_quality_rules": quality_rules.OP3_SQL,
         "op8_line_dedup": line_dedup.OP8_SQL,
         "quality_rules_ablations": quality_rules.OP3_ABLATIONS_SQL,
-    }
+    } | {name: sql for name, (_, sql) in invariants.QUERIES.items()}
