@@ -473,8 +473,9 @@ def lm_scores(docs: DataFrame, train: DataFrame | None = None, nodes: int | None
         every = every.select("k", F.col("key").bitwiseAND(F.element_at(low, F.col("k"))).alias("key"), "n")
         least = _at_least(stored(every.groupBy("k", "key").agg(F.sum("n").alias("n")), "lm-strings"), nodes)
     shortest = strings.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * _SHARED) - 1)).alias("key")).agg(F.sum("n").alias("n"))
-    often = F.col("n") >= _at_least(vocabulary, frequent)
-    # both bounded: 2^16 and `frequent` rows at most
+    # the end is looked up in the broadcast only
+    often = (F.col("n") >= _at_least(vocabulary, frequent)) | (F.col("key") == F.lit(int(END_HASH.view(np.int64))))
+    # both bounded: 2^16 and `frequent` + 1 rows at most
     known, common = _collected(shortest), _collected(vocabulary.where(often))
     shared, top = spark.sparkContext.broadcast(known), spark.sparkContext.broadcast(common)
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import classifier, fingerprints, lm_scoring, packing, token_counts
 
-from .common import corpus, odd, very_long, words
+from .common import corpus, odd, prose, very_long, words
 
 LONG = [*corpus(), (10**6, very_long(), "a"), (10**6, very_long(), "a"), (None, "no id", None), (7, "", "x")]
 
@@ -363,13 +363,15 @@ def naive_log10(counts: list[dict], data: bytes) -> float:
     return total
 
 
-@pytest.mark.parametrize("nodes", [1 << 20, 300])
+@pytest.mark.parametrize("nodes", [None, 300])
 def test_scores_by_hand(spark, nodes):
-    docs = odd(spark, LONG).where(F.length("text") < 10_000)
-    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()] + [(777, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    long = prose(random.Random(4), 9000, 10**6)  # 60 kB
+    rows = [(i, t) for i, t, _ in LONG if i != 10**6] + [(10**6, long), (10**6, long), (10**6 + 3, long), (777, None), (778, ""), (778, ""), (None, "no id"), (4, "another text of a shared id")]
+    docs = odd(spark, [(i, t, "s") for i, t in rows])
     train = [t for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
-    got = lm_scoring.lm_scores(docs, docs.where(F.coalesce(classifier.remainder() != 1, F.lit(True))), nodes=nodes, frequent=20).collect()
+    held_out = F.coalesce(classifier.remainder() != 1, F.lit(True))
+    got = lm_scoring.lm_scores(docs, docs.where(held_out), nodes=nodes, frequent=20).collect()
+    assert len(got) == len(rows)
     order, pad = lm_scoring.ORDER, b"\n" * lm_scoring.ORDER
     strings: Counter = Counter()
     for t in train:
@@ -378,7 +380,7 @@ def test_scores_by_hand(spark, nodes):
             for k in range(order + 1):
                 strings[data[i - k : i + 1]] += 1
     sizes = sorted(strings.values(), reverse=True)
-    least = 1 if len(sizes) <= nodes else sizes[nodes] + 1
+    least = 1 if nodes is None or len(sizes) <= nodes else sizes[nodes] + 1
     counts: list[dict] = [{} for _ in range(order + 1)]
     for s, n in strings.items():
         if n >= least:
@@ -418,6 +420,16 @@ def test_no_string_is_left_out(spark):
         assert abs(got[i] - want) < 1e-5 * abs(want)
 
 
+def test_what_is_learned_grows_with_the_texts(spark):
+    """Twice as many training texts, all new: more strings, and a lower code length for texts like the new ones."""
+    rng = random.Random(6)
+    words_ = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(4000)]
+    rows = [(k, " ".join(rng.choice(words_[:2000] if k < 60 else words_[2000:]) for _ in range(300))) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    half, whole = ({r.doc_id: r.score for r in lm_scoring.lm_scores(docs.where("doc_id >= 110"), docs.where(f"doc_id < {n}")).collect()} for n in (60, 110))
+    assert all(whole[i] > 0.6 * half[i] and whole[i] > half[i] + 100 for i in half)
+
+
 def test_probabilities_sum_to_one():
     texts = [b"the cat sat on the mat", b"the dog sat", b"a cat and a dog"]
     top = lm_scoring.tallied(lm_scoring.grams(texts)[0])
