@@ -5,13 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.engine import Engine
 from tessera.functions import time_bucket
+from tessera.plans.errors import NotSupportedError, PlanValidationError
 from tessera.plans.exprs import (
     All, Col, Convert, Duration, DynCol, If, IsNull, Lit, Not, add, all_true, and_, avg, col, cols, count, div, max_, min_, mul, or_, sub, sum_, unique,
 )
@@ -19,6 +22,7 @@ from tessera.plans.query import Query
 from tessera.plans.resolve import quoted
 from tessera.sources import ColumnDef, SortKey, Store, TableSchema, expand_maps
 from tessera.sources.connectors import BlockFolder
+from tessera.sources.ingest import rows_from_frame
 from tessera.streaming import rolled_up, rollup, start_rollup
 from tessera.tools import reencode
 
@@ -325,6 +329,74 @@ def layout_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.read()
 
 
+@query("layout_order", "SELECT count(*) AS n, 0 AS out_of_order FROM orders")
+def layout_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows of the compacted files lie before a smaller one of the same file, by the sort keys."""
+    schema = TableSchema("orders", (ColumnDef("o_orderstatus"), ColumnDef("o_orderkey", "int64")), (SortKey("o_orderstatus", False), SortKey("o_orderkey")))
+    table = Store(spark, _root(spark)).table("db", schema)
+    table.insert(read(spark, sf_dir, "orders").select("o_orderstatus", "o_orderkey"))
+    table.compact()
+    rows = table.read().select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    before = {c: F.lag(c).over(W.partitionBy("file").orderBy("place")) for c in ("o_orderstatus", "o_orderkey")}
+    wrong = (before["o_orderstatus"] < F.col("o_orderstatus")) | ((before["o_orderstatus"] == F.col("o_orderstatus")) & (before["o_orderkey"] > F.col("o_orderkey")))
+    return rows.select(wrong.alias("wrong")).agg(F.count(F.lit(1)).alias("n"), F.count_if("wrong").cast("int").alias("out_of_order"))
+
+
+@dataclass
+class Nation:
+    n_nationkey: int
+    n_name: str
+    tags: dict[str, str]
+
+
+@query("record_insert", "SELECT n_nationkey, n_name, CASE WHEN n_nationkey % 2 = 0 THEN 'e' || n_regionkey END AS \"tags.even\", CASE WHEN n_nationkey % 2 = 1 THEN 'o' || n_regionkey END AS \"tags.odd\" FROM nation")
+def record_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """25 records with maps, as dataclasses."""
+    table = Store(spark, _root(spark)).table("db", TableSchema.from_dataclass(Nation))
+    rows = read(spark, sf_dir, "nation").collect()
+    table.insert_rows(Nation(r.n_nationkey, r.n_name, {"odd": f"o{r.n_regionkey}"} if r.n_nationkey % 2 else {"even": f"e{r.n_regionkey}"}) for r in rows)
+    return table.read()
+
+
+@query("record_read", "SELECT n_nationkey, n_name, CASE WHEN n_nationkey % 2 = 1 THEN 'odd=o' || n_regionkey ELSE 'even=e' || n_regionkey END AS tags FROM nation")
+def record_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same records read back."""
+    found = rows_from_frame(record_insert(spark, sf_dir), Nation)
+    return spark.createDataFrame([(r.n_nationkey, r.n_name, ",".join(f"{k}={v}" for k, v in r.tags.items())) for r in found], "n_nationkey long, n_name string, tags string")
+
+
+@query("explain_text", "SELECT 'TableScan - PredicateFilter (o_totalprice > 5.0) - Distinct (o_orderstatus) - Exchange - Distinct (o_orderstatus) - Limit(2) - Exchange - Limit(2)' AS plan")
+def explain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = Engine(spark, lambda t: read(spark, sf_dir, t)).sql("orders", "explain select distinct o_orderstatus where o_totalprice > 5.0 limit 2")
+    return spark.createDataFrame([(said.replace("Projection (o_orderstatus) - ", ""),)], "plan string")
+
+
+_WRONG = {
+    "select o_orderkey where o_orderstatus > 5": "o_orderstatus > 5 compares a text column with a int",
+    "select o_orderkey where o_orderkey = 'x'": "o_orderkey == x compares a number column with a text",
+    "select sum(o_orderstatus) as s": "sum(o_orderstatus) needs a number column",
+    "select max(nobody) as m": "no column nobody to aggregate",
+    "select o_orderkey order by o_orderkey": "refused",
+    "select stddev(o_orderkey) as s": "refused",
+}
+
+
+@query("refused_plans", " UNION ALL ".join(f"SELECT '{t.replace(chr(39), chr(39) * 2)}' AS query, '{m}' AS problem" for t, m in _WRONG.items()))
+def refused_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is told of plans that are wrong, before anything runs."""
+    engine, out = Engine(spark, lambda t: read(spark, sf_dir, t)), []
+    for text in _WRONG:
+        try:
+            engine.sql("orders", text).frame()
+        except NotSupportedError:
+            out.append((text, "refused"))
+        except PlanValidationError as e:
+            out.append((text, "; ".join(e.problems)))
+    return spark.createDataFrame(out, "query string, problem string")
+
+
+over("lineitem", "auto_names", lambda q: q.aggregate([sum_(col("l_orderkey")), max_(add(col("l_partkey"), Lit(1))), count(col("l_linenumber"))], [col("l_returnflag")]), 'SELECT l_returnflag, CAST(sum(l_orderkey) AS BIGINT) AS "sum(l_orderkey)", max(l_partkey + 1) AS "max(l_partkey + 1)", count(*) AS "count(l_linenumber)" FROM lineitem GROUP BY ALL')
+
 # Headline shapes
 
 
