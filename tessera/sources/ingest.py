@@ -55,7 +55,8 @@ def unpacked_uuids(value: bytes) -> list[uuid.UUID]:
 
 
 def rows_from_frame(df: DataFrame, kind: type) -> Iterator:
-    """Dataclass instances of a frame's rows, one partition at a time; a family's columns that aren't null are its dict."""
+    """Dataclass instances of a frame's rows, in the driver, which holds one partition at a time: for results, not for tables. A
+    family's columns that aren't null are its dict."""
     hints = typing.get_type_hints(kind)
     families = {f.name for f in dataclasses.fields(kind) if typing.get_origin(hints[f.name]) is dict}
     for row in df.toLocalIterator():
