@@ -24,6 +24,7 @@ import json
 import math
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -93,7 +94,7 @@ class Corpus:
 
     def __init__(self, df: np.ndarray, docs: int, tokens: int):
         self.df, self.docs, self.mean = df, docs, max(tokens / max(docs, 1), 1.0)
-        self.idf = np.log1p((docs - df + 0.5) / (df + 0.5))
+        self.idf = np.log1p((docs - df + 0.5) / (df + 0.5)).astype(np.float32)
 
     @staticmethod
     def of(ids: list[np.ndarray]) -> Corpus:
@@ -103,13 +104,16 @@ class Corpus:
         return self.idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / self.mean))
 
     def keys(self, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """The two terms that weigh most in each document, of those that others have."""
+        """The two terms that weigh most in each document, of those that others have; of equal weights the smaller terms."""
         doc, term, tf = occurrences(ids)
-        weight = self.weight(term, tf, np.fromiter(map(len, ids), np.int64, len(ids))[doc]) * (self.df[term] > 1)
-        order = np.lexsort((term, -weight, doc))
-        term, n = term[order], np.bincount(doc, minlength=len(ids))
+        weight = self.weight(term, tf.astype(np.float32), np.fromiter(map(len, ids), np.float32, len(ids))[doc])
+        n = np.bincount(doc, minlength=len(ids))
         first = np.cumsum(n) - n
-        return term[first], term[np.minimum(first + (n > 1), len(term) - 1)]
+        key = np.rint(np.where(self.df[term] > 1, weight * 32 + 1, 0)).astype(np.int64) << 16 | 0xFFFF - term
+        one = np.maximum.reduceat(key, first) if len(ids) else key
+        key[key == one[doc]] = -1
+        two = np.maximum.reduceat(key, first) if len(ids) else key
+        return 0xFFFF - (one & 0xFFFF), 0xFFFF - (np.where(two < 0, one, two) & 0xFFFF)
 
 
 def occurrences(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -256,7 +260,11 @@ def _tokens(path: str):
         encode = encoder(path)
         for batch in batches:
             # 16 bits hold an id of this vocabulary
-            coded = [np.array([*encode(x or ""), END], "<u2") for x in batch.column("text").to_pylist()]
+            coded = []
+            for text in batch.column("text").to_pylist():
+                own = encode(text or "")
+                own.append(END)
+                coded.append(np.frombuffer(array("H", own), np.uint16))  # little-endian machines
             n = np.zeros(VOCABULARY + 2, np.int64)
             for _, ids in _some(coded):
                 n[:-2] += np.bincount(occurrences(ids)[1], minlength=VOCABULARY)
