@@ -36,7 +36,7 @@ from .words import _PLACE, Words, chunks, mix
 _U = np.uint64
 #: Cells of each of the three parts of a stored fingerprint.
 CELLS = 8
-_CELL = np.dtype([("count", "<i2"), ("digest", "<u8"), ("check", "<u4")])
+_CELL = np.dtype([("count", "<i2"), ("digest", "<u8"), ("check", "<u2")])
 
 
 def digests(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -64,8 +64,8 @@ def digests(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 class Tables:
     """The tables of many texts side by side: cells[k] is that of text k, of three parts of `cells` cells."""
 
-    def __init__(self, keys: np.ndarray, text: np.ndarray, texts: int, cells: int):
-        self.texts, self.cells = texts, cells
+    def __init__(self, keys: np.ndarray, text: np.ndarray, texts: int, cells: int, bits: int = 32):
+        self.texts, self.cells, self.mask = texts, cells, _U((1 << bits) - 1)
         size = texts * 3 * cells
         self.count, self.digest, self.check = np.zeros(size, np.int64), np.zeros(size, np.uint64), np.zeros(size, np.uint64)
         self.add(keys, text, np.ones(len(keys), np.int64))
@@ -77,10 +77,11 @@ class Tables:
         at = self.places(keys, text)
         np.add.at(self.count, at, np.tile(sign, 3))
         np.bitwise_xor.at(self.digest, at, np.tile(keys, 3))
-        np.bitwise_xor.at(self.check, at, np.tile(checks(keys), 3))
+        np.bitwise_xor.at(self.check, at, np.tile(checks(keys) & self.mask, 3))
 
     def minus(self, other: "Tables") -> "Tables":
         out = Tables(np.zeros(0, np.uint64), np.zeros(0, np.int64), self.texts, self.cells)
+        out.mask = self.mask
         out.count, out.digest, out.check = self.count - other.count, self.digest ^ other.digest, self.check ^ other.check
         return out
 
@@ -89,7 +90,10 @@ class Tables:
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         at = np.arange(len(self.count))
         while True:
-            pure = at[(np.abs(self.count[at]) == 1) & (self.check[at] == checks(self.digest[at]))]
+            at = at[np.abs(self.count[at]) == 1]
+            digest, part = self.digest[at], at % (3 * self.cells) // self.cells
+            home = (mix(digest + _PLACE[10 + part]) % _U(self.cells)).astype(np.int64)
+            pure = at[(self.check[at] == checks(digest) & self.mask) & (home == at % self.cells)]
             if not len(pure):
                 break
             text, keys, sign = pure // (3 * self.cells), self.digest[pure], self.count[pure]
@@ -109,14 +113,14 @@ class Tables:
     def parsed(fingerprint: bytes) -> tuple[int, "Tables"]:
         """The number of digests and the table of what raw() has written."""
         cells = np.frombuffer(fingerprint[4:], _CELL)
-        out = Tables(np.zeros(0, np.uint64), np.zeros(0, np.int64), 1, len(cells) // 3)
+        out = Tables(np.zeros(0, np.uint64), np.zeros(0, np.int64), 1, len(cells) // 3, 16)
         out.count, out.digest, out.check = cells["count"].astype(np.int64), cells["digest"].copy(), cells["check"].astype(np.uint64)
         return int.from_bytes(fingerprint[:4], "little"), out
 
     def raw(self, sizes: np.ndarray) -> list[bytes]:
-        """Each text's number of digests (4 bytes) and cells, counts modulo 65,536."""
+        """Each text's number of digests (4 bytes) and cells, counts and checks modulo 65,536."""
         out = np.zeros(len(self.count), _CELL)
-        out["count"], out["digest"], out["check"] = self.count.astype(np.int16), self.digest, self.check.astype(np.uint32)
+        out["count"], out["digest"], out["check"] = self.count.astype(np.int16), self.digest, self.check.astype(np.uint16)
         raw, step = out.tobytes(), 3 * self.cells * _CELL.itemsize
         return [int(n).to_bytes(4, "little") + raw[k * step : k * step + step] for k, n in enumerate(sizes)]
 
