@@ -9,8 +9,9 @@ link if |A and B| / |A or B| is at least the threshold. Every link is found: not
    n - ceil(threshold * n) + 1 of each in this order. So sets meet by each of these that another set has too; a set whose
    first shingles are all its own meets nobody. Counts are made and fetched in blocks: a unit of texts sends its different
    shingles to the parts that count them, and gets their ranks back. No group of sets is cut or capped.
-3. Groups' hubs. In a group of near copies nearly all link with any of them, so each member is compared with the group's
-   first set, a pair once however many groups it has in common. That only spares the trees work.
+3. Hubs. In a group of near copies nearly all link with any of them, so each member of like size is compared with the
+   group's first set, its hub, a pair once however many groups it has in common. That spares the trees work. Groups of one hub
+   are one from here on, so that a set goes to each hub once; what has two sets only is settled.
 4. Signature trees search every group whose sets are not all in one component yet. Leaves are sets, each node holds the
    bitwise or of its sets' token bitmaps, the range of their sizes and the most tokens that any of them has beyond its
    bits. Sets of one octave of sizes have one tree, with bitmaps of a width that suits their sizes. Two trees, or one with
@@ -36,12 +37,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import connected_components, discard, documents, parts, spread_join, stored
+from .shared import connected_components, discard, documents, parts, small_batches, spread_join, stored
 from .tidying import squeezed, tidied, unsqueezed
 from .words import _PLACE, Words, binary, chunks, mix
 
 _U = np.uint64
-TREE_TOKENS = 1 << 17
+TREE_TOKENS = 1 << 16
 FANOUT = 4
 _UNIT = 1 << 22
 
@@ -62,6 +63,11 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     return out
 
 
+def shingled(texts: list[bytes], words: int) -> list[np.ndarray]:
+    """shingle_sets(), an eighth of a megabyte at a time."""
+    return [s for _, some in chunks(texts, 1 << 17) for s in shingle_sets(some, words)]
+
+
 def ranked_first(n: int, percent: int) -> int:
     """How many of n shingles, the first in a common order, no similar set can do without."""
     return n - -(-percent * n // 100) + 1
@@ -77,13 +83,13 @@ def counted(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *different.values()]), return_counts=True)
 
 
-#: kind 0: a unit's texts; 1: a unit's shingles of one part, 32 bits of each, and how many of its sets have each; 2: their ranks.
-_BLOCK = "kind int, unit long, part long, ids array<long>, texts binary, shingles binary, counts binary"
+#: kind 0: a unit's texts and their hashes; 1: a unit's shingles of one part, 32 bits of each, and how many of its sets have each; 2: their ranks.
+_BLOCK = "kind int, unit long, part long, ids array<long>, tags array<long>, texts binary, shingles binary, counts binary"
 
 
 def _rows(kind: int, **columns: pa.Array) -> pa.RecordBatch:
     n = max(len(x) for x in columns.values())
-    types = {"kind": pa.int32(), "unit": pa.int64(), "part": pa.int64(), "ids": pa.list_(pa.int64()), "texts": pa.binary(), "shingles": pa.binary(), "counts": pa.binary()}
+    types = {"kind": pa.int32(), "unit": pa.int64(), "part": pa.int64(), "ids": pa.list_(pa.int64()), "tags": pa.list_(pa.int64()), "texts": pa.binary(), "shingles": pa.binary(), "counts": pa.binary()}
     columns["kind"] = pa.array(np.full(n, kind, np.int32))
     return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(n, t)) for c, t in types.items()], list(types))
 
@@ -95,21 +101,35 @@ def _dealt(shingles: np.ndarray, n_parts: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(part[order], np.arange(n_parts + 1, dtype=np.uint64))
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
+    """Ids and texts of so many batches that they fill a unit."""
+    ids, texts, size = [], [], 0
+    for batch in batches:
+        ids += batch.column("doc_id").to_pylist()
+        texts += binary(batch.column("text"))
+        size += batch.nbytes
+        if size >= _UNIT:
+            yield ids, texts
+            ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 def _units(words: int, n_parts: int):
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         unit = (context.partitionId() if context else 0) << 32
-        for batch in batches:
-            ids = batch.column("doc_id")
-            for begin, own in chunks(binary(batch.column("text")), _UNIT):
+        for ids, texts in _gathered(batches):
+            for begin, own in chunks(texts, 2 * _UNIT):
+                tags = np.array([xxhash.xxh64_intdigest(t, 42) for t in own], np.uint64).view(np.int64)  # as Spark's
                 own = [b" ".join(t.lower().split()) for t in own]
-                sets = [s for _, some in chunks(own) for s in shingle_sets(some, words)]
+                sets = shingled(own, words)
                 shingles, n = counted(sets)
                 order, edge = _dealt(shingles, n_parts)
                 short, n = (shingles[order] >> _U(32)).astype("<u4"), np.minimum(n[order], 255).astype(np.uint8)
                 used = np.flatnonzero(np.diff(edge))
-                yield _rows(0, unit=pa.array([unit]), ids=pa.array([ids.slice(begin, len(own)).to_pylist()], pa.list_(pa.int64())), texts=pa.array([squeezed(b"\n".join(own))], pa.binary()))
+                yield _rows(0, unit=pa.array([unit]), ids=pa.array([ids[begin : begin + len(own)]], pa.list_(pa.int64())), tags=pa.array([tags.tolist()], pa.list_(pa.int64())), texts=pa.array([squeezed(b"\n".join(own))], pa.binary()))
                 if len(used):
                     spans = [slice(edge[p], edge[p + 1]) for p in used.tolist()]
                     yield _rows(1, unit=pa.array(np.full(len(used), unit)), part=pa.array(used), shingles=pa.array([short[x].tobytes() for x in spans], pa.binary()), counts=pa.array([squeezed(n[x].tobytes()) for x in spans], pa.binary()))
@@ -148,13 +168,13 @@ def _keyed(words: int, percent: int, n_parts: int):
     the smallest id of a unit's equal sets that has such, also the set."""
 
     def of(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        _, _, ids, blob, _ = rows[0]
+        _, _, ids, tags, blob, _ = rows[0]
         texts = unsqueezed(blob).split(b"\n")
-        sets = [s for _, some in chunks(texts) for s in shingle_sets(some, words)]
+        sets = shingled(texts, words)
         shingles, _ = counted(sets)
         order, _ = _dealt(shingles, n_parts)
         rank = np.empty(len(shingles), np.uint8)
-        rank[order] = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(unsqueezed(r[4]), np.uint8) for r in rows[1:])])
+        rank[order] = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(unsqueezed(r[5]), np.uint8) for r in rows[1:])])
         digests = [digest(own) for own in sets]
         least: dict[bytes, int] = {}
         for k, d in enumerate(digests):
@@ -171,15 +191,15 @@ def _keyed(words: int, percent: int, n_parts: int):
             tokens.append(own.tobytes() if keys[-1] is not None else None)
         pair = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(keys, pa.list_(pa.int64())), pa.array(tokens, pa.binary())],
-            ["doc_id", "n_shingles", "d1", "d2", "keys", "tokens"],
+            [pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(keys, pa.list_(pa.int64())), pa.array(tokens, pa.binary())],
+            ["doc_id", "tag", "n_shingles", "d1", "d2", "keys", "tokens"],
         )
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("kind", "unit", "ids", "texts", "counts")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("kind", "unit", "ids", "tags", "texts", "counts")), strict=True):
                 if row[0] == 0 and rows:
                     yield from of(rows)
                     rows = []
@@ -367,13 +387,15 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, tree_tokens: int = TREE_TOKENS) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id that links reach) and the digest of the set (d1, d2) of each row of docs(doc_id, text)."""
+    """doc_id, n_shingles, component_id (the smallest id that links reach), tag (xxhash64 of the text, null as empty) and
+    component (a number of its own; null without a set or an id) of each row of docs(doc_id, text)."""
     spark = docs.sparkSession
+    small_batches(spark)
     n = parts(spark)
     units = stored(docs.select("doc_id", "text").mapInArrow(_units(words, n), _BLOCK), "shingle-units")
     ranks = units.where("kind = 1").repartition(n, "part").sortWithinPartitions("part").mapInArrow(_ranks, _BLOCK)
     both = units.where("kind = 0").unionByName(ranks).repartition(n, "unit").sortWithinPartitions("unit", "kind", "part")
-    sets = stored(both.mapInArrow(_keyed(words, percent, n), "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, tokens binary"), "shingle-sets")
+    sets = stored(both.mapInArrow(_keyed(words, percent, n), "doc_id long, tag long, n_shingles long, d1 long, d2 long, keys array<long>, tokens binary"), "shingle-sets")
     discard(units)
 
     full = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -385,29 +407,33 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, tree_to
     met = stored(met.select("node", F.col("n_shingles").alias("size"), "keys", "tokens").dropDuplicates(["node"]), "met-sets")
 
     groups = stored(met.select("node", "size", F.explode("keys").alias("key")), "groups")
-    several = groups.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n")).where("hub <> last")
-    members = stored(spread_join(groups, stored(several.select("key", "hub", "n"), "hubs"), ["key"]).select("key", "node", "size", "hub"), "members")
-    discard(groups)
+    first = F.struct("node", "size")
+    several = groups.groupBy("key").agg(F.min(first).alias("hub"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n")).where("hub.node <> last")
+    several = stored(several.select("key", "n", F.col("hub.node").alias("hub"), F.col("hub.size").alias("hub_size")), "hubs")
+    # all groups of one hub are searched together
+    members = stored(spread_join(groups, several, ["key"]).select("hub", "hub_size", "node", "size").distinct(), "members")
+    discard(groups, several)
     tokens = met.select("node", "tokens")
-    pairs = members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    like = 100 * F.least("size", "hub_size") >= percent * F.greatest("size", "hub_size")
+    pairs = members.where(F.col("node") != F.col("hub")).where(like).select(F.col("node").alias("a"), F.col("hub").alias("b"))
     pairs = pairs.join(tokens.select(F.col("node").alias("a"), F.col("tokens").alias("left")), "a")
     pairs = pairs.join(tokens.select(F.col("node").alias("b"), F.col("tokens").alias("right")), "b").select("a", "b", "left", "right")
     near = stored(pairs.mapInArrow(_linked(percent), "a long, b long"), "hub-links")
     label = connected_components(near)
 
-    placed = stored(members.join(label, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("component")), "placed")
+    placed = stored(members.join(label, "node", "left").select("hub", "node", "size", F.coalesce("label", "node").alias("component")), "placed")
     discard(members)
-    mixed = placed.groupBy("key", "component").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("tokens"))
-    mixed = mixed.groupBy("key").agg(F.sum("who").alias("who"), F.sum("n").alias("n"), F.sum("tokens").alias("tokens"), F.max(F.struct("tokens", "component")).alias("main"), F.count(F.lit(1)).alias("components"))
-    # groups of the same members are searched once
-    mixed = mixed.where("components > 1").groupBy("who", "n", "tokens").agg(F.min(F.struct("key", "main")).alias("x")).select("x.key", "n", "tokens", "x.main")
-    mixed = mixed.select("key", "n", F.col("main.component").alias("main"), F.ceil(F.col("main.tokens") / tree_tokens).cast("int").alias("large"), F.ceil((F.col("tokens") - F.col("main.tokens")) / tree_tokens).cast("int").alias("rest"))
+    mixed = placed.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("tokens"))
+    mixed = mixed.groupBy("hub").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"), F.max(F.struct("tokens", "component")).alias("main"), F.count(F.lit(1)).alias("components"))
+    # the one pair of two sets is compared
+    mixed = mixed.where("components > 1 AND n > 2")
+    mixed = mixed.select("hub", "n", F.col("main.component").alias("main"), F.ceil(F.col("main.tokens") / tree_tokens).cast("int").alias("large"), F.ceil((F.col("tokens") - F.col("main.tokens")) / tree_tokens).cast("int").alias("rest"))
     # sides 0 .. large - 1 hold the largest component, the next ones the other sets; pairs of sides have a set of the latter
-    rows = spread_join(placed, stored(mixed, "mixed"), ["key"])
+    rows = spread_join(placed, stored(mixed, "mixed"), ["hub"])
     inside, hashed = F.col("component") == F.col("main"), F.xxhash64("node")
     rows = rows.withColumn("side", F.when(inside, F.pmod(hashed, F.col("large"))).otherwise(F.col("large") + F.pmod(hashed, F.col("rest"))).cast("int"))
     rows = rows.withColumn("t", F.explode(F.sequence(F.when(inside, F.col("large")).otherwise(0), F.col("large") + F.col("rest") - 1)))
-    rows = rows.select("key", F.least("side", "t").alias("p"), F.greatest("side", "t").alias("q"), "side", "node", "component")
+    rows = rows.select(F.col("hub").alias("key"), F.least("side", "t").alias("p"), F.greatest("side", "t").alias("q"), "side", "node", "component")
     rows = rows.join(tokens, "node").repartition(n, "key", "p", "q").sortWithinPartitions("key", "p", "q", "node")
     far = stored(rows.select("key", "p", "q", "side", F.col("node").alias("id"), "component", "tokens").mapInArrow(_trees(percent), "a long, b long").distinct(), "tree-links")
     discard(placed)
@@ -419,15 +445,15 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, tree_to
     whole = whole.join(over.withColumnRenamed("label", "far"), F.col("near") == F.col("node"), "left").select("d1", "d2", "id", "n", F.coalesce("far", "near").alias("component"))
     whole = stored(whole, "placed-copies")
     first = whole.groupBy("component").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("digests")).where("digests > 1")
-    whole = stored(whole.join(first, "component", "left").select("d1", "d2", "n", F.coalesce("component_id", "id").alias("component_id")), "components")
-    out = ["doc_id", "n_shingles", "component_id", "d1", "d2"]
-    linked = spread_join(full.select("doc_id", "n_shingles", "d1", "d2"), whole, ["d1", "d2"]).select(*out)
-    alone = sets.where("NOT (n_shingles > 0 AND doc_id IS NOT NULL)").withColumn("component_id", F.col("doc_id"))
+    whole = stored(whole.join(first, "component", "left").select("d1", "d2", "n", "component", F.coalesce("component_id", "id").alias("component_id")), "components")
+    out = ["doc_id", "n_shingles", "component_id", "tag", "component"]
+    linked = spread_join(full.select("doc_id", "tag", "n_shingles", "d1", "d2"), whole, ["d1", "d2"]).select(*out)
+    alone = sets.where("NOT (n_shingles > 0 AND doc_id IS NOT NULL)").withColumns({"component_id": F.col("doc_id"), "component": F.lit(None).cast("long")})
     return linked.unionByName(alone.select(*out))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_components(documents(spark, sf_dir), words=4, percent=85).drop("d1", "d2")
+    return ngram_components(documents(spark, sf_dir), words=4, percent=85).drop("tag", "component")
 
 
 OP1_SQL = r"""

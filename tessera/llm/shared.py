@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import weakref
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 _own_dir: dict[str, str] = {}
-_places: dict[int, tuple] = {}
+_places: set[str] = set()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,24 +48,37 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     place = temporary(df.sparkSession, name)
     df.write.parquet(place)
     table = df.sparkSession.read.schema(df.schema).parquet(place)
-    _places[id(table)] = (weakref.ref(table), place)
+    table.stored_at = place  # type: ignore[attr-defined]
+    _places.add(place)
     return table
 
 
+def _delete(spark: SparkSession, place: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _places.discard(place)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that stored() has made, of which nobody will read again."""
     for table in tables:
-        known, place = _places.pop(id(table))
-        assert known() is table
-        path = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
-        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(table.sparkSession, table.stored_at)
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What make() returns, stored; the tables that were stored on the way to it are deleted."""
+    before = set(_places)
+    out = stored(make(), name)
+    for place in _places - before - {out.stored_at}:
+        _delete(out.sparkSession, place)
+    return out
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds what a Python worker gets at a time to 8 MB, unless the session has a bound of its own."""
+    """Bounds what a Python worker gets at a time to 2 MB, or a row, unless the session has a bound of its own."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key, None) in ("67108864b", "67108864"):  # Spark's default
-        spark.conf.set(key, str(8 << 20))
+        spark.conf.set(key, str(2 << 20))
 
 
 def parts(spark: SparkSession) -> int:
@@ -99,7 +112,7 @@ def repeated(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """edges(a, b) to labels(node, label), label being the smallest node that can be reached.
+    """edges(a, b) of long numbers to labels(node, label), label being the smallest node that can be reached.
 
     Alternates large-star and small-star rounds (Kiveris et al., 2014). Each is an aggregate with map-side combining and
     a join that adaptive execution may split, so no group's neighbours ever meet in one row. Every round ends in a table.
@@ -108,6 +121,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges"
     )
     seen = None
+    if now.isEmpty():
+        return now.sparkSession.createDataFrame([], "node long, label long")
     while True:
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
