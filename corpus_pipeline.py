@@ -3,11 +3,13 @@
 1. quality classifier: documents that score below its cut go.
 2. line dedup: lines of runs that earlier documents have go; n_chars follows. Documents that had words and have none left
    were repeats as wholes, and go.
-3. n-gram Jaccard join, of five words and 0.8: of each component the document with the smallest id stays.
+3. n-gram Jaccard join, of five words and 0.8: of each component the document with the smallest id (of several texts with
+   this id, that with the smallest hash) stays.
 4. mixing: each document comes as often as the mix of sources takes it.
 5. packing: a row for each piece of a sequence.
 
-Rows with a null id pass stages 2 and 3 unchanged. Repeated rows with one id are one document for stage 3, which keeps one.
+Rows with a null id pass stages 2 and 3 unchanged. Rows with one id and different texts are different documents. Of rows with
+one id and one text, stage 3 keeps one. Stages keep further columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import classifier, line_dedup, mixing, ngram_join, packing
-from tessera.llm.shared import WORD, documents, stored
+from tessera.llm.shared import WORD, documents, settled
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,17 +28,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    known = docs.withColumn("text_before", F.coalesce("text", F.lit("")).rlike(WORD))
+    before = "had_words"
+    while before in docs.columns:
+        before += "_"
+    known = docs.withColumn(before, F.coalesce("text", F.lit("")).rlike(WORD))
     out = line_dedup.line_dedup(known, counts=False)
-    out = out.where(~F.col("text_before") | F.col("text").rlike(WORD)).drop("text_before")
+    out = out.where(~F.col(before) | F.col("text").rlike(WORD)).drop(before)
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = ngram_join.ngram_components(docs, words=5, percent=80)
-    stay = found.where("component_id = doc_id").select(F.col("doc_id").alias("stay_id")).distinct()
-    named = docs.join(stay.hint("shuffle_hash"), F.col("doc_id") == F.col("stay_id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    found = ngram_join.ngram_components(docs, words=5, percent=80).where("doc_id IS NOT NULL")
+    first = found.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "tag")).alias("x")).select("x.*")
+    stay = first.unionByName(found.where("component IS NULL").select("doc_id", "tag").distinct())
+    tag = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = docs.where("doc_id IS NOT NULL").select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", tag.alias("tag"))
+    kept = rows.join(stay.hint("shuffle_hash"), ["doc_id", "tag"], "left_semi").dropDuplicates(["doc_id", "tag"])
+    return kept.select("row.*").unionByName(docs.where("doc_id IS NULL"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,5 +70,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for k, (_, stage) in enumerate(STAGES):
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{k}")
+        docs = settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"stage-{k}")
     return docs
