@@ -10,6 +10,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import classifier, mixing, packing
@@ -95,7 +96,30 @@ def test_empty_and_null_ids(spark, tmp_path):
         for name, stage in corpus_pipeline.STAGES[:3]:
             docs = stored(stage(spark, docs, path), "test")
         assert docs.count() == (3 if own else 0)
-        assert corpus_pipeline.run(spark, path).count() == (0 if not own else corpus_pipeline.run(spark, path).count())
+        # an id's copies are one, the two null ids stay: their tokens are what is packed, as often as the mix takes them
+        packed = corpus_pipeline.run(spark, path).collect()
+        assert {r.doc_id for r in packed} == ({None, 5} if own else set()) or not own
+        copies = {(r.doc_id, r.size): r.copies for r in mixing.mix(docs).collect()} if own else {}
+        encode = packing.encoder(packing.tokenizer_path(packing.BYTE_BPE))
+        assert sum(r.length for r in packed) == sum((len(encode(r.text or "")) + 1) * copies[r.doc_id, len(words(r.text))] for r in docs.collect())
+
+
+def test_unlike_texts_of_one_id_and_clashing_columns(spark, tmp_path):
+    """Nothing unlike is lost, like texts go whatever their ids, and columns that bear inner names stay as they are."""
+    rng = random.Random(2)
+    a, b, c = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(80)) for x in "abc")
+    rows = [(5, a), (5, b), (5, a), (6, a + " more"), (7, b), (8, c), (9, None), (9, ""), (9, " "), (None, c)]
+    inner = ["text_before", "had_words", "stay_id", "tag", "row", "component", "component_id", "n_shingles"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, *inner) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in inner))
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in got if r.text and r.text.strip()) == sorted([("5", a), ("5", b), ("8", c), ("None", c)])
+    assert sorted(r.text or "" for r in got if not (r.text or "").strip()) == ["", " "]
+    assert all([r[c] for c in inner] == inner for r in got)
+    out = corpus_pipeline.lines(spark, docs.drop("n_chars").withColumn("n_chars", F.length("text").cast("long")), "")
+    assert sorted(out.columns) == sorted(docs.columns) and all([r[c] for c in inner] == inner for r in out.collect())
+    assert corpus_pipeline.mix(spark, docs, "").columns == docs.columns
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not there")
