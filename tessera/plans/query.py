@@ -37,7 +37,7 @@ class Node:
             case "limit":
                 return ops.limit(df, self.size)
             case "sample":
-                return ops.sample(df, self.size, self.seed)
+                return ops.sample(df, self.size, self.seed, self.byte_limit)
         raise PlanValidationError(self.kind, ["no such node"])
 
     def stages(self) -> list[str]:
@@ -91,7 +91,7 @@ class Query:
         return self._then(Node("limit", size=n))
 
     def sample(self, size: int, byte_limit: int | None = None, seed: int | None = None) -> Query:
-        """byte_limit bounds what a sampler may hold and never changes its rows; Spark's own memory limits serve here."""
+        """byte_limit bounds what a task may hold and never changes the rows; any limit makes the sample hold none."""
         return self._then(Node("sample", size=size, seed=seed, byte_limit=byte_limit))
 
     def frame(self) -> DataFrame:

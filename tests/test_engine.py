@@ -134,6 +134,16 @@ def test_sample_is_uniform(spark):
         Query.on(df).limit(-1).frame()
 
 
+def test_a_samples_byte_limit_does_not_change_it(spark, tmp_path):
+    spark.range(20_000).select("id", F.lit("x").alias("sample_id1")).repartition(5).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    for size, seed in ((0, 1), (1, 2), (37, 3), (4000, 4)):
+        kept, bounded = (Query.on(df).sample(size, limit, seed).frame() for limit in (None, 1 << 20))
+        assert bounded.columns == df.columns and rows(kept) == rows(bounded) and bounded.count() == size
+    assert Query.on(df).sample(10**6, 1).frame().count() == 20_000 and Query.on(df.limit(0)).sample(3, 1).frame().count() == 0
+    assert "TakeOrdered" not in Query.on(df).sample(500, 1, 7).frame().where("id > 3")._jdf.queryExecution().executedPlan().toString().split("Union")[0]
+
+
 def test_filters_reach_the_scan(spark, tmp_path):
     spark.range(100).select("id", (F.col("id") % 7).alias("v"), F.lit("x").alias("s")).write.parquet(str(tmp_path / "t"))
     q = Query(lambda: spark.read.parquet(str(tmp_path / "t"))).filter(and_(col("v").gt(3), col("s").eq("x"))).aggregate([sum_(col("id"))], [col("v")])
@@ -256,6 +266,17 @@ def test_maintenance_by_two_writers_keeps_each_row_once(spark, tmp_path, first,
     assert one.read().count() == 6
 
 
+def test_metrics(spark, tmp_path):
+    t = numbers(spark, tmp_path, 3)
+    t.rotate()
+    t.insert(spark.range(5).select(F.col("id").alias("v")))
+    t.compact()
+    t.read()
+    seen = t.metrics.snapshot()
+    assert (seen["inserts_total"], seen["recent_rows"], seen["blocks_rows"], seen["rotations_total"], seen["compactions_total"], seen["commits_total"], seen["scans_total"]) == (4, 8, 11, 1, 1, 6, 1)
+    assert seen["inserts_seconds"] > 0 and 'tessera_inserts_total{table="n"} 4' in t.metrics.text(table="n")
+
+
 def test_many_writers_at_once(spark, tmp_path):
     numbers(spark, tmp_path, 0)
     root = f"file://{tmp_path}"
