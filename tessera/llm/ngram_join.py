@@ -44,7 +44,9 @@ from .words import _PLACE, Words, binary, chunks, mix
 _U = np.uint64
 TREE_TOKENS = 1 << 16
 FANOUT = 4
-_UNIT = 1 << 22
+#: Quarter octaves of small counts.
+_QUARTERS = (4 * np.log2(np.maximum(np.arange(1 << 12), 1))).astype(np.uint8)
+_UNIT = 1 << 20
 
 
 def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
@@ -142,15 +144,24 @@ def _ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted by part: for each unit's block of shingles their ranks: 0 for what one set of all has, then by quarter octaves."""
 
     def of(rows: list[tuple]) -> pa.RecordBatch:
-        found = [np.frombuffer(r[2], "<u4") for r in rows]
-        keys = np.concatenate(found)
-        order = np.argsort(keys, kind="stable")
-        first = np.append(True, keys[order[1:]] != keys[order[:-1]])
-        total = np.add.reduceat(np.concatenate([np.frombuffer(unsqueezed(r[3]), np.uint8) for r in rows])[order].astype(np.int64), np.flatnonzero(first))
-        rank = np.empty(len(keys), np.uint8)
-        rank[order] = np.minimum(4 * np.log2(total), 255).astype(np.uint8)[np.cumsum(first) - 1]
-        edge = np.cumsum([0, *map(len, found)])
-        return _rows(2, unit=pa.array([r[1] for r in rows]), part=pa.array([r[0] for r in rows]), counts=pa.array([squeezed(rank[a:b].tobytes()) for a, b in zip(edge, edge[1:], strict=False)], pa.binary()))
+        edge = np.cumsum([0, *(len(r[2]) // 4 for r in rows)])
+        keys = np.empty(int(edge[-1]), np.uint64)  # a shingle's 32 bits and its place
+        n = np.empty(len(keys), np.uint8)
+        for r, begin, end in zip(rows, edge, edge[1:], strict=False):
+            keys[begin:end] = np.frombuffer(r[2], "<u4")
+            n[begin:end] = np.frombuffer(unsqueezed(r[3]), np.uint8)
+        keys <<= _U(32)
+        keys |= np.arange(len(keys), dtype=np.uint32)
+        keys.sort()
+        place = keys.astype(np.uint32)
+        keys >>= _U(32)
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])).astype(np.uint32)
+        total = np.add.reduceat(n[place], first, dtype=np.uint32)
+        own = _QUARTERS[np.minimum(total, len(_QUARTERS) - 1)]
+        many = np.flatnonzero(total >= len(_QUARTERS))
+        own[many] = 4 * np.log2(total[many])
+        n[place] = np.repeat(own, np.diff(first, append=np.uint32(len(keys))))
+        return _rows(2, unit=pa.array([r[1] for r in rows]), part=pa.array([r[0] for r in rows]), counts=pa.array([squeezed(n[a:b].tobytes()) for a, b in zip(edge, edge[1:], strict=False)], pa.binary()))
 
     rows: list[tuple] = []
     for batch in batches:
@@ -392,10 +403,10 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, tree_to
     spark = docs.sparkSession
     small_batches(spark)
     n = parts(spark)
-    units = stored(docs.select("doc_id", "text").mapInArrow(_units(words, n), _BLOCK), "shingle-units")
-    ranks = units.where("kind = 1").repartition(n, "part").sortWithinPartitions("part").mapInArrow(_ranks, _BLOCK)
+    units = stored(docs.select("doc_id", "text").mapInArrow(_units(words, 2 * n), _BLOCK), "shingle-units")
+    ranks = units.where("kind = 1").repartition(2 * n, "part").sortWithinPartitions("part").mapInArrow(_ranks, _BLOCK)
     both = units.where("kind = 0").unionByName(ranks).repartition(n, "unit").sortWithinPartitions("unit", "kind", "part")
-    sets = stored(both.mapInArrow(_keyed(words, percent, n), "doc_id long, tag long, n_shingles long, d1 long, d2 long, keys array<long>, tokens binary"), "shingle-sets")
+    sets = stored(both.mapInArrow(_keyed(words, percent, 2 * n), "doc_id long, tag long, n_shingles long, d1 long, d2 long, keys array<long>, tokens binary"), "shingle-sets")
     discard(units)
 
     full = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")

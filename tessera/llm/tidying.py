@@ -31,6 +31,8 @@ def unsqueezed(data: bytes) -> bytes:
 def tidied(run: Run) -> Run:
     @functools.wraps(run)
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the system's allocator gives back what others keep for later
+        pa.set_memory_pool(pa.system_memory_pool())
         try:
             yield from run(batches)
         finally:

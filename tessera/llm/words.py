@@ -34,9 +34,10 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
         return _powers["up"][:n], _powers["down"][:n]
     out = []
     for base in (_BASE, pow(_BASE, -1, 2**64)):
-        x = np.full(max(n, CHUNK), base, np.uint64)
+        x = np.full(max(n, 1 << max(n - 1, 1 << 16).bit_length()), base, np.uint64)
         x[0] = 1
-        out.append(np.cumprod(x, dtype=np.uint64))
+        np.cumprod(x, out=x)
+        out.append(x)
     if n <= 4 * CHUNK:
         _powers["up"], _powers["down"] = out
     return out[0][:n], out[1][:n]
