@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import connected_components, discard, documents, parts, small_batches, spread_join, stored
-from .tidying import squeezed, tidied, unsqueezed
+from .tidying import packed, squeezed, tidied, unpacked, unsqueezed
 from .words import _PLACE, Words, binary, chunks, mix
 
 _U = np.uint64
@@ -134,7 +134,7 @@ def _units(words: int, n_parts: int):
                 yield _rows(0, unit=pa.array([unit]), ids=pa.array([ids[begin : begin + len(own)]], pa.list_(pa.int64())), tags=pa.array([tags.tolist()], pa.list_(pa.int64())), texts=pa.array([squeezed(b"\n".join(own))], pa.binary()))
                 if len(used):
                     spans = [slice(edge[p], edge[p + 1]) for p in used.tolist()]
-                    yield _rows(1, unit=pa.array(np.full(len(used), unit)), part=pa.array(used), shingles=pa.array([short[x].tobytes() for x in spans], pa.binary()), counts=pa.array([squeezed(n[x].tobytes()) for x in spans], pa.binary()))
+                    yield _rows(1, unit=pa.array(np.full(len(used), unit)), part=pa.array(used), shingles=pa.array([packed(short[x]) for x in spans], pa.binary()), counts=pa.array([squeezed(n[x].tobytes()) for x in spans], pa.binary()))
                 unit += 1
 
     return run
@@ -144,11 +144,11 @@ def _ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted by part: for each unit's block of shingles their ranks: 0 for what one set of all has, then by quarter octaves."""
 
     def of(rows: list[tuple]) -> pa.RecordBatch:
-        edge = np.cumsum([0, *(len(r[2]) // 4 for r in rows)])
+        edge = np.cumsum([0, *(int.from_bytes(r[2][:8], "little") // 4 for r in rows)])
         keys = np.empty(int(edge[-1]), np.uint64)  # a shingle's 32 bits and its place
         n = np.empty(len(keys), np.uint8)
         for r, begin, end in zip(rows, edge, edge[1:], strict=False):
-            keys[begin:end] = np.frombuffer(r[2], "<u4")
+            keys[begin:end] = unpacked(r[2])
             n[begin:end] = np.frombuffer(unsqueezed(r[3]), np.uint8)
         keys <<= _U(32)
         keys |= np.arange(len(keys), dtype=np.uint32)

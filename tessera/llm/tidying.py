@@ -7,6 +7,7 @@ import functools
 import gc
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 
 Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
@@ -28,6 +29,17 @@ def unsqueezed(data: bytes) -> bytes:
     return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
 
 
+def packed(ascending: np.ndarray) -> bytes:
+    """Ascending 32-bit numbers as their steps, byte by byte: the first bytes of all, then the second ones, and so on."""
+    steps = np.diff(ascending.astype("<u4"), prepend=np.uint32(0))
+    return squeezed(steps.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(unsqueezed(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return np.cumsum(steps, dtype=np.uint32)
+
+
 def tidied(run: Run) -> Run:
     @functools.wraps(run)
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
