@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import classifier, line_dedup, mixing, ngram_join, packing
-from tessera.llm.shared import WORD, documents, settled
+from tessera.llm.shared import WORD, discard, documents, settled
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,5 +70,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for k, (_, stage) in enumerate(STAGES):
-        docs = settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"stage-{k}")
+        before, docs = docs, settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"stage-{k}")
+        if k:
+            discard(before)
     return docs
