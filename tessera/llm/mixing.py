@@ -29,7 +29,7 @@ from .shared import WORD, documents, stored
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
-TILT = 0.5
+TILT = 0.25
 CELLS = 4096
 _BLOCK = 10_000
 

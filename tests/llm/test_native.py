@@ -186,7 +186,7 @@ def by_hand(total: dict, weights=(1, 2, 3), most=3):
         capped |= over
 
 
-def taken_by_hand(rows, target, most=3, tilt=0.5):
+def taken_by_hand(rows, target, most=3, tilt=mixing.TILT):
     """Copies by Pareto's order from rows of (source, size, u), each source sorted as a whole: copies of each row's key."""
     out = Counter()
     for source in {r[0] for r in rows}:
@@ -263,7 +263,7 @@ def test_mix(spark, seed):
 
 def test_longer_documents_have_better_chances(spark):
     rows = [(k, "w " * (4 if k % 2 else 64), "a" if k % 4 < 2 else "b") for k in range(4000)]
-    got = mixing.mix(odd(spark, rows, clash=False), weights=(1, 3)).where("source = 'a'").groupBy("size").agg(F.avg("copies").alias("p"), F.max("copies").alias("most")).collect()
+    got = mixing.mix(odd(spark, rows, clash=False), weights=(1, 3), tilt=0.5).where("source = 'a'").groupBy("size").agg(F.avg("copies").alias("p"), F.max("copies").alias("most")).collect()
     p = {r["size"]: r.p for r in got}
     assert {r.most for r in got} == {1} and abs(p[64] / p[4] - 4) < 1.2
 
