@@ -6,10 +6,12 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import ngram_join, substring_dedup
 from tessera.llm.ngram_join import ngram_components, ranked_first, similar, tree_links
+from tessera.llm.tidying import packed, squeezed, unpacked, unsqueezed
 
 from .common import corpus, odd, very_long, words
 
@@ -225,3 +227,27 @@ def test_phrases_merge_windows_and_lose_none():
 
 def test_empty(spark):
     assert substring_dedup.substring_dedup(odd(spark, [])).count() == 0
+
+
+def test_ranks_of_blocks():
+    """Shingles that several units have, some of them very often, get the quarter octave of all their sets."""
+    rng = np.random.default_rng(3)
+    blocks, total = [], {}
+    for unit in range(60):
+        own = np.unique(np.append(rng.integers(0, 2**32, 40, dtype=np.uint32), np.array([0, 7, 2**32 - 1], np.uint32)))
+        n = rng.integers(1, 256, len(own)).astype(np.uint8)
+        n[own == 7] = 255
+        n[own == 0] = 1
+        blocks.append((unit, own, n))
+        for x, c in zip(own.tolist(), n.tolist(), strict=True):
+            total[x] = total.get(x, 0) + c
+    rows = ngram_join._rows(
+        1, unit=pa.array([u for u, _, _ in blocks]), part=pa.array([5] * len(blocks)),
+        shingles=pa.array([packed(x) for _, x, _ in blocks], pa.binary()), counts=pa.array([squeezed(n.tobytes()) for _, _, n in blocks], pa.binary()),
+    )
+    (out,) = ngram_join._ranks(iter([rows]))
+    assert out.column("unit").to_pylist() == [u for u, _, _ in blocks] and total[7] > 4096
+    for (_, own, _), blob in zip(blocks, out.column("counts").to_pylist(), strict=True):
+        assert np.frombuffer(unsqueezed(blob), np.uint8).tolist() == [int(4 * np.log2(total[x])) for x in own.tolist()]
+    for x in (np.zeros(0, np.uint32), np.array([0], np.uint32), np.sort(rng.integers(0, 2**32, 500, dtype=np.uint32))):
+        assert np.array_equal(unpacked(packed(x)), x)
